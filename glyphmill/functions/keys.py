@@ -1,12 +1,12 @@
 """Normalised keys, sentence splitting and order-free randomness shared by every job."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # White space as Python's str.strip / \s sees it (Java's \s is ASCII only).
-WS = r"[\s\x0B\x1C-\x1F\x85   -     　]"
+WS = r"[\s\x0B\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 # Everything that is not a Python \w character.
 NONWORD = r"[^\p{L}\p{N}_]+"
 # Sentence-final marks.
@@ -37,8 +37,8 @@ def norm_500(c: Column | str) -> Column:
     return F.substring(norm_key(c), 1, 500)
 
 
-@F.pandas_udf("string")
-def nfkc(s):
+@F.pandas_udf(StringType())
+def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC; the JVM functions have no normal forms, so this is an Arrow batch function."""
     return s.str.normalize("NFKC")
 

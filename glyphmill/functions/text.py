@@ -1,9 +1,9 @@
 """Text predicates and measures used by the quality filters."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .keys import WS, _c, strip
 
@@ -85,9 +85,9 @@ FOLD_FROM = "ıłŁøØđĐħĦŧŦßæÆœŒðÐþÞ"
 FOLD_TO = ["i", "l", "L", "o", "O", "d", "D", "h", "H", "t", "T", "ss", "ae", "AE", "oe", "OE", "d", "D", "th", "Th"]
 
 
-@F.pandas_udf("string")
-def _strip_marks(s):
-    d = s.str.normalize("NFKD").str.replace(r"[̀-ͯ]", "", regex=True)
+@F.pandas_udf(StringType())
+def _strip_marks(s: pd.Series) -> pd.Series:
+    d = s.str.normalize("NFKD").str.replace("[̀-ͯ]", "", regex=True)
     return d.str.normalize("NFC")
 
 

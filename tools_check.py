@@ -33,7 +33,7 @@ def main() -> int:
     d = f"/root/testdata/sf{sf}"
     catalog.load_all()
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-                                                "spark.driver.memory": "12g"})
+                                                "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in TABLES:
