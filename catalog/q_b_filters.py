@@ -109,7 +109,7 @@ EN_WORDS = ",".join(f"'{w}'" for w in X.ENGLISH_WORDS)
 ENGLISH_SQL = f"(len(w) >= 4 and len([x for x in w if x in ({EN_WORDS})]) / len(w) >= 0.25)"
 
 
-@query("b8_english_like", f"""select lang, {ENGLISH_SQL} as english, count(*)::BIGINT as n
+@query("b8_english_like", f"""select lang, {ENGLISH_SQL}::INT::BIGINT as english, count(*)::BIGINT as n
   from (select lang, regexp_extract_all(lower(text), '[a-z]+') as w from documents) group by all""")
 def _(spark, d):
     return docs(spark, d, "lang", "text").groupBy("lang", X.english_like("text").alias("english")).agg(F.count(F.lit(1)).alias("n"))

@@ -76,3 +76,13 @@ def first_k_per_group(df: DataFrame, by: list[str], id_col: str, k: int) -> Data
     j = b.join(last, cond)
     rn = F.row_number().over(Window.partitionBy(*by, "_rb").orderBy(id_col))
     return j.withColumn("_rn", rn).where((F.col("_rb") < F.col("_cut._hb")) | (F.col("_rn") <= F.col("_cut._left"))).select(*df.columns)
+
+
+def rank_candidates(df: DataFrame, qid: str, score: str, pos: str) -> DataFrame:
+    """Rank of every candidate of a query by descending score, ties by candidate position (lists are short by nature)."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(qid).orderBy(F.col(score).desc(), pos)))
+
+
+def top_flagged(df: DataFrame, scores: list[str], n: int, key: str) -> DataFrame:
+    """The n rows with the highest score of any model: a bounded heap per task, merged once."""
+    return df.withColumn("top", F.greatest(*scores) if len(scores) > 1 else F.col(scores[0])).orderBy(F.col("top").desc(), key).limit(n)

@@ -144,14 +144,23 @@ def leakage(df: DataFrame, group: str, split: str = "split") -> DataFrame:
 
 
 def run_ids(df: DataFrame, part: list[str], order: str, keys: list[str], name: str = "run") -> DataFrame:
-    """Number of the run of identical keys inside a partition, in file order."""
-    w = Window.partitionBy(*part).orderBy(order)
-    change = F.lit(False)
+    """Number of the run of identical keys inside a file, in line order (`order` counts lines without gaps).
+
+    The line before comes from an equi-join on the line number and the running count from a two-pass prefix sum, so one
+    huge file does not end up in one task."""
+    from .ranking import prefix_sum
+
+    prev = df.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(part)], (F.col(order) + 1).alias("_o"),
+                     F.struct(*keys).alias("_prev"))
+    cond = df[order] == prev["_o"]
+    for i, p in enumerate(part):
+        cond = cond & (df[p] == prev[f"_p{i}"])
+    same = F.lit(True)
     for k in keys:
-        change = change | ~F.col(k).eqNullSafe(F.lag(k).over(w))
-    first = F.row_number().over(w) == 1
-    return df.withColumn("_chg", (first | change).cast("int")).withColumn(
-        name, F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_chg")
+        same = same & F.col(k).eqNullSafe(F.col(f"_prev.{k}"))
+    j = df.join(prev, cond, "left").withColumn(
+        "_chg", F.when(F.col("_prev").isNull(), 1).otherwise((~same).cast("int"))).select(*df.columns, "_chg")
+    return prefix_sum(j, part, order, {"_chg": "_before"}).withColumn(name, F.col("_before") + F.col("_chg")).drop("_chg", "_before")
 
 
 def thread_group(df: DataFrame, text: str, context: str) -> DataFrame:
