@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import keys as K
 from glyphmill.functions import text as X
+from glyphmill.functions.units import explode_rows
 from glyphmill.operators import filters as B
 
 from . import query
@@ -42,8 +43,8 @@ def _(spark, d):
 
 @query("s1_sentence_split", f"select doc_id, i::BIGINT as pos, md5(s[i]) as h from (select doc_id, {q.sents('text')} as s from documents), unnest(range(1, len(s) + 1)) as r(i)")
 def _(spark, d):
-    return docs(spark, d, "doc_id", "text").select("doc_id", F.posexplode(K.sentences("text"))).select(
-        "doc_id", (F.col("pos") + 1).alias("pos"), F.md5("col").alias("h"))
+    return explode_rows(docs(spark, d, "doc_id", "text"), ["doc_id"], K.sentences("text"), "s").select(
+        "doc_id", (F.col("pos") + 1).alias("pos"), F.md5("s").alias("h"))
 
 
 @query("r1_hash_uniform", f"select doc_id, round({q.u(42, 'doc_id')}, 6) as u from documents")

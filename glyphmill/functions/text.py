@@ -102,21 +102,20 @@ def fold(c: Column | str) -> Column:
     return _strip_marks(t)
 
 
-# Invisible characters, bidi controls and combining overlays.
-INVISIBLE = (
-    r"[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯"
-    r"ㅤ︀-️﻿ﾠ̲-̸\x{E0000}-\x{E01EF}]"
-)
+# Invisible characters, bidi controls, tag characters, variation selectors, combining overlays.
+INVISIBLE = (r"[\u00AD\u180E\u200B-\u200F\u202A-\u202E\u2060-\u2064\u2066-\u2069\uFEFF\uFE00-\uFE0F"
+             r"\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}\u0305\u0331-\u0338\u20D0-\u20FF]")
 
 
 def decode_obfuscation(c: Column | str) -> Column:
-    """Tag characters back to ASCII, NFKC, invisible characters and overlays removed."""
+    """Smuggled text made visible: tag characters and byte-valued variation selectors to the ASCII they stand for, then
+    NFKC, then invisible characters and overlays removed."""
     from .keys import nfkc
 
-    tags = "".join(chr(0xE0000 + i) for i in range(0x20, 0x7F))
-    ascii_ = "".join(chr(i) for i in range(0x20, 0x7F))
-    plain = F.translate(_c(c), tags, ascii_)
-    return F.regexp_replace(nfkc(F.regexp_replace(plain, INVISIBLE, "")), INVISIBLE, "")
+    codes = range(0x20, 0x7F)
+    hidden = "".join(chr(0xE0000 + i) for i in codes) + "".join(chr(0xE0100 + i - 16) for i in codes)
+    plain = F.translate(_c(c), hidden, "".join(chr(i) for i in codes) * 2)
+    return F.regexp_replace(nfkc(plain), INVISIBLE, "")
 
 
 def head_tail(c: Column | str, head: int, tail: int, marker: str = "\n[...]\n") -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import norm_key, norm_ws, sentences, text_hash
+from ..functions.units import explode_rows
 
 
 def _digest(cols: list[Column]) -> Column:
@@ -76,10 +77,10 @@ def sentence_hits(df: DataFrame, id_col: str, text: str, evals: DataFrame, eval_
                   key=norm_key) -> DataFrame:
     """Ids of rows that hold at least one evaluation sentence longer than min_len."""
     long_ = lambda d, t: d.where(F.length(t) > min_len)
-    es = evals.select(F.explode(sentences(eval_text)).alias("s"))
+    es = explode_rows(evals, [], sentences(eval_text), "s").select("s")
     es = es.union(evals.select(F.col(eval_text).alias("s")))
     ek = long_(es, "s").select(_digest([key("s")]).alias("_k")).distinct()
-    ds = df.select(id_col, F.explode(sentences(text)).alias("s"))
+    ds = explode_rows(df, [id_col], sentences(text), "s")
     return long_(ds, "s").select(id_col, _digest([key("s")]).alias("_k")).join(ek, "_k", "left_semi").select(id_col).distinct()
 
 

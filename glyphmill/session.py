@@ -17,7 +17,6 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.ansi.enabled": "false",
 }
 
 

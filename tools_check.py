@@ -54,6 +54,7 @@ def main() -> int:
         if name not in catalog.ORACLES:
             print(f"rows {name}: {len(got[1])} rows {sec:.2f}s {[x[:100] for x in got[1][:1]]}", flush=True)
             continue
+        t1 = time.time()
         try:
             cur = con.execute(catalog.ORACLES[name])
             names = [c[0] for c in cur.description]
@@ -64,7 +65,7 @@ def main() -> int:
             continue
         if got == want:
             flag = "" if got[1] else "  EMPTY"
-            print(f"ok   {name}: {len(got[1])} rows {sec:.2f}s{flag}", flush=True)
+            print(f"ok   {name}: {len(got[1])} rows {sec:.2f}s duck {time.time() - t1:.2f}s{flag}", flush=True)
         else:
             bad += 1
             a, b = set(got[1]), set(want[1])
