@@ -44,15 +44,16 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 def answer_tokens(c: Column | str, lang: Column | str | None = None) -> Column:
-    """Answer tokens for question answering scores: NFKC, no marks, no English articles, characters for zh/ja/th."""
-    t = F.lower(nfkc(_c(c)))
-    t = F.regexp_replace(t, r"[\p{P}\p{S}]", " ")
-    t = F.regexp_replace(t, r"(?U)\b(a|an|the)\b", " ")
+    """Answer tokens for question answering scores: NFKC, no marks, English articles out, characters for zh/ja/th.
+
+    Without a language the text counts as English."""
+    t = F.regexp_replace(F.lower(nfkc(_c(c))), r"[\p{P}\p{S}]", " ")
     words = F.filter(F.split(t, rf"{WS}+"), lambda x: x != "")
+    english = F.filter(words, lambda x: ~x.isin("a", "an", "the"))
     if lang is None:
-        return words
+        return english
     chars = F.filter(F.split(F.regexp_replace(t, rf"{WS}+", ""), ""), lambda x: x != "")
-    return F.when(_c(lang).isin(*NO_SPACE_LANGS), chars).otherwise(words)
+    return F.when(_c(lang) == "en", english).when(_c(lang).isin(*NO_SPACE_LANGS), chars).otherwise(words)
 
 
 def asr_norm(c: Column | str) -> Column:

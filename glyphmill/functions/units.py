@@ -50,25 +50,24 @@ def offsets_of(parts: Column, gap: Column | int = 0) -> Column:
         lambda acc: acc["out"])
 
 
-def match_spans(text: Column | str, rx: str | Column, group_rx: str | None = None) -> Column:
+def match_spans(text: Column | str, rx: str) -> Column:
     """Start and end of every match, in code points.
 
     The text is split by the pattern and the matches are extracted in the same order; running lengths give offsets
-    that count code points like Python (Java's own match positions count UTF-16 units)."""
+    that count code points like Python (Java's own match positions count UTF-16 units). Texts without a match, the
+    usual case, cost one search."""
     t = _c(text)
-    pat = rx if isinstance(rx, Column) else F.lit(rx)
-    parts = F.split(t, pat)
-    found = F.regexp_extract_all(t, F.concat(F.lit("("), pat, F.lit(")")), F.lit(1))
-    pairs = F.zip_with(F.slice(parts, 1, F.size(found)), found,
+    pairs = F.zip_with(F.split(t, rx), F.regexp_extract_all(t, F.lit(f"({rx})"), F.lit(1)),
                        lambda p, m: F.struct(F.length(p).alias("skip"), F.length(m).alias("len")))
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast(UNIT).alias("out"))
-    return F.aggregate(
-        pairs, zero,
-        lambda acc, x: F.struct(
-            (acc["pos"] + x["skip"] + x["len"]).cast("int").alias("pos"),
-            F.concat(acc["out"], F.array(F.struct((acc["pos"] + x["skip"]).cast("int").alias("start"),
-                                                  (acc["pos"] + x["skip"] + x["len"]).cast("int").alias("end")))).alias("out")),
-        lambda acc: acc["out"])
+
+    def step(acc, x):  # the piece after the last match has no length
+        start = acc["pos"] + x["skip"]
+        one = F.array(F.struct(start.cast("int").alias("start"), (start + x["len"]).cast("int").alias("end")))
+        return F.struct((start + F.coalesce(x["len"], F.lit(0))).cast("int").alias("pos"),
+                        F.when(x["len"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+
+    return F.when(t.rlike(rx), F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(UNIT))
 
 
 def literal_spans(text: Column, needle: Column) -> Column:
