@@ -45,8 +45,8 @@ def rfind(s):
 
 
 @query("h4_short_span", f"""with a as (select doc_id, trim(regexp_replace(substr(text, 1, 400), '{q.WS}+', ' ', 'g')) as s, {q.h32('4.l', 'doc_id')} % 46 + 15 as n, {q.h32('4.s', 'doc_id')} as hs from documents),
- b as (select *, hs % (greatest(length(s) - n, 0) + 1) as at from a), c as (select *, substr(s, (at + 1)::INT, n::INT) as sp from b),
- e as (select *, instr(trim(sp), ' ') > 0 as spaced from c), f as (select *, case when spaced and at > 0 then substr(sp, instr(sp, ' ') + 1) else sp end as hd from e),
+ b as (select *, hs % (greatest(length(s) - n, 0) + 1) as ps from a), c as (select *, substr(s, (ps + 1)::INT, n::INT) as sp from b),
+ e as (select *, instr(trim(sp), ' ') > 0 as spaced from c), f as (select *, case when spaced and ps > 0 then substr(sp, instr(sp, ' ') + 1) else sp end as hd from e),
  g as (select *, {rfind('hd')} as tl from f)
 select doc_id, trim(case when length(s) > n then case when spaced and tl > 5 then substr(hd, 1, tl) else hd end else s end) as span from g""")
 def _(spark, d):
@@ -68,8 +68,8 @@ def _(spark, d):
     return t.where(F.col("p").isNotNull()).select("doc_id", F.md5("p").alias("h"), F.size(F.split("p", r"\s+")).alias("n"))
 
 
-@query("h7_chunk", f"""with a as (select doc_id, text as t, {q.h32('7.l', 'doc_id')} % 2301 + 200 as n, {q.h32('7.s', 'doc_id')} as hs from documents), b as (select *, hs % (greatest(length(t) - n, 0) + 1) as at from a),
- c as (select *, instr(substr(t, (at + 1)::INT, 50), ' ') as bl from b), e as (select *, case when bl > 0 then at + bl else at end as st from c)
+@query("h7_chunk", f"""with a as (select doc_id, text as t, {q.h32('7.l', 'doc_id')} % 2301 + 200 as n, {q.h32('7.s', 'doc_id')} as hs from documents), b as (select *, hs % (greatest(length(t) - n, 0) + 1) as ps from a),
+ c as (select *, instr(substr(t, (ps + 1)::INT, 50), ' ') as bl from b), e as (select *, case when bl > 0 then ps + bl else ps end as st from c)
 select doc_id, md5(case when length(t) <= 2500 then t else {q.strip('substr(t, (st + 1)::INT, n::INT)')} end) as h from e""")
 def _(spark, d):
     return docs(spark, d, "doc_id", "text").select("doc_id", F.md5(U.chunk("text", "doc_id", 7)).alias("h"))
@@ -107,7 +107,7 @@ def _(spark, d):
     return s.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(P.is_question("sentence", "lang").cast("int")).alias("questions"))
 
 
-@query("h13_fold", "select doc_id, md5(strip_accents(text)) as h from documents where strip_accents(text) <> text")
+@query("h13_fold", "select doc_id, md5(strip_accents(replace(text, 'ß', 'ss'))) as h from documents where strip_accents(replace(text, 'ß', 'ss')) <> text")
 def _(spark, d):
     t = docs(spark, d, "doc_id", "text").withColumn("f", X.fold("text"))
     return t.where("f <> text").select("doc_id", F.md5("f").alias("h"))

@@ -1,5 +1,8 @@
 """Text predicates and measures used by the quality filters."""
 
+import re
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,26 +83,25 @@ def has_trigger(c: Column | str, words: list[str]) -> Column:
     return _c(c).rlike(r"(?i)(?<![\p{L}\p{N}_])(?:" + "|".join(words) + r")(?![\p{L}\p{N}_])")
 
 
-# Letters that no Unicode decomposition reduces to ASCII.
-FOLD_FROM = "ıłŁøØđĐħĦŧŦßæÆœŒðÐþÞ"
-FOLD_TO = ["i", "l", "L", "o", "O", "d", "D", "h", "H", "t", "T", "ss", "ae", "AE", "oe", "OE", "d", "D", "th", "Th"]
+# Letters folded by table before decomposition.
+FOLD_TABLE = {"ı": "i", "İ": "I", "ß": "ss", "ø": "o", "Ø": "O", "æ": "ae", "Æ": "AE", "ł": "l", "Ł": "L", "đ": "d",
+              "Đ": "D", "ð": "d", "þ": "th", "œ": "oe", "Œ": "OE"}
+_COMBINING = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 
 
 @F.pandas_udf(StringType())
 def _strip_marks(s: pd.Series) -> pd.Series:
-    d = s.str.normalize("NFKD").str.replace("[̀-ͯ]", "", regex=True)
-    return d.str.normalize("NFC")
+    return s.map(lambda t: t if t is None else unicodedata.normalize("NFC", _COMBINING.sub("", unicodedata.normalize("NFKD", t))))
 
 
 def fold(c: Column | str) -> Column:
     """Diacritic-free text: special letters by table, then NFKD without combining marks, then NFC (Arrow batches)."""
     t = _c(c)
-    for src, dst in zip(FOLD_FROM, FOLD_TO):
+    for src, dst in FOLD_TABLE.items():
         if len(dst) > 1:
             t = F.replace(t, F.lit(src), F.lit(dst))
-    single = [(s, d) for s, d in zip(FOLD_FROM, FOLD_TO) if len(d) == 1]
-    t = F.translate(t, "".join(s for s, _ in single), "".join(d for _, d in single))
-    return _strip_marks(t)
+    one = {k: v for k, v in FOLD_TABLE.items() if len(v) == 1}
+    return _strip_marks(F.translate(t, "".join(one), "".join(one.values())))
 
 
 # Invisible characters, bidi controls, tag characters, variation selectors, combining overlays.
