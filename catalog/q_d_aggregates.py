@@ -147,9 +147,9 @@ def _(spark, d):
 
 # ---- sorts, limits, top-k ---------------------------------------------------------------------------------------------
 
-@query("g1_rank_candidates", f"with {SCORES} select source, doc_id, (row_number() over (partition by source order by score desc, doc_id))::BIGINT as rank from scores")
+@query("g1_rank_candidates", f"with {SCORES} select (doc_id // 16)::BIGINT as qid, doc_id, (row_number() over (partition by doc_id // 16 order by score desc, doc_id))::BIGINT as rank from scores")
 def _(spark, d):
-    return R.rank_candidates(scores(spark, d), "source", "score", "doc_id").select("source", "doc_id", "rank")
+    return R.rank_candidates(scores(spark, d).withColumn("qid", F.floor(F.col("doc_id") / 16)), "qid", "score", "doc_id").select("qid", "doc_id", "rank")
 
 
 @query("g4_top_flagged", f"with {SCORES} select doc_id, round(greatest(score, {q.u(8, 'doc_id')}), 6) as top from scores order by greatest(score, {q.u(8, 'doc_id')}) desc, doc_id limit 25")

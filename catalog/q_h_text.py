@@ -64,7 +64,7 @@ def _(spark, d):
 
 @query("h6_lead_passage")
 def _(spark, d):
-    t = docs(spark, d, "doc_id", "text").withColumn("p", U.lead_passage("text", 60, 350))
+    t = U.pin(docs(spark, d, "doc_id", "text"), "p", U.lead_passage("text", 60, 350))
     return t.where(F.col("p").isNotNull()).select("doc_id", F.md5("p").alias("h"), F.size(F.split("p", r"\s+")).alias("n"))
 
 
@@ -109,7 +109,7 @@ def _(spark, d):
 
 @query("h13_fold", "select doc_id, md5(strip_accents(replace(text, 'ß', 'ss'))) as h from documents where strip_accents(replace(text, 'ß', 'ss')) <> text")
 def _(spark, d):
-    t = docs(spark, d, "doc_id", "text").withColumn("f", X.fold("text"))
+    t = U.pin(docs(spark, d, "doc_id", "text"), "f", X.fold("text"))
     return t.where("f <> text").select("doc_id", F.md5("f").alias("h"))
 
 

@@ -109,11 +109,11 @@ def _(spark, d):
     return J.claim_pairs(it, rest, "conv_id").select("conv_id", "claim", "label")
 
 
-@query("j13_scores_by_candidate", f"with {SCORES} select source, md5(string_agg(round(score * 100)::INT::VARCHAR, ',' order by doc_id)) as h, count(*)::BIGINT as n from scores group by source")
+@query("j13_scores_by_candidate", f"with {SCORES} select (doc_id // 16)::BIGINT as qid, md5(string_agg(round(score * 100)::INT::VARCHAR, ',' order by doc_id)) as h, count(*)::BIGINT as n from scores group by 1")
 def _(spark, d):
-    r = J.scores_by_candidate(scores(spark, d), "source", "doc_id", "score")
+    r = J.scores_by_candidate(scores(spark, d).withColumn("qid", F.floor(F.col("doc_id") / 16)), "qid", "doc_id", "score")
     ints = F.transform("scores", lambda x: F.round(x * 100).cast("int").cast("string"))
-    return r.select("source", F.md5(F.array_join(ints, ",")).alias("h"), F.size("scores").alias("n"))
+    return r.select("qid", F.md5(F.array_join(ints, ",")).alias("h"), F.size("scores").alias("n"))
 
 
 W = {"a": 0.35, "b": 0.25, "c": 0.15, "d": 0.15, "e": 0.05, "f": 0.05}

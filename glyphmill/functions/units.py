@@ -22,6 +22,12 @@ def explode_rows(df: DataFrame, cols: list, arr: Column | str, name: str, pos: s
     return out.where(F.col(pos).isNotNull())
 
 
+def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column behind a one-element generator: later filters test the computed value, where the optimizer
+    would otherwise copy the expression into every predicate and compute it again."""
+    return df.select(*[c for c in df.columns if c != name], F.explode_outer(F.array(value)).alias(name))
+
+
 def rfind(s: Column, ch: str) -> Column:
     """0-based position of the last occurrence, -1 when absent."""
     r = F.instr(F.reverse(s), ch)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import WS, _c, h32, sentences, u
-from ..functions.units import explode_rows, sentence_window, windows
+from ..functions.units import explode_rows, pin, sentence_window, windows
 
 
 def sentence_rows(df: DataFrame, ids: list[str], text: str, lo: int = 1, hi: int | None = None) -> DataFrame:
@@ -15,7 +15,7 @@ def sentence_rows(df: DataFrame, ids: list[str], text: str, lo: int = 1, hi: int
 
 def passages(df: DataFrame, key: str, text: str, kmin: int, kmax: int, lo: int, hi: int, seed=0, min_sent: int = 15) -> DataFrame:
     """One passage per row: kmin..kmax consecutive sentences from a hashed start, kept when lo..hi characters long."""
-    return df.withColumn("passage", sentence_window(text, key, seed, kmin, kmax, min_sent)).where(F.length("passage").between(lo, hi))
+    return pin(df, "passage", sentence_window(text, key, seed, kmin, kmax, min_sent)).where(F.length("passage").between(lo, hi))
 
 
 def window_rows(df: DataFrame, ids: list[str], words: str, size: int, stride: int) -> DataFrame:
