@@ -37,17 +37,18 @@ def count_class(c: Column | str, cls: str) -> Column:
 def script_frac(c: Column | str, script: Column | str) -> Column:
     """Share of letters that belong to the script; 1.0 for unknown scripts and for text without letters.
 
-    `script` is a script code column or a constant code; a column becomes one branch per script, so each row runs two
-    regular expressions whatever the number of scripts."""
+    `script` is a script code column or a constant code; a column picks its pattern from a literal map, so each row runs
+    two regular expressions whatever the number of scripts."""
     letters = count_class(c, r"\p{L}")
-    if isinstance(script, str) and script in SCRIPT_CLASS:
-        own = F.length(F.regexp_replace(_c(c), rf"[^\p{{L}}]|[^{SCRIPT_CLASS[script]}]", ""))
-        return F.when(letters == 0, 1.0).otherwise(own / letters)
-    code = _c(script)
-    own = F.lit(None).cast("int")
-    for name, cls in SCRIPT_CLASS.items():
-        own = F.when(code == name, F.length(F.regexp_replace(_c(c), rf"[^\p{{L}}]|[^{cls}]", ""))).otherwise(own)
-    return F.when((letters == 0) | ~code.isin(*SCRIPT_CLASS), 1.0).otherwise(own / letters)
+    foreign = {name: rf"[^\p{{L}}]|[^{cls}]" for name, cls in SCRIPT_CLASS.items()}
+    if isinstance(script, str) and script in foreign:
+        pattern, known = F.lit(foreign[script]), F.lit(True)
+    else:
+        table = F.create_map(*[F.lit(x) for kv in foreign.items() for x in kv])
+        pattern = F.try_element_at(table, _c(script))
+        known = pattern.isNotNull()
+    own = F.length(F.regexp_replace(_c(c), F.coalesce(pattern, F.lit("^$")), F.lit("")))
+    return F.when((letters == 0) | ~known, 1.0).otherwise(own / letters)
 
 
 def latin_share(c: Column | str) -> Column:

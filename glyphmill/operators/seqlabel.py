@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import _c, h32, u
 from ..functions.text import lower_keep_len
-from ..functions.units import cut, explode_rows, offsets_of
+from ..functions.units import cut, explode_rows, offsets_of, pin
 
 # Label set and the marks of the world's scripts that count as each label.
 LABELS = ["0", ".", ",", "?", "-", ":"]
@@ -61,13 +61,16 @@ def punct_units(df: DataFrame, text: str, lang: str | None = None, name: str = "
         lab = _strongest(F.regexp_extract(w, r"([^\p{L}\p{N}]*)$", 1), greek)
         kind = F.when(w.rlike(DASH), "dash").when(F.length(core) == 0, "mark").when(quote, "quote").otherwise("word")
         dot = (lab == ".") & F.regexp_replace(w, "[\"'»”’)\\]]+$", "").endswith(".")
-        return F.struct(core.alias("core"), lab.alias("lab"), kind.alias("kind"), dot.alias("dot"))
+        full = F.struct(core.alias("core"), lab.alias("lab"), kind.alias("kind"), dot.alias("dot"))
+        # most words hold nothing but letters and digits: one test instead of ten
+        plain = F.struct(w.alias("core"), F.lit("0").alias("lab"), F.lit("word").alias("kind"), F.lit(False).alias("dot"))
+        return F.when(w.rlike(r"^[\p{L}\p{N}]+$"), plain).otherwise(full)
 
-    d = df.withColumn("_items", F.transform(words, item))
+    d = pin(df, "_items", F.transform(words, item))
     it = F.col("_items")
     n = F.size(it)
     kept = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: (i < n) & F.get(it, i)["kind"].isin("word", "quote"))
-    d = d.withColumn("_kept", kept)
+    d = pin(d, "_kept", kept)
     nexts = F.concat(F.slice("_kept", 2, F.greatest(F.size("_kept"), F.lit(1))), F.array(n))
 
     def unit(a, b):
