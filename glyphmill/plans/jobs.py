@@ -11,8 +11,8 @@ from ..functions.keys import WS, norm_key, norm_ws, sentences, u
 from ..functions.text import ends_sentence, english_like, letter_share, script_frac
 from ..functions.units import explode_rows, pin, sentence_window, short_span
 from ..operators import augment, compress, dedup, filters, joins, labels, metrics, passages, profile, retrieval, sampling, seqlabel, spans
+from ..session import cut_lineage
 from ..sources.readers import pages_text
-from ..sources.sinks import build_report
 
 
 def training_table(df: DataFrame, evals: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "label", group: str = "source",
@@ -40,7 +40,8 @@ def passage_pool(tables: list[tuple[DataFrame, str]], per_lang: int, overrides:
     for df, name in tables:
         p = passages.passages(df, "key", "text", 2, 6, lo, hi, seed).select(F.concat_ws(":", F.lit(name), "key").alias("key"), "lang", "passage", F.lit(name).alias("pool"))
         out = p if out is None else out.unionByName(p)
-    one = dedup.dedup(out, ["passage"], "key")
+    # dedup and quota read the passages four times: cutting sentences once and writing the passages is cheaper
+    one = dedup.dedup(cut_lineage(out), ["passage"], "key")
     return sampling.quota(one, ["lang"], per_lang, seed, ["key"], overrides)
 
 
@@ -55,7 +56,7 @@ def language_id_table(df: DataFrame, evals: DataFrame, key: str, lang_label: str
         key, lang_label, "text", F.lit("long").alias("kind"))
     short = pin(long_.select(key, lang_label, F.col("text").alias("_t")), "text", short_span("_t", key, f"{seed}.s", 15, 60)).where(F.length("text") >= 5).select(
         key, lang_label, "text", F.lit("short").alias("kind"))
-    t = long_.unionByName(short)
+    t = cut_lineage(long_.unionByName(short))  # short samples, read once for the evaluation test and twice for dedup
     # a sample goes when it, or one of its sentences, is in an evaluation set
     ek = explode_rows(evals, [], F.concat(sentences("text"), F.array("text")), "s").select(dedup._digest([norm_ws("s")]).alias("_k")).distinct()
     sid = F.concat_ws("/", "kind", F.col(key).cast("string"))

@@ -5,12 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import NO_SPACE_LANGS
+# inputs below this many bytes stay in the few tasks they have
+MIN_SPREAD_BYTES = 256 << 10
 
 
 def read_table(spark: SparkSession, folder: str, name: str, cols: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return df.select(*cols) if cols else df
+    return spread(df.select(*cols) if cols else df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input has fewer splits than the cluster has cores and is not tiny.
+
+    A file with one row group is one split, and text work behind it would use one core. Tables with enough splits, the
+    case at scale, are returned as they are: no shuffle is added."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < MIN_SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
