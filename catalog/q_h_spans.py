@@ -214,22 +214,22 @@ def _(spark, d):
     return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
-@query("h18_fill_spans", """select c_custkey, 'Dear ' || c_name || ', your number is ' || c_phone || '.' as text, 5::BIGINT as s1, (5 + length(c_name))::BIGINT as e1,
- (5 + length(c_name) + 17)::BIGINT as s2, (22 + length(c_name) + length(c_phone))::BIGINT as e2 from customer""")
+@query("h18_fill_spans", """select c_custkey, 'Dear ' || c_name || ', your number is ' || c_mktsegment || '.' as text, 5::BIGINT as s1, (5 + length(c_name))::BIGINT as e1,
+ (5 + length(c_name) + 17)::BIGINT as s2, (22 + length(c_name) + length(c_mktsegment))::BIGINT as e2 from customer""")
 def _(spark, d):
-    c = table(spark, d, "customer", "c_custkey", "c_name", "c_phone")
+    c = table(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment")
     val = lambda v, l: F.struct(v.alias("value"), F.lit(l).alias("label"))
-    m = F.create_map(F.lit("NAME"), val(F.col("c_name"), "PERSON"), F.lit("PHONE"), val(F.col("c_phone"), "PHONE"))
+    m = F.create_map(F.lit("NAME"), val(F.col("c_name"), "PERSON"), F.lit("PHONE"), val(F.col("c_mktsegment"), "PHONE"))
     f = c.select("c_custkey", S.fill_spans(F.lit("Dear {NAME}, your number is {PHONE}."), m).alias("f"))
     at = lambda i, k: F.get("f.spans", F.lit(i))[k]
     return f.select("c_custkey", "f.text", at(0, "start").alias("s1"), at(0, "end").alias("e1"), at(1, "start").alias("s2"), at(1, "end").alias("e2"))
 
 
-@query("h19_strip_marks", """select c_custkey, 'Dear ' || c_name || ', your number is ' || c_phone || '.' as text, 1::BIGINT as n, 5::BIGINT as start, (5 + length(c_name))::BIGINT as "end" from customer""")
+@query("h19_strip_marks", """select c_custkey, 'Dear ' || c_name || ', your number is ' || c_mktsegment || '.' as text, 1::BIGINT as n, 5::BIGINT as start, (5 + length(c_name))::BIGINT as "end" from customer""")
 def _(spark, d):
     # PHONE is no known type here, so its value stays in the text without a span
-    c = table(spark, d, "customer", "c_custkey", "c_name", "c_phone")
-    marked = F.concat(F.lit("Dear ⟦PERSON:"), "c_name", F.lit("⟧, your number is ⟦PHONE:"), "c_phone", F.lit("⟧."))
+    c = table(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment")
+    marked = F.concat(F.lit("Dear ⟦PERSON:"), "c_name", F.lit("⟧, your number is ⟦PHONE:"), "c_mktsegment", F.lit("⟧."))
     text, spans = S.strip_marks(F.col("m"), ["PERSON"])
     r = c.withColumn("m", marked).select("c_custkey", text.alias("text"), spans.alias("sp"))
     return r.select("c_custkey", "text", F.size("sp").alias("n"), F.get("sp", F.lit(0))["start"].alias("start"), F.get("sp", F.lit(0))["end"].alias("end"))
