@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import _c, sentences
 from ..functions.units import explode_rows
+from .ranking import range_buckets
 from .sampling import balance_to_min
 
 
@@ -79,10 +80,20 @@ def pav_fit(df: DataFrame, x: str, y: str) -> DataFrame:
 def pav_apply(df: DataFrame, blocks: DataFrame, x: str, out: str) -> DataFrame:
     """Step lookup: the mean of the first block whose x_max is not below the value, the last block beyond all of them.
 
-    The blocks, one row per step of the curve, are gathered into one array and joined as a single row."""
-    arr = blocks.agg(F.sort_array(F.collect_list(F.struct("x_max", "y_mean"))).alias("_bl"))
-    hit = F.get(F.filter("_bl", lambda b: b["x_max"] >= F.col(x)), F.lit(0))
-    return df.crossJoin(F.broadcast(arr)).withColumn(out, F.when(F.col(x).isNotNull(), F.coalesce(hit["y_mean"], F.element_at("_bl", -1)["y_mean"]))).drop("_bl")
+    Distinct values and blocks are laid out in range buckets; inside a bucket a running look-up finds the next block, and
+    one row per bucket carries the first block of the buckets behind. Nothing is broadcast or held in one row, however
+    many steps the curve has."""
+    pts = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("_x")).distinct().select("_x", F.lit(1).alias("_v"), F.lit(None).cast("double").alias("_y"))
+    both = pts.unionByName(blocks.select(F.col("x_max").alias("_x"), F.lit(0).alias("_v"), F.col("y_mean").alias("_y")))
+    b = range_buckets(both, "_x")
+    w = Window.partitionBy("_rb").orderBy(F.col("_x").desc(), "_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = b.withColumn("_near", F.last("_y", ignorenulls=True).over(w)).where("_v = 1")
+    behind = Window.partitionBy(F.lit(0)).orderBy("_hb").rowsBetween(1, Window.unboundedFollowing)  # one row per bucket
+    steps = b.groupBy(F.col("_rb").alias("_hb")).agg(F.min_by("_y", F.when(F.col("_v") == 0, F.col("_x"))).alias("_f"))
+    steps = steps.select("_hb", F.first("_f", ignorenulls=True).over(behind).alias("_far"))
+    last = blocks.agg(F.max_by("y_mean", "x_max").alias("_last"))
+    found = inside.join(steps, inside["_rb"] == steps["_hb"]).crossJoin(last).select("_x", F.coalesce("_near", "_far", "_last").alias(out))
+    return df.join(found, df[x].cast("double") == found["_x"], "left").drop("_x")
 
 
 def calibration_table(blocks: DataFrame, points: list[float]) -> DataFrame:
