@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sharding, token_files
+from . import cube_mix, sharding, simhash_bk, token_files, winnowing
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +47,19 @@ def token_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
 @query("op10_token_files")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op6_winnowing", winnowing.SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_cube_mix")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube_mix.mix(table(spark, sf_dir, "documents"), weights=[5, 2, 1], share=1.5, cap=2.0)
+
+
+@query("op9_simhash_bk")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash_bk.near_duplicates(table(spark, sf_dir, "documents"), n=3, radius=3)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
