@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mix, sharding, simhash_bk, token_files, winnowing
+from . import cube_mix, sharding, simhash_bk, token_files, toxicity, winnowing
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash_bk.near_duplicates(table(spark, sf_dir, "documents"), n=3, radius=3)
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", ~toxicity.held_out(F.col("doc_id"), 5, 0))
+
+
+@query("op2_toxicity_knn")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.digest(docs, toxicity_model(spark, docs, sf_dir))
