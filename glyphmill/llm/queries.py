@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mix, sharding, simhash_bk, token_files, toxicity, winnowing
+from . import cube_mix, fm_quality, sharding, simhash_bk, token_files, toxicity, winnowing
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,10 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.digest(docs, toxicity_model(spark, docs, sf_dir))
+
+
+@query("op5_fm_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fm_quality.fit(docs, table(spark, sf_dir, "labels"), "quality", ~toxicity.held_out(F.col("doc_id"), 4, 2))
+    return fm_quality.digest(docs, model)
