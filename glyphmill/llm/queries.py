@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mix, fm_quality, sharding, simhash_bk, token_files, toxicity, winnowing
+from . import cube_mix, fertility, fm_quality, sharding, simhash_bk, token_files, toxicity, winnowing
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fm_quality.fit(docs, table(spark, sf_dir, "labels"), "quality", ~toxicity.held_out(F.col("doc_id"), 4, 2))
     return fm_quality.digest(docs, model)
+
+
+@query("op8_fertility")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fertility.judge(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "evenness", "outside")
