@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mix, fertility, fm_quality, sharding, simhash_bk, token_files, toxicity, winnowing
+from . import cube_mix, fertility, fm_quality, line_windows, sharding, simhash_bk, token_files, toxicity, url_lm, winnowing
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fertility.judge(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "evenness", "outside")
+
+
+@query("op1_url_lm", url_lm.SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lm.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op3_line_windows", line_windows.SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_windows.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), n_removed="n_removed")
