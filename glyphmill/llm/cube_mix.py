@@ -23,10 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved
+from .common import repeat_rows, row_key, saved
 
 BLOCK = 1024
-SCHEMA = "doc_id string, size long, key string, order long, base long, pi double"
+SCHEMA = "doc_id string, id string, h long, size long, key string, order long, base long, pi double"
 
 
 def n_words(text: str) -> Column:
@@ -104,7 +104,7 @@ def _settle(seed: int, round_: int, last: bool):
     """The flight of one block as a function of its rows."""
 
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], ignore_index=True)
+        frame = frame.sort_values(["size", "order"], ascending=[False, True], ignore_index=True)
         rng = np.random.default_rng(zlib.crc32(f"{seed} {round_} {frame['key'][0]} {frame['block'][0]}".encode()))
         frame["pi"] = flight(frame["pi"].to_numpy(), frame["size"].to_numpy("float64"), rng, last)
         return frame.drop(columns="block")
@@ -113,15 +113,15 @@ def _settle(seed: int, round_: int, last: bool):
 
 
 def mix(docs: DataFrame, weights: list[float], share: float = 1.5, cap: float = 2.0, seed: int = 7, block: int = BLOCK) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies) of every row of docs(doc_id, source, text)."""
+    """(doc_id, size, source_size, target, taken, copies, id, h) of every row of docs(doc_id, source, text); id and h name the row."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sizes = saved(docs.select("doc_id", "source", source_key("source").alias("key"), n_words("text").alias("size")), "mix-sizes")
+    sizes = saved(docs.select("doc_id", *row_key(docs), "source", source_key("source").alias("key"), n_words("text").alias("size")), "mix-sizes")
     per = saved(targets(sizes, weights, share, cap), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     per_rate = per.withColumn("rate", rate).withColumn("whole", F.floor(F.col("rate") + 1e-9)).withColumn(
         "pi", F.when(F.col("rate") - F.col("whole") > 1e-9, F.col("rate") - F.col("whole")).otherwise(F.lit(0.0)))
     rows = sizes.join(per_rate.select("key", "whole", "pi"), "key").select(
-        F.col("doc_id").cast("string").alias("doc_id"), "size", "key", F.xxhash64(F.lit(seed), "doc_id", "size", "key").alias("order"), F.col("whole").cast("long").alias("base"), "pi")
+        F.col("doc_id").cast("string").alias("doc_id"), "id", "h", "size", "key", F.xxhash64(F.lit(seed), "id", "h").alias("order"), F.col("whole").cast("long").alias("base"), "pi")
     most = per.agg(F.max("n")).first()[0] or 0
     open_, done, round_ = rows.where("pi > 0"), [rows.where("pi = 0")], 0
     while True:
@@ -142,4 +142,10 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, cap: float =
         result = result.unionByName(d)
     copies = F.col("base") + F.col("pi").cast("long")
     return result.join(per.select("key", "source_size", "target"), "key").select(
-        F.col("doc_id").cast(id_type).alias("doc_id"), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+        F.col("doc_id").cast(id_type).alias("doc_id"), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "id", "h")
+
+
+def taken(docs: DataFrame, **how) -> DataFrame:
+    """The rows that the mix takes, as often as it takes them, with the columns of the input."""
+    counts = mix(docs, **how).groupBy("id", "h").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies"))
+    return repeat_rows(docs, counts, "mix-taken")

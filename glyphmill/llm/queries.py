@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from . import cube_mix, fertility, fm_quality, line_windows, sharding, simhash_bk, token_files, toxicity, url_lm, winnowing
 from .common import scratch, table
 
+#: Parameters of the contracts, shared with the pipeline.
+MIX = {"weights": [5, 2, 1], "share": 1.5, "cap": 2.0}
+NEAR = {"n": 3, "radius": 3}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -56,12 +60,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_cube_mix")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cube_mix.mix(table(spark, sf_dir, "documents"), weights=[5, 2, 1], share=1.5, cap=2.0)
+    return cube_mix.mix(table(spark, sf_dir, "documents"), **MIX).drop("id", "h")
 
 
 @query("op9_simhash_bk")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = simhash_bk.near_duplicates(table(spark, sf_dir, "documents"), n=3, radius=3)
+    rows = simhash_bk.near_duplicates(table(spark, sf_dir, "documents"), **NEAR)
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

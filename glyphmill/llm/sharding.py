@@ -47,34 +47,37 @@ def first_map(weights: dict[int, tuple[int, int]], shards: int) -> dict[int, int
 
 
 def rebalance(old: dict[int, int], weights: dict[int, tuple[int, int]], shards: int, tolerance: float = 0.01) -> dict[int, int]:
-    """Edit a map: slots of dropped shards and of shards above the mean go to the lightest shard, all others stay."""
-    loads = [0] * shards
-    by_shard: dict[int, list[int]] = {i: [] for i in range(shards)}
-    loose = []
-    for slot, shard in old.items():
+    """Edit a map: slots of dropped shards go to the lightest shard, then single slots move from the heaviest shard that has a
+    fitting one to the lightest, until they differ by `tolerance` of the mean at most. All other slots stay."""
+    out = dict(old)
+    own: list[list[int]] = [[] for _ in range(shards)]
+    for slot, shard in sorted(old.items(), key=lambda x: (-weights[x[0]][0], x[0])):
         if shard < shards:
-            loads[shard] += weights[slot][0]
-            by_shard[shard].append(slot)
-        else:
-            loose.append(slot)
-    limit = sum(loads, sum(weights[s][0] for s in loose)) / shards * (1 + tolerance)
-    for shard, own in by_shard.items():
-        own.sort(key=lambda s: (-weights[s][0], s))
-        kept, load = [], 0
-        for s in own:
-            if load + weights[s][0] <= limit or not kept:
-                kept.append(s)
-                load += weights[s][0]
-            else:
-                loose.append(s)
-        by_shard[shard], loads[shard] = kept, load
-    out = {s: shard for shard, own in by_shard.items() for s in own}
-    heap = [(load, shard) for shard, load in enumerate(loads)]
-    heapq.heapify(heap)
-    for s in sorted(loose, key=lambda s: (-weights[s][0], s)):
-        load, shard = heapq.heappop(heap)
-        out[s] = shard
-        heapq.heappush(heap, (load + weights[s][0], shard))
+            own[shard].append(slot)
+    loads = [sum(weights[s][0] for s in slots) for slots in own]
+
+    def put(slot: int, shard: int) -> None:
+        out[slot] = shard
+        own[shard].append(slot)
+        loads[shard] += weights[slot][0]
+
+    for slot in sorted((s for s, shard in old.items() if shard >= shards), key=lambda s: (-weights[s][0], s)):
+        put(slot, min(range(shards), key=lambda i: (loads[i], i)))
+    mean, stuck = sum(loads) / shards, set()
+    while len(stuck) < shards - 1:
+        light = min(range(shards), key=lambda i: (loads[i], i))
+        heavy = max((i for i in range(shards) if i not in stuck and i != light), key=lambda i: (loads[i], -i), default=light)
+        gap = loads[heavy] - loads[light]
+        if gap <= tolerance * mean:
+            break
+        fitting = [s for s in own[heavy] if 0 < weights[s][0] <= gap / 2]
+        if not fitting:
+            stuck.add(heavy)
+            continue
+        slot = max(fitting, key=lambda s: (weights[s][0], -s))
+        own[heavy].remove(slot)
+        loads[heavy] -= weights[slot][0]
+        put(slot, light)
     return out
 
 

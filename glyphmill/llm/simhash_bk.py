@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import saved
+from .common import repeat_rows, row_key, saved
 from .components import components
 
 SHARD = 1024
@@ -52,15 +52,16 @@ def fingerprints_of(texts: pa.Array, n: int, seed: int = 42) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's 64 bits as a signed integer."""
+    """(doc_id, id, h, fp): fp holds the fingerprint's 64 bits as a signed integer; id and h name the row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in words.pieces(batch, 1):
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fingerprints_of(piece.column(1), n).view("int64"))], ["doc_id", "fp"])
+                fp = pa.array(fingerprints_of(piece.column(1), n).view("int64"))
+                yield pa.RecordBatch.from_arrays([piece.column(0), fp, piece.column(2), piece.column(3)], ["doc_id", "fp", "id", "h"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", *row_key(docs)).mapInArrow(run, f"doc_id {kind}, fp long, id string, h long")
 
 
 def block_keys(fp: Column, radius: int) -> Column:
@@ -177,11 +178,19 @@ def _frame(pairs: list[tuple[int, int]]) -> pd.DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
+    """(doc_id, id, h, fp, component_id, first) of every row; `first` is the component's first row: by id, then by text."""
     marks = saved(fingerprints(docs, n), "simhash")
-    distinct = saved(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "id", "h")
+    distinct = saved(marks.groupBy("fp").agg(F.min(row).alias("first")), "simhash-distinct")
     roots = components(links(distinct, radius))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marks.join(classes, "fp").select("doc_id", "fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    classes = rooted.select("fp", "root").join(least, "root").select("fp", "first")
+    return marks.join(classes, "fp").select("doc_id", "id", "h", "fp", F.col("first.doc_id").alias("component_id"), "first")
+
+
+def one_per_group(docs: DataFrame, n: int = 3, radius: int = 3) -> DataFrame:
+    """The first row of every component, with the columns of the input; of equal rows one."""
+    near = near_duplicates(docs, n, radius).where((F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h")))
+    counts = near.groupBy("id", "h").agg(F.count(F.lit(1)).alias("rows"), F.lit(1).cast("long").alias("copies"))
+    return repeat_rows(docs, counts, "simhash-kept")
