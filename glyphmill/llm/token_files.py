@@ -69,7 +69,7 @@ class WordEncoder:
 
     def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
         texts = [c.decode() for c in chunks]
-        one = [i for i, t in enumerate(texts) if t[0] == " " and t.count(" ") == 1 and t.strip() == t[1:] != ""]
+        one = [i for i, t in enumerate(texts) if t[:1] == " " and t.count(" ") == 1 and t.strip() == t[1:] != ""]
         rest = sorted({*range(len(texts))} - {*one}) if len(one) < len(texts) else []
         out: list[bytes] = [b""] * len(texts)
         for at, got in ((one, self.encode_spaced([texts[i] for i in one]) if one else []), (rest, self.encode_strings([texts[i] for i in rest]))):
