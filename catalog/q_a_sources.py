@@ -157,9 +157,9 @@ def _(spark, d):
     return S.append_missing(docs(spark, d, "doc_id", "lang"), table(spark, d, "labels", "doc_id"), "doc_id")
 
 
-PAGE_TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+PAGE_TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
   regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"""
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"""
 
 
 @query("a15_pages_text", f"select page_id, url, md5({PAGE_TEXT}) as h, length({PAGE_TEXT})::BIGINT as n from pages")

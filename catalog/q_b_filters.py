@@ -278,13 +278,13 @@ def _(spark, d):
 
 
 @query("b28_json_leaves", """with c as (select conv_id, turn, text from conversations)
-select conv_id, '$.turns.' || (row_number() over (partition by conv_id order by turn) - 1) || '.text' as path, length(text)::BIGINT as n from c qualify length(text) > 60""")
+select conv_id, '$.turns[' || (row_number() over (partition by conv_id order by turn) - 1) || '].text' as path, length(text)::BIGINT as n from c qualify length(text) > 60""")
 def _(spark, d):
     # every conversation as one nested JSON environment
     c = table(spark, d, "conversations")
     turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
     env = c.groupBy("conv_id").agg(F.to_json(F.struct(F.lit("env").alias("name"), turns.alias("turns"))).alias("js"))
-    return B.json_leaves(env, ["conv_id"], "js", 60, depth=3).select("conv_id", "path", F.length("text").alias("n"))
+    return B.json_leaves(env, ["conv_id"], "js", 60).select("conv_id", "path", F.length("text").alias("n"))
 
 
 @query("b29_drop_missing", "select d.doc_id, l.quality::BIGINT as quality from documents d join labels l using (doc_id) where d.doc_id % 7 <> 0")
@@ -310,11 +310,11 @@ def _(spark, d):
     return t.where(B.edgy("s", 0.5, "^src1", "t", 0.8)).select("doc_id")
 
 
-@query("b32_valid_label_set", r"""with t as (select conv_id, turn, string_split(text, '. ') as a, string_split(upper(text), '. ') as b, replace(substr(text, 1, 120), ',', '{}') as tpl from conversations)
+@query("b32_valid_label_set", r"""with t as (select conv_id, turn, string_split(text, '. ') as a, string_split(upper(text), '. ') as b, replace(text, ',', '{}') as tpl from conversations)
 select conv_id, turn from t where len(a) = len(b) and len([x for x in b if length(trim(x)) = 0]) = 0 and len(string_split(tpl, '{}')) = 2""")
 def _(spark, d):
     t = table(spark, d, "conversations", "conv_id", "turn", "text").select(
-        "conv_id", "turn", F.split("text", r"\. ").alias("a"), F.split(F.upper("text"), r"\. ").alias("b"), F.replace(F.substring("text", 1, 120), F.lit(","), F.lit("{}")).alias("tpl"))
+        "conv_id", "turn", F.split("text", r"\. ").alias("a"), F.split(F.upper("text"), r"\. ").alias("b"), F.replace("text", F.lit(","), F.lit("{}")).alias("tpl"))
     return t.where(B.valid_label_set("a", "b", "tpl")).select("conv_id", "turn")
 
 

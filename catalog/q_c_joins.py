@@ -97,21 +97,21 @@ def _(spark, d):
     return D.lookup(docs(spark, d, "doc_id", "lang"), table(spark, d, "labels", "doc_id", "quality"), "doc_id").fillna({"quality": -1})
 
 
-@query("c9_ranking_rows", f"""with qs as (select doc_id as qid, lang, substr(text, 1, 40) as query from documents where doc_id in (select doc_id from labels)),
+@query("c9_ranking_rows", f"""with qs as (select doc_id as qid, lang, text as query from documents where doc_id in (select doc_id from labels)),
  cand as (select qs.qid, j as pos, (({q.h32(4, 'qs.qid')} + j * 37) % (select max(doc_id) + 1 from documents))::BIGINT as cid from qs, range(8) r(j)),
- x as (select c.qid, c.pos, c.cid, case when dd.lang = qs.lang then 1 else 0 end as rel, substr(dd.text, 1, 60) as doc from cand c join documents dd on dd.doc_id = c.cid join qs on qs.qid = c.qid)
-select qid, any_value(qs.query) as query, string_agg(cid::VARCHAR, ',' order by pos) as cids, string_agg(rel::VARCHAR, ',' order by pos) as rels, md5(string_agg(doc, '|' order by pos)) as docs_h
+ x as (select c.qid, c.pos, c.cid, case when dd.lang = qs.lang then 1 else 0 end as rel, dd.text as doc from cand c join documents dd on dd.doc_id = c.cid join qs on qs.qid = c.qid)
+select qid, md5(any_value(qs.query)) as query_h, string_agg(cid::VARCHAR, ',' order by pos) as cids, string_agg(rel::VARCHAR, ',' order by pos) as rels, md5(string_agg(doc, '|' order by pos)) as docs_h
 from x join qs using (qid) group by qid having max(rel) = 1 and min(rel) = 0""")
 def _(spark, d):
     t = docs(spark, d, "doc_id", "lang", "text")
-    qs = t.join(table(spark, d, "labels", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("qid"), "lang", F.substring("text", 1, 40).alias("query"))
+    qs = t.join(table(spark, d, "labels", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("qid"), "lang", F.col("text").alias("query"))
     n = t.agg((F.max("doc_id") + 1).alias("n"))
     top = qs.crossJoin(n).select("qid", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.pmod(K.h32(4, "qid") + j * 37, F.col("n"))).alias("cands"))
-    corpus = t.select(F.col("doc_id").alias("cid"), F.substring("text", 1, 60).alias("doc"))
+    corpus = t.select(F.col("doc_id").alias("cid"), F.col("text").alias("doc"))
     langs = t.select(F.col("doc_id").alias("cid"), F.col("lang").alias("clang"))
     qrels = top.select("qid", F.explode("cands").alias("cid")).distinct().join(langs, "cid").join(qs.select("qid", "lang"), "qid").where("clang = lang").select("qid", "cid", F.lit(1).alias("rel"))
     r = C.ranking_rows(corpus, qs.select("qid", "query"), qrels, top)
-    return r.select("qid", "query", F.array_join("cids", ",").alias("cids"), F.array_join("rels", ",").alias("rels"), F.md5(F.array_join("docs", "|")).alias("docs_h"))
+    return r.select("qid", F.md5("query").alias("query_h"), F.array_join("cids", ",").alias("cids"), F.array_join("rels", ",").alias("rels"), F.md5(F.array_join("docs", "|")).alias("docs_h"))
 
 
 @query("c10_pad_candidates", f"""with pool as (select doc_id as did, lang, row_number() over (partition by lang order by {q.h32(0, 'doc_id')}, doc_id) as rk, count(*) over (partition by lang) as n from documents),
@@ -128,14 +128,21 @@ def _(spark, d):
     return r.select("qid", F.array_join("cands", ",").alias("cands"))
 
 
-@query("c11_distractor_context")
+@query("c11_distractor_context", f"""with p as (select doc_id as pid, source as title, text from documents),
+ ti as (select title, cnt, row_number() over (order by {q.h32('0.t', 'title')}, title) as tr, count(*) over () - 1 as t from (select title, count(*) as cnt from p group by title)),
+ pr as (select *, row_number() over (partition by title order by {q.h32('0.p', 'pid')}, pid) as k from p),
+ qs as (select pid * 10 as qid, title, pid as gold from p where pid in (select doc_id from labels)),
+ want as (select qid, j, (tr - 1 + 1 + ({q.h32('0.d', 'qid')} + j) % t) % (t + 1) + 1 as tr from qs join ti using (title) cross join range(4) r(j) where j < t),
+ x as (select w.qid, pr.pid, pr.text, 0 as g from want w join ti o on o.tr = w.tr join pr on pr.title = o.title and pr.k = {q.h32('0.i', 'w.qid', 'w.j')} % o.cnt + 1 union all select qid, gold, text, 1 from qs join p on p.pid = qs.gold)
+select qid, (list_position(list(g order by {q.h32('0.o', 'qid', 'pid')}, pid), 1) - 1)::BIGINT as gold_pos, string_agg(pid::VARCHAR, ',' order by {q.h32('0.o', 'qid', 'pid')}, pid) as pids,
+ md5(string_agg(text, chr(10) || chr(10) order by {q.h32('0.o', 'qid', 'pid')}, pid)) as h from x group by qid""")
 def _(spark, d):
     # title = source, paragraph = document; every labelled document is the gold paragraph of one question
     t = docs(spark, d, "doc_id", "source", "text").select(F.col("doc_id").alias("pid"), F.col("source").alias("title"), "text")
     qs = t.join(table(spark, d, "labels", "doc_id").withColumnRenamed("doc_id", "pid"), "pid", "left_semi").select(
         (F.col("pid") * 10).alias("qid"), "title", "pid")
     r = C.distractor_context(qs, t, 4)
-    return r.select("qid", "gold_pos", F.array_join("pids", ",").alias("pids"), F.length("context").alias("n"))
+    return r.select("qid", "gold_pos", F.array_join("pids", ",").alias("pids"), F.md5("context").alias("h"))
 
 
 @query("c12_assemble_shards", f"""select d.doc_id, round({q.u(13, 'd.doc_id')}, 6) as score from documents d""")

@@ -52,12 +52,15 @@ def _(spark, d):
     return D.dedup(docs(spark, d, "doc_id", "source", "text").where(F.length("text") >= 40), [F.col("source"), K.norm_key("text")], "doc_id").select("doc_id", "source")
 
 
-@query("d4a_unique_both", f"""with a as (select * from documents qualify row_number() over (partition by {q.k1('substr(text, 1, 30)')} order by doc_id) = 1),
- b as (select * from a qualify row_number() over (partition by {q.k1('substr(text, 31, 60)')} order by doc_id) = 1)
-select doc_id, source from b qualify row_number() over (partition by source order by doc_id) <= 12""")
-def _(spark, d):
-    t = docs(spark, d, "doc_id", "source", "text").select("doc_id", "source", F.substring("text", 1, 30).alias("a"), F.substring("text", 31, 60).alias("b"))
-    return D.unique_both(t, "a", "b", "source", 12, "doc_id").select("doc_id", "source")
+@query("d4a_unique_both", f"""with t as (select 'd' || doc_id as id, source, length(text) // 2 as n, text from documents),
+ a as (select * from t qualify row_number() over (partition by {q.k1('substr(text, 1, n)')} order by id) = 1),
+ b as (select * from a qualify row_number() over (partition by {q.k1('substr(text, n + 1)')} order by id) = 1)
+select id, source from b qualify row_number() over (partition by source order by id) <= 12""")
+def _(spark, d):
+    # the two sides are the halves of the text; ids are strings
+    n = F.floor(F.length("text") / 2).cast("int")
+    t = docs(spark, d, "doc_id", "source", "text").select(F.concat(F.lit("d"), "doc_id").alias("id"), "source", F.col("text").substr(F.lit(1), n).alias("a"), F.col("text").substr(n + 1, F.length("text")).alias("b"))
+    return D.unique_both(t, "a", "b", "source", 12, "id").select("id", "source")
 
 
 @query("d5a_majority", """select user_id, round(avg(v), 6) as mean_label, count(*)::BIGINT as votes, arg_min(event_type, event_id) as event_type, (avg(v) > 0.5)::INT::BIGINT as label

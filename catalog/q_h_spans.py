@@ -51,18 +51,18 @@ def _(spark, d):
     return S.explode_spans(t, "doc_id", "clean")
 
 
-@query("h21_locate_entities", f"""with e as (select doc_id, text, unnest(list_distinct([x for x in string_split(regexp_replace(substr(text, 1, 80), '[^\\p{{L}}]+', ' ', 'g'), ' ') if length(x) >= 4])) as w from documents)
+@query("h21_locate_entities", f"""with e as (select doc_id, text, unnest(list_distinct([x for x in string_split(regexp_replace(text, '[^\\p{{L}}]+', ' ', 'g'), ' ') if length(x) >= 14])) as w from documents)
 select doc_id, w as label, (len(string_split(text, w)) - 1)::BIGINT as n, (instr(text, w) - 1)::BIGINT as first from e""")
 def _(spark, d):
-    # entities: the distinct longer words of the first 80 characters; the label is the word itself
-    words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.substring("text", 1, 80), r"[^\p{L}]+", " "), " "), lambda w: F.length(w) >= 4))
+    # entities: the distinct long words of the whole text; the label is the word itself
+    words = F.array_distinct(F.filter(F.split(F.regexp_replace("text", r"[^\p{L}]+", " "), " "), lambda w: F.length(w) >= 14))
     t = docs(spark, d, "doc_id", "text").withColumn("ents", F.transform(words, lambda w: F.struct(w.alias("text"), w.alias("label"))))
     s = S.explode_spans(t.withColumn("spans", S.locate_all("text", "ents", 2)), "doc_id", "spans")
     return s.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"))
 
 
 def _entities(text="text"):
-    words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.substring(text, 1, 120), r"[^\p{L}]+", " "), " "), lambda w: F.length(w) >= 3))
+    words = F.array_distinct(F.filter(F.split(F.regexp_replace(text, r"[^\p{L}]+", " "), " "), lambda w: F.length(w) >= 14))
     return F.transform(words, lambda w: F.struct(w.alias("text"), F.when(w.rlike(r"^\p{Lu}"), "PERSON").otherwise("TERM").alias("label")))
 
 

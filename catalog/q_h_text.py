@@ -44,13 +44,13 @@ def rfind(s):
     return f"case when instr(reverse({s}), ' ') = 0 then -1 else length({s}) - instr(reverse({s}), ' ') end"
 
 
-@query("h4_short_span", f"""with a as (select doc_id, trim(regexp_replace(substr(text, 1, 400), '{q.WS}+', ' ', 'g')) as s, {q.h32('4.l', 'doc_id')} % 46 + 15 as n, {q.h32('4.s', 'doc_id')} as hs from documents),
+@query("h4_short_span", f"""with a as (select doc_id, trim(regexp_replace(text, '{q.WS}+', ' ', 'g')) as s, {q.h32('4.l', 'doc_id')} % 46 + 15 as n, {q.h32('4.s', 'doc_id')} as hs from documents),
  b as (select *, hs % (greatest(length(s) - n, 0) + 1) as ps from a), c as (select *, substr(s, (ps + 1)::INT, n::INT) as sp from b),
  e as (select *, instr(trim(sp), ' ') > 0 as spaced from c), f as (select *, case when spaced and ps > 0 then substr(sp, instr(sp, ' ') + 1) else sp end as hd from e),
  g as (select *, {rfind('hd')} as tl from f)
 select doc_id, trim(case when length(s) > n then case when spaced and tl > 5 then substr(hd, 1, tl) else hd end else s end) as span from g""")
 def _(spark, d):
-    flat = F.trim(F.regexp_replace(F.substring("text", 1, 400), K.WS + "+", " "))
+    flat = F.trim(F.regexp_replace("text", K.WS + "+", " "))
     t = docs(spark, d, "doc_id", "text").select("doc_id", flat.alias("s"))
     return t.select("doc_id", U.short_span("s", "doc_id", 4, 15, 60).alias("span"))
 
@@ -395,7 +395,7 @@ def _(spark, d):
     return r.groupBy("own", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-QA = rf"""qa as (select conv_id, turn, lower(substr(text, 1, 80)) as pred, [lower(substr(text, 20, 80)), lower(substr(text, 1, 40))] as ans from conversations),
+QA = rf"""qa as (select conv_id, turn, lower(text) as pred, [lower(substr(text, 20)), lower(substr(text, 1, length(text) // 2))] as ans from conversations),
  x as (select conv_id, turn, pred, unnest(ans) as an, unnest([0, 1]) as a from qa), tk as (select conv_id, turn, a, [t for t in regexp_split_to_array(regexp_replace(pred, '[\p{{P}}\p{{S}}]', ' ', 'g'), '{q.WS}+') if t not in ('', 'a', 'an', 'the')] as p,
  [t for t in regexp_split_to_array(regexp_replace(an, '[\p{{P}}\p{{S}}]', ' ', 'g'), '{q.WS}+') if t not in ('', 'a', 'an', 'the')] as g from x),
  pc as (select conv_id, turn, a, t, count(*) as n from (select conv_id, turn, a, unnest(p) as t from tk) group by all), gc as (select conv_id, turn, a, t, count(*) as n from (select conv_id, turn, a, unnest(g) as t from tk) group by all),
@@ -406,8 +406,10 @@ QA = rf"""qa as (select conv_id, turn, lower(substr(text, 1, 80)) as pred, [lowe
 
 def _qa(spark, d):
     c = table(spark, d, "conversations", "conv_id", "turn", "role", "text")
-    low = lambda a, n: F.lower(F.substring("text", a, n))
-    return c.select(F.struct("conv_id", "turn").alias("qid"), "role", low(1, 80).alias("pred"), F.array(low(20, 80), low(1, 40)).alias("ans"))
+    # the prediction is the whole turn, the answers are all but its beginning and its first half
+    part = lambda a, n: F.lower(F.col("text").substr(F.lit(a), n))
+    n = F.length("text")
+    return c.select(F.struct("conv_id", "turn").alias("qid"), "role", F.lower("text").alias("pred"), F.array(part(20, n), part(1, F.floor(n / 2).cast("int"))).alias("ans"))
 
 
 @query("n18_qa_f1", f"with {QA} select conv_id, turn, round(f1, 6) as f1, em::BIGINT as em from qf")

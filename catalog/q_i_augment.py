@@ -31,7 +31,7 @@ SQL = {
     "fullwidth": f"translate(text, '{ASCII.replace(chr(39), chr(39) * 2)} ', '{FULL}')",
     "tags": f"translate(text, ' {ASCII.replace(chr(39), chr(39) * 2)}', '{TAGS}')",
     "upside": f"array_to_string(list_reverse(string_split(translate(text, '{PT.LOWER + PT.LOWER.upper()}', '{PT.UPSIDE * 2}'), '')), '')",
-    "spaces": f"case when length(text) < 400 then array_to_string({CH.format(t='text')}, ' ') else regexp_replace(text, '([\\p{{L}}\\p{{N}}_])', '\\1 ', 'g') end",
+    "spaces": f"array_to_string({CH.format(t='text')}, ' ')",
     "dots": "array_to_string([array_to_string([x for x in string_split(w, '') if x <> ''], '.') for w in regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+') if w <> ''], ' ')",
     "altcase": "array_to_string([case when i % 2 = 0 then case when x = 'ß' then 'SS' else upper(x) end else lower(x) end for x, i in " + CH.format(t="text") + "], '')",
 }
@@ -56,7 +56,7 @@ def _(spark, d):
 @query("i4_typos")
 def _(spark, d):
     t = PT.perturb("text", "typos", 0.08, 4, "doc_id")
-    return docs(spark, d, "doc_id", "text").select("doc_id", F.md5(t).alias("h"), F.levenshtein(F.substring("text", 1, 200), F.substring(t, 1, 200)).alias("distance"))
+    return docs(spark, d, "doc_id", "text").select("doc_id", F.md5(t).alias("h"), (F.length(t) - F.length("text")).alias("longer"))
 
 
 @query("i5_perturb_window", f"""with a as (select doc_id, text, {q.h32('5.s', 'doc_id')} % (greatest(length(text) - 400, 0) + 1) as s, {q.h32('5.e', 'doc_id')} % 301 + 100 as n from documents)
@@ -78,11 +78,12 @@ FRAMES = ["{p}", "Note: {p}", "<!-- {p} -->", "[[ {p} ]]"]
 
 
 @query("i7_insert_payloads", f"""with pl as (select conv_id as pid, arg_min(text, turn) as payload from conversations where role = 'user' group by conv_id), rk as (select *, row_number() over (order by {q.h32('7.r', 'pid')}, pid) as pr, count(*) over () as n from pl),
- c as (select doc_id, text, {q.u('7.a', 'doc_id')} < 0.5 as att, {q.h32('7.k', 'doc_id')} % (select count(*) from pl) + 1 as pr, ['{{p}}','Note: {{p}}','<!-- {{p}} -->','[[ {{p}} ]]'][({q.h32('7.f', 'doc_id')} % 4 + 1)::INT] as fr, {q.u('7.p', 'doc_id')} as up, {q.u('7.g', 'doc_id')} as ug,
+ c as (select doc_id, text, {q.u('7.a', 'doc_id')} < 0.5 as att, {q.h32('7.k', 'doc_id')} % (select count(*) from pl) + 1 as pr, ['{{p}}','Note: {{p}}','<!-- {{p}} -->','[[ {{p}} ]]'][({q.h32('7.f', 'doc_id')} % 4 + 1)::INT] as fr, {q.u('7.p', 'doc_id')} as up,
   substr(text, 1, ({q.h32('7.c', 'doc_id')} % (length(text) + 1))::INT) as hd from documents),
- j as (select c.*, replace(fr, '{{p}}', payload) as p, greatest(case when instr(reverse(hd), ' .') > 0 then length(hd) - instr(reverse(hd), ' .') - 1 else -1 end, case when instr(reverse(hd), chr(10)) = 0 then -1 else length(hd) - instr(reverse(hd), chr(10)) end) as m from c join rk using (pr))
-select doc_id, att::INT::BIGINT as label, md5(case when not att then text when up < 0.2 then p || chr(10) || chr(10) || text when up < 0.45 or m <= 0 then text || chr(10) || chr(10) || p
- else substr(text, 1, (m + 1)::INT) || case when ug < 0.5 then chr(10) else ' ' end || p || ' ' || substr(text, (m + 2)::INT) end) as h from j""")
+ j as (select c.*, replace(fr, '{{p}}', payload) as p, instr(reverse(hd), case when up < 0.8 then ' .' else chr(10) end) as back from c join rk using (pr)),
+ k as (select *, case when back > 0 then length(hd) - back + 1 else 0 end as m from j)
+select doc_id, att::INT::BIGINT as label, md5(case when not att then text when up < 0.2 then p || chr(10) || chr(10) || text when up < 0.4 or m = 0 then text || chr(10) || chr(10) || p
+ else substr(text, 1, m::INT) || p || case when up < 0.8 then ' ' else chr(10) end || substr(text, (m + 1)::INT) end) as h from k""")
 def _(spark, d):
     # first user messages are the payloads, documents the carriers
     pl = table(spark, d, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("pid")).agg(F.min_by("text", "turn").alias("payload"))

@@ -39,7 +39,7 @@ def _(spark, d):
     # the surviving row depends on arrival; the set of keys does not
     from glyphmill.functions.keys import norm_key
 
-    return _drain(spark, ST.stream_dedup(_source(spark, d), "text")).select(F.md5(norm_key("text")).alias("h"))
+    return _drain(spark, ST.stream_dedup(_source(spark, d), "text", None)).select(F.md5(norm_key("text")).alias("h"))
 
 
 @query("st3_stream_decontaminate", f"select doc_id, lang from documents where {q.k1('text')} not in (select {q.k1('text')} from documents where doc_id % 40 = 0)")
@@ -50,4 +50,6 @@ def _(spark, d):
 
 @query("st4_stream_quota", "select lang, least(count(*), 60)::BIGINT as n from documents group by lang")
 def _(spark, d):
-    return _drain(spark, ST.stream_quota(_source(spark, d), "lang", 60, "doc_id")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sink, ckpt = scratch(spark), scratch(spark)
+    ST.stream_quota(_source(spark, d), "lang", 60, "doc_id", sink, ckpt).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{sink}/rows").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))

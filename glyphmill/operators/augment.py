@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import WS, _c, h32, sentences, u
-from ..functions.perturb import EVAL_OPS, OPS, chance, draw, perturb
+from ..functions.perturb import EVAL_OPS, OPS, draw, perturb, typos, weighted
 from ..functions.text import english_like, fold, latin_share, script_frac
-from ..functions.units import cut, explode_rows, pin, rfind, short_span
+from ..functions.units import NO_SPACE_LANGS, cut, explode_rows, pin, short_span
 from .dedup import dedup
 from .sampling import hash_rank
 from .spans import fill_spans, iban_complete, luhn_complete
@@ -32,17 +32,28 @@ def perturb_window(df: DataFrame, text: str, key: str, op: str, lo: int = 100, h
     return df.withColumn(text, F.concat(cut(t, F.lit(0), s), perturb(cut(t, s, e), op, r, seed, key), cut(t, e)))
 
 
-def insert_at(carrier: Column, payload: Column, key: Column | str, seed) -> Column:
-    """Payload before, after, or at the sentence boundary before a hashed place of the carrier."""
-    pos = u(f"{seed}.p", key)
-    at = F.pmod(h32(f"{seed}.c", key), (F.length(carrier) + 1).cast("bigint"))
-    head = cut(carrier, F.lit(0), at)
-    stop = F.when(F.instr(F.reverse(head), " .") > 0, F.length(head) - F.instr(F.reverse(head), " .") - 1).otherwise(-1)
-    m = F.greatest(stop, rfind(head, "\n"))
-    end = F.concat(carrier, F.lit("\n\n"), payload)
-    glue = F.when(u(f"{seed}.g", key) < 0.5, "\n").otherwise(" ")
-    inside = F.concat(cut(carrier, F.lit(0), m + 1), glue, payload, F.lit(" "), cut(carrier, m + 1))
-    return F.when(pos < 0.2, F.concat(payload, F.lit("\n\n"), carrier)).when((pos < 0.45) | (m <= 0), end).otherwise(inside)
+#: Own choice: share of payloads per place.
+PLACES = {"start": 0.2, "end": 0.2, "sentence": 0.4, "line": 0.2}
+
+
+def insert_at(carrier: Column, payload: Column, key: Column | str, seed, places: dict[str, float] = PLACES) -> Column:
+    """Payload at a named place of the carrier, drawn by hash: as its first or last block, or behind the last sentence end or
+    line end before a hashed position (as the last block where there is none)."""
+    head = cut(carrier, F.lit(0), F.pmod(h32(f"{seed}.c", key), (F.length(carrier) + 1).cast("bigint")))
+
+    def behind(mark: str) -> Column:
+        """Length of the head up to and including the last mark; 0 without one."""
+        back = F.instr(F.reverse(head), mark[::-1])
+        return F.when(back > 0, F.length(head) - back + 1).otherwise(F.lit(0))
+
+    last = F.concat(carrier, F.lit("\n\n"), payload)
+    inside = lambda at, glue: F.when(at > 0, F.concat(cut(carrier, F.lit(0), at), payload, F.lit(glue), cut(carrier, at))).otherwise(last)
+    texts = {"start": F.concat(payload, F.lit("\n\n"), carrier), "end": last, "sentence": inside(behind(". "), " "), "line": inside(behind("\n"), "\n")}
+    p, upto, out = u(f"{seed}.p", key), 1.0, last
+    for name in reversed(places):
+        out = F.when(p < upto, texts[name]).otherwise(out)
+        upto = round(upto - places[name], 9)
+    return out
 
 
 def insert_payloads(carriers: DataFrame, payloads: DataFrame, frames: list[str], cid: str, pid: str, text: str = "text", payload: str = "payload", seed=0) -> DataFrame:
@@ -68,28 +79,35 @@ def paired_contexts(df: DataFrame, context: str, attack: str, ids: list[str]) ->
     return df.where((F.length(a) > 0) & t.contains(a)).select(*ids, F.explode(rows).alias("r")).select(*ids, "r.*")
 
 
-def _typo(w: Column, seed, key: Column, i: Column, chars: Column) -> Column:
-    """One edit: drop, swap with the next, insert, or double a character."""
-    n = F.length(w)
-    at = draw(f"{seed}.at", key, F.greatest(n, F.lit(1)), i)
-    p = chance(f"{seed}.e", key, i)
-    a, ch, nx = cut(w, F.lit(0), at), cut(w, at, at + 1), cut(w, at + 1, at + 2)
-    extra = F.get(chars, draw(f"{seed}.x", key, F.greatest(F.size(chars), F.lit(1)), i))
-    return (F.when(n < 2, w).when((p < 0.3) & (n > 2), F.concat(a, cut(w, at + 1))).when((p < 0.55) & (at < n - 1), F.concat(a, nx, ch, cut(w, at + 2)))
-            .when(p < 0.8, F.concat(a, extra, cut(w, at))).otherwise(F.concat(a, ch, ch, cut(w, at + 1))))
+def split_words(sentence: Column | str, lang: Column | str | None = None) -> Column:
+    """Words between white space; single characters in languages that are written without spaces."""
+    spaced = F.filter(F.split(_c(sentence), rf"{WS}+"), lambda x: x != "")
+    if lang is None:
+        return spaced
+    single = F.filter(F.split(_c(sentence), ""), lambda x: ~x.rlike(rf"^{WS}*$"))
+    return F.when(F.coalesce(_c(lang).isin(*NO_SPACE_LANGS), F.lit(False)), single).otherwise(spaced)
+
+
+def join_words(words: Column, lang: Column | str | None = None) -> Column:
+    glued = F.lit(False) if lang is None else F.coalesce(_c(lang).isin(*NO_SPACE_LANGS), F.lit(False))
+    return F.when(glued, F.array_join(words, "")).otherwise(F.array_join(words, " "))
+
 
+#: Own choice: what happens to a word of mild gibberish, by weight, and the share of letters that slip in a mistyped one.
+MILD = {"type": 45, "lose": 17, "move": 13, "keep": 25}
+MILD_SLIPS = 0.3
 
-def mild_gibberish(words: Column | str, key: Column | str, seed, chars: Column) -> Column:
-    """Typos in 30-60 % of the words, 10-25 % of the words gone, some neighbours swapped; NULL below four words."""
+
+def mild_gibberish(words: Column | str, key: Column | str, seed, chars: Column, lang: Column | str | None = None, fate: dict[str, float] = MILD) -> Column:
+    """Every word meets a fate by hash: mistyped, lost, moved behind its right neighbour, or kept; NULL below four words."""
     ws, k = _c(words), _c(key)
-    share = 0.3 + 0.3 * chance(f"{seed}.share", k)
-    drop = 0.1 + 0.15 * chance(f"{seed}.drop", k)
-    typed = F.transform(ws, lambda w, i: F.when(chance(f"{seed}.t", k, i) < share, _typo(w, seed, k, i, chars)).otherwise(w))
-    left = F.filter(typed, lambda w, i: chance(f"{seed}.d", k, i) >= drop)
-    left = F.when(F.size(left) > 0, left).otherwise(typed)
-    # a sixth of the places, even ones only so that swaps do not meet, trade with their right neighbour
-    keyed = F.transform(left, lambda w, i: F.struct((i + F.when((i % 2 == 0) & (chance(f"{seed}.s", k, F.floor(i / 2)) < 1 / 3), 1.5).otherwise(0)).alias("o"), i.alias("i"), w.alias("w")))
-    return F.when(F.size(ws) >= 4, F.array_join(F.transform(F.array_sort(keyed), lambda x: x["w"]), " "))
+    met = F.transform(ws, lambda w, i: F.struct(w.alias("w"), weighted(f"{seed}.fate", k, fate, i).alias("fate"), i.alias("i")))
+    left = F.filter(met, lambda x: x["fate"] != "lose")
+    left = F.when(F.size(left) > 0, left).otherwise(met)
+    kept = F.transform(left, lambda x: F.struct(
+        (x["i"] + F.when(x["fate"] == "move", 1.5).otherwise(0.0)).alias("place"), x["i"].alias("i"),
+        F.when(x["fate"] == "type", typos(x["w"], MILD_SLIPS, f"{seed}.slip", F.concat_ws(".", k, x["i"].cast("string")), letters=chars)).otherwise(x["w"]).alias("w")))
+    return F.when(F.size(ws) >= 4, join_words(F.transform(F.array_sort(kept), lambda x: x["w"]), lang))
 
 
 def word_salad(df: DataFrame, lang: str, sid: list[str], sentence: str, seed=0, size: int = 3, max_words: int = 16) -> DataFrame:
@@ -97,40 +115,52 @@ def word_salad(df: DataFrame, lang: str, sid: list[str], sentence: str, seed=0,
     group is small whatever the size of the language."""
     r = hash_rank(df.select(lang, *sid, sentence), [lang], f"{seed}.g", sid)
     r = r.withColumn("grp", F.floor((F.col("_rank") - 1) / size))
-    w = explode_rows(r, [lang, "grp", "_rank"], F.filter(F.split(sentence, rf"{WS}+"), lambda x: x != ""), "w")
+    w = explode_rows(r, [lang, "grp", "_rank"], split_words(sentence, lang), "w")
     w = w.withColumn("_o", h32(f"{seed}.o", lang, "grp", "_rank", "pos"))
     g = w.groupBy(lang, "grp").agg(F.sort_array(F.collect_list(F.struct("_o", "_rank", "pos", "w"))).alias("l"))
     n = 3 + F.pmod(h32(f"{seed}.n", lang, "grp"), F.lit(max_words - 2))
-    return g.where(F.size("l") >= 3).select(lang, "grp", F.array_join(F.slice(F.col("l.w"), F.lit(1), n.cast("int")), " ").alias("text"))
+    return g.where(F.size("l") >= 3).select(lang, "grp", join_words(F.slice(F.col("l.w"), F.lit(1), n.cast("int")), lang).alias("text"))
 
 
-# Keyboard rows and symbol sets.
+# Keyboard rows.
 KEYBOARD = ["qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "йцукенгшщзхъ", "фывапролджэ", "ячсмитьбю"]
-SYMBOLS = "0123456789!@#$%^&*()_+-=[]{};:,./?~ "
-BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+#: ASCII without letters and space.
+SYMBOLS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalpha())
+HEX = "0123456789abcdef"
 
 
 def _pool(s: str) -> Column:
     return F.array(*[F.lit(c) for c in s])
 
 
-def noise(key: Column | str, chars: Column, seed=0, other: Column | None = None) -> Column:
-    """Noise string: random letters of the language, keyboard rows, repeats, symbols, encoded text or mixed scripts."""
-    k = _c(key)
-    p = chance(f"{seed}.kind", k)
+def _strings(pool: Column, k: Column, tag: str, most: int, longest: int) -> Column:
+    """1..most strings of 2..longest characters of the pool."""
+    size = F.greatest(F.size(pool), F.lit(1))
+    one = lambda i: F.array_join(F.transform(F.sequence(F.lit(0), 1 + draw(f"{tag}.len", k, longest - 1, i)), lambda j: F.get(pool, draw(f"{tag}.char", k, size, i, j))), "")
+    return F.array_join(F.transform(F.sequence(F.lit(0), draw(f"{tag}.n", k, most)), one), " ")
+
 
-    def words(pool: Column, n: Column, lo: int, hi: int, tag: str) -> Column:
-        one = lambda i: F.array_join(F.transform(F.sequence(F.lit(1), lo + draw(f"{seed}.{tag}n", k, hi - lo + 1, i)), lambda j: F.get(
-            pool, draw(f"{seed}.{tag}", k, F.greatest(F.size(pool), F.lit(1)), i, j))), "")
-        return F.array_join(F.transform(F.sequence(F.lit(1), n), one), " ")
+def noise_kinds(chars: Column, other: Column | None, k: Column, tag: str) -> dict[str, tuple[float, Column]]:
+    """The generators of noise, each with its weight (own choice)."""
+    row = F.get(F.array(*[_pool(r) for r in KEYBOARD]), draw(f"{tag}.row", k, len(KEYBOARD)))
+    letter = F.get(chars, draw(f"{tag}.letter", k, F.greatest(F.size(chars), F.lit(1))))
+    return {
+        "letters": (4, _strings(chars, k, f"{tag}.l", 8, 12)), "keys": (2, _strings(row, k, f"{tag}.k", 5, 10)),
+        "repeat": (1, F.repeat(letter, 4 + draw(f"{tag}.r", k, 24))), "symbols": (1, _strings(_pool(SYMBOLS), k, f"{tag}.s", 2, 30)),
+        "hex": (1, _strings(_pool(HEX), k, f"{tag}.h", 3, 40)),
+        "mixed": (1, _strings(F.concat(chars, other if other is not None else _pool(KEYBOARD[4])), k, f"{tag}.m", 6, 10)),
+    }
 
-    count = lambda tag, n: 1 + draw(f"{seed}.{tag}c", k, n)
-    rows = F.get(F.array(*[F.array(*[F.lit(c) for c in r]) for r in KEYBOARD]), draw(f"{seed}.row", k, len(KEYBOARD)))
-    repeat = F.array_join(F.transform(F.sequence(F.lit(1), count("r", 4)), lambda i: F.repeat(F.get(chars, draw(f"{seed}.rc", k, F.greatest(F.size(chars), F.lit(1)), i)), 3 + draw(f"{seed}.rn", k, 13, i))), " ")
-    code = F.when(chance(f"{seed}.b", k) < 0.5, words(_pool(BASE64), count("b", 3), 8, 32, "b")).otherwise(words(_pool("0123456789abcdef"), count("b", 3), 8, 32, "x"))
-    mixed = words(F.concat(chars, other if other is not None else _pool(KEYBOARD[4])), count("m", 7), 2, 10, "m")
-    return (F.when(p < 0.45, words(chars, count("l", 10), 2, 12, "l")).when(p < 0.65, words(rows, count("k", 5), 3, 12, "k")).when(p < 0.75, repeat)
-            .when(p < 0.85, words(_pool(SYMBOLS), F.lit(1), 5, 40, "s")).when(p < 0.93, code).otherwise(mixed))
+
+def noise(key: Column | str, chars: Column, seed=0, other: Column | None = None) -> Column:
+    """Noise string of a kind drawn by hash: letters of the language, one keyboard row, a repeated letter, symbols, hexadecimal
+    digits or two scripts in one."""
+    k = _c(key)
+    kinds = noise_kinds(chars, other, k, f"{seed}.noise")
+    kind, out = weighted(f"{seed}.kind", k, {n: w for n, (w, _) in kinds.items()}), F.lit(None).cast("string")
+    for name, (_, text) in kinds.items():
+        out = F.when(kind == name, text).otherwise(out)
+    return out
 
 
 # Template texts; the evaluation templates never occur in training.
@@ -186,8 +216,7 @@ def gibberish_set(sents: DataFrame, alphabet: DataFrame, lang: str, sid: list[st
     s = sents.withColumn("_part", part).withColumn("_key", F.concat_ws(".", *sid))
     clean = s.where("_part = 0").select(lang, F.col(sentence).alias("text"), F.lit("clean").alias("label"))
     with_chars = s.where("_part in (1, 3)").join(alphabet, lang)
-    words = F.filter(F.split(sentence, rf"{WS}+"), lambda x: x != "")
-    mild = with_chars.where("_part = 1").select(lang, mild_gibberish(words, "_key", seed, F.col("chars")).alias("text"), F.lit("mild gibberish").alias("label"))
+    mild = with_chars.where("_part = 1").select(lang, mild_gibberish(split_words(sentence, lang), "_key", seed, F.col("chars"), lang).alias("text"), F.lit("mild gibberish").alias("label"))
     salad = word_salad(s.where("_part = 2"), lang, sid, sentence, seed).select(lang, "text", F.lit("word salad").alias("label"))
     junk = with_chars.where("_part = 3").select(lang, noise("_key", F.col("chars"), seed).alias("text"), F.lit("noise").alias("label"))
     return clean.unionByName(mild).unionByName(salad).unionByName(junk).where(F.length(F.trim("text")) >= 2)

@@ -115,10 +115,10 @@ def unique_both(df: DataFrame, a: str, b: str, site: str, cap: int, id_col: str)
     """First row per a, then first row per b, then at most `cap` rows per site, in id order.
 
     Order of the rules is fixed (a, b, site); a first-come loop would interleave them."""
-    from .ranking import first_k_per_group
+    from .ranking import top_k
 
     one = dedup(dedup(df, [norm_key(a)], id_col), [norm_key(b)], id_col)
-    return first_k_per_group(one, [site], id_col, cap)
+    return top_k(one, [site], [F.col(id_col)], cap, "_rank").drop("_rank")
 
 
 def majority(df: DataFrame, item: str, label: str, text: str | None = None, order: str | None = None) -> DataFrame:

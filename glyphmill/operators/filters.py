@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import norm_key, strip
 from ..functions.text import english_like, script_frac
@@ -87,8 +90,7 @@ def faithful_filter(df: DataFrame, min_faithful: float = 0.9, min_units: int = 3
 
 
 # Phrases by which a model declines a request.
-REFUSAL = (r"(?i)(I can(?:'|no)t|I cannot|I'm sorry|I am sorry|as an AI|I won't"
-           r"|unable to (?:help|assist|translate))")
+REFUSAL = r"(?i)(I can(?:'|no)t|I cannot|I'm sorry|I am sorry|as an AI|I won't|unable to (?:help|assist|translate))"
 
 
 def translation_reason(src: str, out: str, lo: float = 0.3, hi: float = 3.5) -> Column:
@@ -225,20 +227,31 @@ def prompt_response_rows(df: DataFrame) -> DataFrame:
             .where(F.col("text_pair").isNotNull()))
 
 
-def json_leaves(df: DataFrame, ids: list[str], json: str, min_len: int = 60, depth: int = 6) -> DataFrame:
-    """Every string leaf longer than `min_len` with its path, walking a nested JSON column level by level.
-
-    Each level is one variant explode, so wide documents spread over rows; trees deeper than `depth` raise the bound."""
-    level = df.select(*ids, F.lit("$").alias("path"), F.try_parse_json(json).alias("v"))
-    leaves = None
-    for _ in range(depth + 1):
-        kind = F.schema_of_variant("v")
-        here = level.where(kind == "STRING").select(*ids, "path", F.expr("v::string").alias("text"))
-        leaves = here if leaves is None else leaves.unionByName(here)
-        nested = level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        level = nested.lateralJoin(
-            nested.sparkSession.tvf.variant_explode(F.col("v").outer()).select(
-                F.col("key").alias("_k"), F.col("pos").alias("_p"), F.col("value").alias("_v"))
-        ).select(*ids, F.concat("path", F.lit("."), F.coalesce("_k", F.col("_p").cast("string"))).alias("path"),
-                 F.col("_v").alias("v"))
-    return leaves.where(F.length("text") > min_len)
+def _string_leaves(text: str) -> list[tuple[str, str]]:
+    """(path, string) of every string in a JSON text, in document order; nothing if it doesn't parse."""
+    try:
+        todo, out = [("$", json.loads(text))], []
+    except (TypeError, ValueError, RecursionError):
+        return []
+    while todo:  # a stack of its own, so any depth is walked
+        path, node = todo.pop()
+        if isinstance(node, str):
+            out.append((path, node))
+        elif isinstance(node, dict):
+            todo += [(f"{path}.{k}", v) for k, v in reversed(node.items())]
+        elif isinstance(node, list):
+            todo += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(node)))]
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType())])))
+def _leaves(texts: pd.Series) -> pd.Series:
+    return texts.map(_string_leaves)
+
+
+def json_leaves(df: DataFrame, ids: list[str], json: str, min_len: int = 60) -> DataFrame:
+    """Every string leaf longer than `min_len` with its path (`$.a[0].b`), at any depth: one parse and one pass per text.
+
+    The parser is Python's: SQL functions unfold a fixed number of levels only."""
+    rows = df.select(*ids, F.explode(_leaves(F.col(json))).alias("_leaf"))
+    return rows.select(*ids, "_leaf.path", "_leaf.text").where(F.length("text") > min_len)

@@ -47,19 +47,19 @@ def pad_candidates(df: DataFrame, pool: DataFrame, group: str, size: int, seed=0
 
 def distractor_context(questions: DataFrame, paras: DataFrame, k: int, seed=0, qid: str = "qid", title: str = "title",
                        pid: str = "pid", text: str = "text") -> DataFrame:
-    """The gold paragraph of each question with k paragraphs from k other titles, shuffled; keeps the gold position.
+    """The gold paragraph of each question with paragraphs from k other titles (all others, if there are fewer), shuffled;
+    keeps the gold position.
 
-    Titles are ranked densely; the j-th distractor comes from the title at a hashed, distinct distance from the own
-    title, and inside it from a hashed dense position: two equi-joins, no pairing of all paragraphs."""
+    Titles are ranked densely; the distractors come from consecutive titles after a hashed start that leaves out the own
+    title, and inside each from a hashed dense position: two equi-joins, no pairing of all paragraphs."""
     counts = paras.groupBy(title).agg(F.count(F.lit(1)).alias("_cnt"))
     ranked_titles = hash_rank(counts, [], f"{seed}.t", [title], name="_tr")
-    total = counts.agg(F.count(F.lit(1)).alias("_T"))
+    total = counts.agg((F.count(F.lit(1)) - 1).alias("_T"))  # titles other than the own one
     pr = hash_rank(paras.select(title, pid, text), [title], f"{seed}.p", [pid], name="_pr")
     q = questions.select(qid, title, F.col(pid).alias("_gold")).join(ranked_titles.select(title, "_tr"), title).crossJoin(total)
-    span = F.floor((F.col("_T") - 1) / k)  # distances fall in k disjoint bands, so the titles differ from each other
-    want = q.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn(
-        "_d", 1 + F.col("_j") * span + F.pmod(h32(f"{seed}.d", qid, "_j"), F.greatest(span, F.lit(1)))).withColumn(
-        "_tr", F.pmod(F.col("_tr") - 1 + F.col("_d"), F.col("_T")) + 1).select(qid, "_j", "_tr")
+    wanted = F.when(F.col("_T") > 0, F.sequence(F.lit(0).cast("long"), F.least(F.lit(k), F.col("_T")).cast("long") - 1))
+    step = 1 + F.pmod(h32(f"{seed}.d", qid) + F.col("_j"), F.col("_T"))  # distances 1.._T, all different for one question
+    want = q.where("_T > 0").withColumn("_j", F.explode(wanted)).withColumn("_tr", F.pmod(F.col("_tr") - 1 + step, F.col("_T") + 1) + 1).select(qid, "_j", "_tr")
     other = want.join(ranked_titles.withColumnRenamed(title, "_ot"), "_tr").withColumn(
         "_pr", F.pmod(h32(f"{seed}.i", qid, "_j"), F.col("_cnt")) + 1)
     dis = other.join(pr.withColumnRenamed(title, "_ot"), ["_ot", "_pr"]).select(qid, F.col(pid).alias("_p"), F.col(text).alias("_t"), F.lit(0).alias("_g"))
@@ -130,11 +130,16 @@ def nli_pairs(df: DataFrame, ids: list[str], text: str, labels: str, gold: str,
                     F.array_contains("_gold", F.col("_lab")).cast("int").alias("label"))
 
 
-def span_overlap(pred: DataFrame, gold: DataFrame, doc: str) -> DataFrame:
-    """Predicted and gold spans of a document that overlap: equi-join on the document plus a range predicate."""
-    p = pred.select(doc, F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.col("label").alias("p_label"))
-    g = gold.select(doc, F.col("start").alias("g_start"), F.col("end").alias("g_end"), F.col("label").alias("g_label"))
-    return p.join(g, doc).where((F.col("p_start") < F.col("g_end")) & (F.col("p_end") > F.col("g_start")))
+def span_overlap(pred: DataFrame, gold: DataFrame, doc: str, width: int = 256) -> DataFrame:
+    """Predicted and gold spans of a document that overlap: equi-join on the document and a bin of positions.
+
+    Every span stands in the bins of `width` positions that it touches; a pair is reported in the bin in which the later of
+    the two starts lies, so once. A document with many spans is many small keys."""
+    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor((F.greatest(F.col(s) + 1, F.col(e)) - 1) / width)))
+    p = pred.select(doc, F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.col("label").alias("p_label"), bins("start", "end").alias("_bin"))
+    g = gold.select(doc, F.col("start").alias("g_start"), F.col("end").alias("g_end"), F.col("label").alias("g_label"), bins("start", "end").alias("_bin"))
+    hit = (F.col("p_start") < F.col("g_end")) & (F.col("p_end") > F.col("g_start"))
+    return p.join(g, [doc, "_bin"]).where(hit & (F.floor(F.greatest("p_start", "g_start") / width) == F.col("_bin"))).drop("_bin")
 
 
 def lang_match(df: DataFrame, wanted: str, found: str, by: list[str]) -> DataFrame:

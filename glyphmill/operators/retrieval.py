@@ -80,10 +80,11 @@ def mine(queries: DataFrame, passages: DataFrame, k: int, by: str, block: int =
 
 
 def candidates(mined: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, cands): the source passage first, then the mined ones in rank order, at most k in all."""
+    """(qid, cands): the source passage first, then the mined ones in rank order, at most k in all; a query without
+    neighbours keeps its own passage."""
     g = mined.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "pid"))).alias("_l"))
     own = "own" if "own" in queries.columns else "qid"
-    return queries.select("qid", F.col(own).alias("_own")).join(g, "qid").select("qid", F.slice(F.concat(F.array("_own"), F.col("_l.pid")), 1, k).alias("cands"))
+    return queries.select("qid", F.col(own).alias("_own")).join(g, "qid", "left").select("qid", F.slice(F.when(F.col("_l").isNull(), F.array("_own")).otherwise(F.concat(F.array("_own"), F.col("_l.pid"))), 1, k).alias("cands"))
 
 
 def ranking_metrics(df: DataFrame, qid: str, pos: str, rel: str, score: str, k: int = 10, by: list[str] | None = None) -> DataFrame:

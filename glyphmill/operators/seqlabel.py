@@ -85,8 +85,8 @@ def punct_units(df: DataFrame, text: str, lang: str | None = None, name: str = "
     token = rf"(?:(?!{MARK}|[\s{DROPPED}–—]).)(?:{MARK}|[\s{DROPPED}–—])*"
     chars = F.transform(F.regexp_extract_all(t, F.lit(f"(?s)({token})"), F.lit(1)), lambda x: F.struct(
         F.substring(x, 1, 1).alias("word"),
-        F.when((_strongest(F.substring(x, 2, 1000)).isin("0", ",")) & F.regexp_extract(x, f"^.[^{_cls(COMMAS)}–—]*([{_cls(COMMAS)}–—])", 1).isin("–", "—"), "-")
-        .otherwise(_strongest(F.substring(x, 2, 1000))).alias("lab")))
+        F.when((_strongest(x.substr(F.lit(2), F.length(x))).isin("0", ",")) & F.regexp_extract(x, f"^.[^{_cls(COMMAS)}–—]*([{_cls(COMMAS)}–—])", 1).isin("–", "—"), "-")
+        .otherwise(_strongest(x.substr(F.lit(2), F.length(x)))).alias("lab")))
     out = F.when(code.isin(*CHAR_LANGS), chars).otherwise(spaced) if lang else spaced
     return d.withColumn(name, out).drop("_items", "_kept")
 

@@ -274,7 +274,7 @@ def iban_ok(c: Column | str) -> Column:
     m = F.create_map(*[F.lit(x) for kv in IBAN_LENGTH.items() for x in kv])
     size = F.try_element_at(m, F.substring(s, 1, 2))
     shape = s.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]+$") & (F.length(s) - 4 == size)
-    return F.coalesce(shape & (_mod97(F.concat(F.substring(s, 5, 100), F.substring(s, 1, 4))) == 1), F.lit(False))
+    return F.coalesce(shape & (_mod97(F.concat(s.substr(F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1), F.lit(False))
 
 
 def iban_complete(country: Column, bban: Column) -> Column:

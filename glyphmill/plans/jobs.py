@@ -50,9 +50,10 @@ def page_table(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("string").alias("key"), F.regexp_extract("html", r'(?i)<html[^>]*lang="([a-z]+)"', 1).alias("lang"), pages_text(pages).alias("text"))
 
 
-def language_id_table(df: DataFrame, evals: DataFrame, key: str, lang_label: str, text: str, min_rows: int = 1, val: float = 0.02, seed=0) -> DataFrame:
-    """Long samples and short spans per language, decontaminated, filtered by script and English words, unique, split."""
-    long_ = pin(df.select(key, lang_label, F.col(text).alias("_t")), "text", sentence_window("_t", key, f"{seed}.w", 1, 3, 15, 300)).where("text is not null").select(
+def language_id_table(df: DataFrame, evals: DataFrame, key: str, lang_label: str, text: str, min_rows: int = 1, val: float = 0.02, seed=0, longest: int | None = None) -> DataFrame:
+    """Long samples (up to `longest` characters where given) and short spans per language, decontaminated, filtered by script
+    and English words, unique, split."""
+    long_ = pin(df.select(key, lang_label, F.col(text).alias("_t")), "text", sentence_window("_t", key, f"{seed}.w", 1, 3, 15, longest or 2147483647)).where("text is not null").select(
         key, lang_label, "text", F.lit("long").alias("kind"))
     short = pin(long_.select(key, lang_label, F.col("text").alias("_t")), "text", short_span("_t", key, f"{seed}.s", 15, 60)).where(F.length("text") >= 5).select(
         key, lang_label, "text", F.lit("short").alias("kind"))

@@ -30,11 +30,16 @@ def build_session(app: str = "glyphmill", master: str | None = None, **conf: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch folder only where none is named (tests on one machine)."""
+    """The shared folder that the session names in spark.checkpoint.dir. Only a session on one machine may leave it out."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="glyphmill-ckpt-")
+        folder = current.get() if current.isDefined() else None
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="glyphmill-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 

@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+import html
 
-# inputs below this many bytes stay in the few tasks they have
-MIN_SPREAD_BYTES = 256 << 10
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_table(spark: SparkSession, folder: str, name: str, cols: list[str] | None = None) -> DataFrame:
+    """A Parquet table. Splits follow spark.sql.files.maxPartitionBytes; a session that sets glyphmill.read.partitions (one
+    machine over files of a single row group) gets that many partitions instead, by one shuffle."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(df.select(*cols) if cols else df)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input has fewer splits than the cluster has cores and is not tiny.
-
-    A file with one row group is one split, and text work behind it would use one core. Tables with enough splits, the
-    case at scale, are returned as they are: no shuffle is added."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < MIN_SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(2 * cores)
+    df = df.select(*cols) if cols else df
+    n = spark.conf.get("glyphmill.read.partitions", None)
+    return df.repartition(int(n)) if n else df
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -91,16 +84,21 @@ def paragraphs(df: DataFrame, k: int, doc: str, line: str = "line_no", text: str
 def melt_lang(df: DataFrame, ids: list[str], prefix: str = "text_") -> DataFrame:
     """Columns text_de, text_fr, ... -> rows (ids, lang, text)."""
     cols = [c for c in df.columns if c.startswith(prefix)]
-    return df.unpivot(ids, cols, "lang", "text").withColumn("lang", F.substring("lang", len(prefix) + 1, 100))
+    return df.unpivot(ids, cols, "lang", "text").withColumn("lang", F.col("lang").substr(F.lit(len(prefix) + 1), F.length("lang")))
+
+
+@F.pandas_udf(T.StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    """Named and numeric entities; SQL functions have no table of them."""
+    return texts.map(html.unescape, na_action="ignore")
 
 
-def pages_text(df: DataFrame, html: str = "html") -> Column:
-    """Visible text of a page: scripts, styles, comments and tags out, basic entities decoded, blanks collapsed."""
-    t = F.regexp_replace(F.col(html), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
+def pages_text(df: DataFrame, page: str = "html") -> Column:
+    """Visible text of a page: scripts, styles, comments and tags out, all entities decoded, blanks collapsed."""
+    t = F.regexp_replace(F.col(page), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
-    for entity, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(ch))
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    t = F.when(t.contains("&"), _unescape(t)).otherwise(t)
+    return F.trim(F.regexp_replace(t, r"[\s\x{A0}]+", " "))
 
 
 def tag_source(df: DataFrame, name: str) -> DataFrame:

@@ -2,38 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.keys import h32, norm_key, text_hash
 from ..operators.dedup import _digest, eval_keys
+from ..operators.sampling import quota
 
 
 def stream_label(src: DataFrame, score: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str = "id"):
-    """Resumable labelling: each micro-batch scores only ids the sink does not hold yet and writes them once.
+    """Resumable labelling: each micro-batch scores only ids that were not seen before and writes them once.
 
-    A batch writes its own folder and overwrites it when it is replayed, so a restart neither loses nor doubles rows."""
+    Seen ids are the query's state, so a batch costs what it brings, however large the sink has grown. A batch writes its own
+    folder and overwrites it when it is replayed: a restart from the checkpoint neither loses nor doubles rows."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        new = df.dropDuplicates([key])
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(sink)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(root):
-            done = spark.read.parquet(sink).where(F.col("batch") != batch_id).select(key)
-            new = new.join(done, key, "left_anti")
-        score(new).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        score(df).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    return src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return src.dropDuplicates([key]).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
-def stream_dedup(sdf: DataFrame, text: str, watermark: tuple[str, str] | None = None) -> DataFrame:
-    """First-come survivor per normalised key; state holds 32-byte digests, bounded by a watermark when given."""
+def stream_dedup(sdf: DataFrame, text: str, watermark: tuple[str, str] | None) -> DataFrame:
+    """First-come survivor per normalised key; state holds 32-byte digests.
+
+    watermark (time column, delay) bounds the state; None keeps every key for ever, which a caller has to ask for."""
     k = sdf.withColumn("_k", text_hash(norm_key(text)))
     if watermark:
         return k.withWatermark(*watermark).dropDuplicatesWithinWatermark(["_k"]).drop("_k")
@@ -46,27 +40,25 @@ def stream_decontaminate(sdf: DataFrame, text: str, evals: DataFrame, eval_text:
     return k.join(eval_keys(evals, eval_text), "_k", "left_anti").drop("_k")
 
 
-def _counter(limit: int):
-    """Lets rows through until `limit` of a (group, bucket) were seen; the state is one number."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        for df in batches:
-            take = df.iloc[: max(0, limit - n)].drop(columns=["_bucket"])
-            n += len(take)
-            if len(take):
-                yield take
-        state.update((n,))
+def stream_quota(src: DataFrame, by: str, n: int, key: str, sink: str, checkpoint: str):
+    """The first n rows of every group, by micro-batch and inside one by hash of the key; exactly n if as many arrive.
 
-    return step
+    A batch is cut to n rows per group by bucket counts, so a group that holds most of the stream is many small tasks. What is
+    still missing comes from a ledger of one row per group and batch; only batches before the own count, so replays agree."""
+    ledger_schema = f"`{by}` {src.schema[by].dataType.simpleString()}, taken long, batch int"
 
+    def batch(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        some = quota(df, [by], n, "stream", [key])
+        if batch_id:
+            done = spark.read.schema(ledger_schema).parquet(f"{sink}/ledger").where(F.col("batch") < batch_id)
+            done = done.groupBy(F.col(by).alias("_by")).agg(F.sum("taken").alias("_taken"))
+            rank = F.row_number().over(Window.partitionBy(by).orderBy(h32("stream", key), key))  # n rows per group at most
+            some = some.withColumn("_rank", rank).join(done, F.col(by).eqNullSafe(F.col("_by")), "left")
+            some = some.where(F.col("_rank") <= n - F.coalesce("_taken", F.lit(0))).drop("_rank", "_by", "_taken")
+        rows, path = some.select(*df.columns), f"{sink}/rows/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(path)
+        kept = spark.read.schema(rows.schema).parquet(path)
+        kept.groupBy(by).agg(F.count(F.lit(1)).alias("taken")).write.mode("overwrite").parquet(f"{sink}/ledger/batch={batch_id}")
 
-def stream_quota(sdf: DataFrame, by: str, n: int, key: str, buckets: int = 1) -> DataFrame:
-    """The first n rows of every group that arrive.
-
-    With buckets > 1 a group's quota is spread evenly over hash buckets, so a group that holds most of the stream is
-    counted by many tasks; n has to be a multiple of the bucket count, and each bucket takes its n / buckets rows."""
-    if n % buckets:
-        raise ValueError("n must be a multiple of buckets")
-    b = sdf.withColumn("_bucket", F.pmod(h32("quota", key), F.lit(buckets)).cast("int"))
-    return b.groupBy(by, "_bucket").applyInPandasWithState(_counter(n // buckets), sdf.schema, "n int", "append", GroupStateTimeout.NoTimeout)
+    return src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

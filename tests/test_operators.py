@@ -8,9 +8,13 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from glyphmill import sources as SRC
+from glyphmill import streaming as ST
 from glyphmill.functions import keys as K
+from glyphmill.operators import augment as A
 from glyphmill.operators import compress as Z
 from glyphmill.operators import dedup as D
+from glyphmill.operators import filters as B
 from glyphmill.operators import joins as C
 from glyphmill.operators import labels as J
 from glyphmill.operators import metrics as N
@@ -267,3 +271,90 @@ def test_training_table_invariants(spark):
     assert D.sentence_hits(out, "doc_id", "text", ev).count() == 0
     assert E.leakage(out, "source").count() == 0
     assert out.count() == out.select(K.norm_key("text")).distinct().count()
+
+
+def test_distractors_with_few_titles(spark):
+    paras = spark.createDataFrame([(i, f"t{i % 3}", f"p{i}") for i in range(9)], "pid int, title string, text string")
+    qs = paras.select((F.col("pid") + 1000).alias("qid"), "title", "pid")
+    for r in C.distractor_context(qs, paras, 4).collect():
+        assert len(r.pids) == 3 and {p % 3 for p in r.pids} == {0, 1, 2} and r.pids[r.gold_pos] == r.qid - 1000
+    alone = paras.where("title = 't0'")
+    assert [r.pids for r in C.distractor_context(qs.where("pid = 0"), alone, 4).collect()] == [[0]]
+
+
+def test_json_leaves_of_any_depth(spark):
+    deep = '"' + "x" * 70 + '"'
+    for i in range(40):
+        deep = '{"k": [1, ' + deep + "]}" if i % 2 else '{"k": ' + deep + "}"
+    df = spark.createDataFrame([(1, deep), (2, "not json"), (3, None), (4, '["' + "y" * 61 + '", "short"]')], "id int, js string")
+    got = {r.id: (r.path, len(r.text)) for r in B.json_leaves(df, ["id"], "js").collect()}
+    assert set(got) == {1, 4} and got[4] == ("$[0]", 61) and got[1][1] == 70 and got[1][0].count("k") == 40 and got[1][0].count("[1]") == 20
+
+
+def test_queries_without_neighbours_stay_candidates(spark):
+    mined = spark.createDataFrame([(1, 7, 1), (1, 8, 2)], "qid long, pid long, rank int")
+    qs = spark.createDataFrame([(1,), (2,)], "qid long")
+    assert {r.qid: r.cands for r in L.candidates(mined, qs, 2).collect()} == {1: [1, 7], 2: [2]}
+
+
+def test_all_entities_are_decoded(spark):
+    html = "<p>caf&eacute; &#8211; &copy; &#x27;a&apos; &amp;lt; x&nbsp;&nbsp;y</p><script>&bad;</script>"
+    df = spark.createDataFrame([(1, html), (2, None), (3, "plain")], "id int, html string")
+    got = {r.id: r.t for r in df.select("id", SRC.pages_text(df).alias("t")).collect()}
+    assert got == {1: "café – © 'a' &lt; x y", 2: None, 3: "plain"}
+
+
+def test_marks_after_a_thousand_others_count(spark):
+    df = spark.createDataFrame([(1, "好" + "，" * 1200 + "。")], "id int, t string")
+    assert [u.lab for u in Q.punct_units(df.withColumn("lang", F.lit("zh")), "t", "lang").first()["units"]] == ["."]
+
+
+def test_span_overlap_in_bins_equals_all_pairs(spark):
+    import random
+
+    rnd = random.Random(2)
+    spans = lambda n: [(rnd.randint(0, 3), s, s + rnd.choice([0, 1, 5, 300, 900]), "x") for s in (rnd.randint(0, 1500) for _ in range(n))]
+    p, g = spans(80), spans(80)
+    frame = lambda rows: spark.createDataFrame(rows, "doc int, start int, end int, label string")
+    got = sorted((r.doc, r.p_start, r.p_end, r.g_start, r.g_end) for r in C.span_overlap(frame(p), frame(g), "doc", 64).collect())
+    assert got == sorted((a[0], a[1], a[2], b[1], b[2]) for a in p for b in g if a[0] == b[0] and a[1] < b[2] and a[2] > b[1])
+
+
+def test_gibberish_in_languages_without_spaces(spark):
+    zh = "今天天气很好我们一起去公园散步然后回家吃饭"
+    sents = spark.createDataFrame([("zh", i, zh[i % 5:] + "。") for i in range(60)] + [("en", i, f"these are {i} plain words of one sentence") for i in range(60)], "lang string, sid int, s string")
+    alphabet = spark.createDataFrame([("zh", list(zh)), ("en", list("abcdefgh"))], "lang string, chars array<string>")
+    got = A.gibberish_set(sents, alphabet, "lang", ["sid"], "s", 3).collect()
+    assert {(r.lang, r.label) for r in got} == {(a, b) for a in ("zh", "en") for b in ("clean", "mild gibberish", "word salad", "noise")}
+    assert not any(" " in r.text for r in got if r.lang == "zh" and r.label in ("mild gibberish", "word salad"))
+
+
+def test_stream_quota_is_exact(spark, tmp_path):
+    t = spark.createDataFrame([(i, "hot" if i % 10 else f"g{i % 3}") for i in range(600)], "id long, lang string")
+    t.repartition(6).write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run finds nothing new
+        ST.stream_quota(src, "lang", 70, "id", str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    got = {r.lang: (r.n, r.d) for r in spark.read.parquet(str(tmp_path / "out/rows")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("d")).collect()}
+    assert got == {"hot": (70, 70), "g0": (20, 20), "g1": (20, 20), "g2": (20, 20)}
+
+
+def test_string_ids(spark):
+    t = spark.createDataFrame([(f"r{i:02d}", f"q{i}", f"a{i % 20}", "s") for i in range(30)], "id string, q string, a string, site string")
+    assert sorted(r.id for r in D.unique_both(t, "q", "a", "site", 5, "id").collect()) == [f"r{i:02d}" for i in range(5)]
+
+
+def test_shared_folder_is_asked_for(spark):
+    from glyphmill import session
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+            _jsc = spark.sparkContext._jsc
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        with pytest.raises(ValueError):
+            session.checkpoint_dir(Cluster)
