@@ -25,7 +25,7 @@ def main() -> None:
     catalog.load_all()
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": str(2 * int(cpus)), "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "12g"})
+        "spark.driver.memory": "12g", "glyphmill.read.partitions": str(2 * int(cpus))})
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{d}/documents.parquet").selectExpr("sum(length(text))").collect()  # start the executors
     times = {}
