@@ -102,12 +102,7 @@ def _(spark, d):
 
 @query("e16_shard", "select doc_id, (doc_id % 7)::BIGINT as shard from documents")
 def _(spark, d):
-    t = docs(spark, d, "doc_id")
-    out = None
-    for i in range(7):
-        part = E.shard(t, "doc_id", i, 7).withColumn("shard", F.lit(i))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return E.with_shard(docs(spark, d, "doc_id"), "doc_id", 7)
 
 
 @query("e17_round_robin", "select doc_id, ['German','French','Spanish'][(doc_id % 3 + 1)::INT] as target from documents")

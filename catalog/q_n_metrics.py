@@ -162,6 +162,14 @@ def _(spark, d):
     return N.mark_metrics(predictions(spark, d).select("source", z("gold").alias("g"), z("pred").alias("p")), "g", "p", ["source"])
 
 
+@query("n12_per_mark", f"""with {PREDS}, m as (select source, case when gold = 'en' then '0' else gold end as g, case when pred = 'en' then '0' else pred end as p from preds),
+ l as (select source, unnest([g, p]) as mark, unnest([(g = p)::INT, 0]) as tp, unnest([1, 0]) as g, unnest([0, 1]) as p from m), s as (select source, mark, sum(tp) as tp, sum(g) as g, sum(p) as p from l where mark <> '0' group by all)
+select mark, round(2 * sum(tp) / sum(g + p), 6) as pooled, round(avg(2 * tp / (g + p)), 6) as by_group from s group by mark""")
+def _(spark, d):
+    z = lambda c: F.when(F.col(c) == "en", "0").otherwise(F.col(c))
+    return N.per_mark_f1(predictions(spark, d).select("source", z("gold").alias("g"), z("pred").alias("p")), "g", "p", "source")
+
+
 @query("n17_zero_shot", f"""with l as (select doc_id, lang, unnest([0, 1, 2, 3]) as idx, unnest(['de','en','es','fr']) as lab from documents), s as (select *, round({q.u(17, 'doc_id', 'idx')} * 0.8 + (lab = lang)::INT * 0.3, 2) as score, list_position(['de','en','es','fr'], lang) - 1 as gold from l),
  b as (select doc_id, any_value(gold) as gold, arg_max(idx, score * 1000 - idx * 0.001) as best from s group by doc_id) select count(*)::BIGINT as n, round(avg((best = gold)::INT), 6) as acc from b""")
 def _(spark, d):

@@ -53,8 +53,8 @@ def _(spark, d):
     return W.merge_version(old, t.where("doc_id % 3 <> 0"), table(spark, d, "benchmark"), "doc_id", "text", "label", "source", 0.1, 2).select("doc_id", "label", "split")
 
 
-PAGE = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"""
+PAGE = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"""
 
 
 @query("w3_passage_pool", f"""with src as (select 'doc' as pool, doc_id::VARCHAR as key, lang, text from documents union all select 'page', page_id::VARCHAR, regexp_extract(html, '(?i)<html[^>]*lang="([a-z]+)"', 1), {PAGE} from pages),

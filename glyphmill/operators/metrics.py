@@ -276,3 +276,16 @@ def mark_metrics(df: DataFrame, gold: str, pred: str, by: list[str] | None = Non
     n = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0))
     c = m.groupBy(*by).agg(F.sum("_n").alias("n"), n(hit).alias("_ok"), n(hit & g).alias("_tp"), n(p).alias("_pp"), n(g).alias("_gg"))
     return c.select(*by, "n", (F.col("_ok") / F.col("n")).alias("acc"), f1_of(F.col("_tp"), F.col("_pp") - F.col("_tp"), F.col("_gg") - F.col("_tp")).alias("f1"))
+
+
+def per_mark_f1(df: DataFrame, gold: str, pred: str, group: str, blank: str = "0") -> DataFrame:
+    """(mark, pooled, by_group): F1 of every mark but the blank one over all units, beside the mean of its F1 per group.
+
+    Works on counts per (group, gold, pred), so units are read once."""
+    n = df.groupBy(F.col(group).alias("_g"), F.col(gold).alias("_a"), F.col(pred).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    side = lambda c, tp, g, p: F.struct(F.col(c).alias("mark"), tp.alias("tp"), F.lit(g).alias("g"), F.lit(p).alias("p"))
+    hit = (F.col("_a") == F.col("_b")).cast("int")
+    each = n.select("_g", "_n", F.explode(F.array(side("_a", hit, 1, 0), side("_b", F.lit(0), 0, 1))).alias("x")).where(F.col("x.mark") != blank)
+    per = each.groupBy("_g", "x.mark").agg(*[F.sum(F.col("_n") * F.col(f"x.{c}")).alias(c) for c in ("tp", "g", "p")])
+    f1 = lambda tp, g, p: F.when(g + p > 0, 2 * tp / (g + p)).otherwise(0.0)
+    return per.groupBy("mark").agg(f1(F.sum("tp"), F.sum("g"), F.sum("p")).alias("pooled"), F.avg(f1(F.col("tp"), F.col("g"), F.col("p"))).alias("by_group"))

@@ -166,9 +166,9 @@ def run_ids(df: DataFrame, part: list[str], order: str, keys: list[str], name: s
 def thread_group(df: DataFrame, text: str, context: str) -> DataFrame:
     """Group id: digest of the context; a row without context inherits the thread of the same text that has one."""
     has = F.length(F.coalesce(F.col(context), F.lit(""))) > 0
-    known = df.where(has).groupBy(F.col(text).alias("_t")).agg(F.min(F.md5(context)).alias("_g"))
-    return df.join(known, df[text] == known["_t"], "left").withColumn(
-        "grp", F.when(has, F.md5(context)).otherwise(F.coalesce("_g", F.md5(text)))).drop("_t", "_g")
+    keyed = df.withColumn("_t", F.md5(text))
+    known = keyed.where(has).groupBy("_t").agg(F.min(F.md5(context)).alias("_g"))
+    return keyed.join(known, "_t", "left").withColumn("grp", F.when(has, F.md5(context)).otherwise(F.coalesce("_g", "_t"))).drop("_t", "_g")
 
 
 def min_support(df: DataFrame, by: str, n: int) -> DataFrame:
@@ -180,6 +180,11 @@ def shard(df: DataFrame, key: str, i: int, n: int) -> DataFrame:
     return df.where(F.pmod(F.col(key), F.lit(n)) == i)
 
 
+def with_shard(df: DataFrame, key: str, n: int, name: str = "shard") -> DataFrame:
+    """All shards in one pass, as a column."""
+    return df.withColumn(name, F.pmod(F.col(key), F.lit(n)))
+
+
 def round_robin(df: DataFrame, values: list[str], position: str, name: str = "target") -> DataFrame:
     return df.withColumn(name, F.element_at(F.array(*[F.lit(v) for v in values]),
                                             (F.pmod(F.col(position), F.lit(len(values))) + 1).cast("int")))

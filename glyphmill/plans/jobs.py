@@ -11,7 +11,7 @@ from ..functions.keys import WS, norm_key, norm_ws, sentences, u
 from ..functions.text import ends_sentence, english_like, letter_share, script_frac
 from ..functions.units import explode_rows, pin, sentence_window, short_span
 from ..operators import augment, compress, dedup, filters, joins, labels, metrics, passages, profile, retrieval, sampling, seqlabel, spans
-from ..session import cut_lineage
+from ..session import materialise
 from ..sources.readers import pages_text
 
 
@@ -21,10 +21,17 @@ def training_table(df: DataFrame, evals: DataFrame, id_col: str = "doc_id", text
     t = df.where(F.length(text) >= min_len)
     if drop_rx:
         t = filters.drop_sources(t, drop_rx)
-    t = dedup.decontaminate(t, text, evals)
-    t = dedup.decontaminate_sentences(t, id_col, text, evals)
-    t = dedup.drop_conflicts(t, norm_key(text), label, keep_one=id_col)
-    return sampling.split_group(t, [group], val, seed)
+    # one pass over the texts makes a narrow key table; the rules work on it, and only the surviving ids meet the texts again
+    digest = lambda c: dedup._digest([norm_key(c)])
+    long_ = F.filter(sentences(text), lambda x: F.length(x) > 25)
+    keys = materialise(t.select(F.col(id_col).alias("_id"), F.col(label).alias("_label"), digest(text).alias("_k"), F.transform(long_, digest).alias("_s")))
+    keys = keys.join(dedup.eval_keys(evals, "text"), "_k", "left_anti")
+    bad = F.concat(sentences("text"), F.array("text"))
+    bad = explode_rows(evals, [], F.filter(bad, lambda x: F.length(x) > 25), "s").select(digest("s").alias("_s")).distinct()
+    hit = keys.select("_id", F.explode("_s").alias("_s")).join(bad, "_s", "left_semi").select("_id").distinct()
+    keys = keys.select("_id", "_label", "_k").join(hit, "_id", "left_anti")
+    one = keys.groupBy("_k").agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi"), F.min("_id").alias(id_col))
+    return sampling.split_group(t.join(one.where(F.col("_lo").eqNullSafe(F.col("_hi"))).select(id_col), id_col, "left_semi"), [group], val, seed)
 
 
 def merge_version(old: DataFrame, new: DataFrame, evals: DataFrame, id_col: str, text: str, label: str, group: str, val: float = 0.1, seed=0) -> DataFrame:
@@ -41,7 +48,7 @@ def passage_pool(tables: list[tuple[DataFrame, str]], per_lang: int, overrides:
         p = passages.passages(df, "key", "text", 2, 6, lo, hi, seed).select(F.concat_ws(":", F.lit(name), "key").alias("key"), "lang", "passage", F.lit(name).alias("pool"))
         out = p if out is None else out.unionByName(p)
     # dedup and quota read the passages four times: cutting sentences once and writing the passages is cheaper
-    one = dedup.dedup(cut_lineage(out), ["passage"], "key")
+    one = dedup.dedup(materialise(out), ["passage"], "key")
     return sampling.quota(one, ["lang"], per_lang, seed, ["key"], overrides)
 
 
@@ -57,7 +64,7 @@ def language_id_table(df: DataFrame, evals: DataFrame, key: str, lang_label: str
         key, lang_label, "text", F.lit("long").alias("kind"))
     short = pin(long_.select(key, lang_label, F.col("text").alias("_t")), "text", short_span("_t", key, f"{seed}.s", 15, 60)).where(F.length("text") >= 5).select(
         key, lang_label, "text", F.lit("short").alias("kind"))
-    t = cut_lineage(long_.unionByName(short))  # short samples, read once for the evaluation test and twice for dedup
+    t = materialise(long_.unionByName(short))  # short samples, read once for the evaluation test and twice for dedup
     # a sample goes when it, or one of its sentences, is in an evaluation set
     ek = explode_rows(evals, [], F.concat(sentences("text"), F.array("text")), "s").select(dedup._digest([norm_ws("s")]).alias("_k")).distinct()
     sid = F.concat_ws("/", "kind", F.col(key).cast("string"))
@@ -114,7 +121,7 @@ def mine_candidates(queries: DataFrame, passages_: DataFrame, k: int, by: str, p
 
 def retrieval_report(df: DataFrame, qid: str, pos: str, rel: str, score: str, family: str, member: str) -> DataFrame:
     """nDCG and MRR per member set, family means and the mean of families."""
-    per_q = retrieval.ranking_metrics(df, qid, pos, rel, score, by=[family, member])
+    per_q = materialise(retrieval.ranking_metrics(df, qid, pos, rel, score, by=[family, member]))  # read once per metric and level
     n = profile.rollup_means(per_q, [family, member], "ndcg").withColumnRenamed("value", "ndcg")
     m = profile.rollup_means(per_q, [family, member], "mrr").withColumnRenamed("value", "mrr")
     return n.join(m, ["level", "key"])

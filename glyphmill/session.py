@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write the rows as Parquet to the shared folder and read them back: for tables that several steps read, as later scans
+    still prune columns and know sizes."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/glyphmill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and read them back, so lost executors never replay the plan."""
     spark = df.sparkSession

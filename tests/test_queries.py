@@ -35,3 +35,14 @@ def test_query_equals_sql(spark, con, name):
 def test_flagship_plan_prunes_columns(spark):
     plan = catalog.QUERIES["a1_parquet_scan"](spark, D)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(n_chars), GreaterThan(n_chars,200)]" in plan and "ReadSchema: struct<lang:string,n_chars:bigint>" in plan
+
+
+def test_training_table_reads_each_text_table_twice_at_most(spark):
+    """The rules run on a narrow key table that was written before; the final plan scans the documents once more."""
+    plan = catalog.QUERIES["w1_training_table"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("documents.parquet") <= 1 and plan.count("Relation") <= 8
+
+
+def test_mining_stands_once_in_the_retrieval_report(spark):
+    plan = catalog.QUERIES["w10_retrieval_report"](spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan
