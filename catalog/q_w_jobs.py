@@ -18,7 +18,7 @@ from .q_h_spans import CLEAN, GOLD
 from .q_i_augment import FRAMES, RAND, SQL, _alphabet, _sents
 from .q_j_labels import CLAIMS, LP, logprobs
 from .q_l_retrieval import NN, RANK, _ranking, _split
-from .q_n_metrics import auc_sql, bin_sql
+from .q_n_metrics import GRID, auc_sql, bin_sql, sweep_sql
 
 TRAIN = f"""{sentence_hit_sql(25)}, bk as (select distinct {q.k1('text')} as k from benchmark),
  base as (select d.doc_id, d.text, d.lang, d.source, l.quality as label, {q.k1('d.text')} as k from documents d join labels l using (doc_id) where length(d.text) >= 4 and not regexp_matches(d.source, '^(?:src13)')),
@@ -160,6 +160,15 @@ def _(spark, d):
     return W.evaluation_report(scores(spark, d).withColumnRenamed("source", "set"))
 
 
+@query("w13_tuned_report", f"""with {SCORES.replace('scores as', 'every as')}, scores as (select * from every where {q.u('13', 'doc_id')} < 0.5), {sweep_sql('lang')},
+ pooled as (select threshold from (select threshold, sum(tp) as tp, sum(fp) as fp, sum(pos) as pos from sw group by threshold) order by (case when tp = 0 then 0 else 2 * tp / (tp + fp + pos) end) desc, threshold limit 1),
+ own as (select lang, pos, threshold from swm qualify row_number() over (partition by lang order by f1 desc, threshold) = 1), cut as (select lang, case when pos >= 8 then threshold else (select threshold from pooled) end as threshold from own),
+ c as (select e.lang, any_value(threshold) as threshold, count(*) as n, sum(gold) as pos, sum((score >= threshold)::INT) as flagged, sum((score >= threshold)::INT * gold) as tp from every e join cut using (lang) where {q.u('13', 'doc_id')} >= 0.5 group by e.lang)
+select lang, threshold, n::BIGINT as n, pos::BIGINT as pos, round(case when flagged = 0 then 0 else tp / flagged end, 6) as precision, round(case when pos = 0 then 0 else tp / pos end, 6) as recall, round(case when tp = 0 then 0 else 2 * tp / (flagged + pos) end, 6) as f1 from c""")
+def _(spark, d):
+    return W.tuned_report(scores(spark, d), GRID, "doc_id", seed=13)
+
+
 @query("w13_leaderboard", f"""with {EV}, m as (select 'rule' as model, set, f1 as value from bm where lang = 'all'), p as (select model, max(value) filter (set = 'src0') as src0, max(value) filter (set = 'src1') as src1 from m group by model)
 select model, round(src0, 6) as src0, round(src1, 6) as src1, round((src0 + src1) / 2, 6) as macro from p""")
 def _(spark, d):

@@ -146,6 +146,14 @@ def evaluation_report(preds: DataFrame, gold: str = "gold", score: str = "score"
     return wide.unpivot(by, names, "metric", "value").where("value is not null")
 
 
+def tuned_report(preds: DataFrame, grid: list[float], key: str, gold: str = "gold", score: str = "score", lang: str = "lang", dev: float = 0.5, min_pos: int = 8, seed=0) -> DataFrame:
+    """Thresholds per language from a hashed dev share, and the metrics that they reach on the other rows."""
+    s = sampling.split_hash(preds, [key], dev, seed, ("dev", "test"))
+    cuts = metrics.tune_thresholds(s.where("split = 'dev'"), grid, gold, score, [lang], min_pos).select(lang, "threshold")
+    test = metrics.apply_thresholds(s.where("split = 'test'"), cuts, [lang], score)
+    return metrics.binary_metrics(test, gold, "pred", by=[lang]).join(cuts, lang).select(lang, "threshold", "n", "pos", "precision", "recall", "f1")
+
+
 def prompt_pool(conv: DataFrame, lo: int, hi: int, n_test: int, n_train: int, seed=0) -> DataFrame:
     """First user messages and answered prompts: length filter, unique, disjoint test and train rows per kind."""
     r = filters.prompt_response_rows(conv)
