@@ -97,10 +97,10 @@ def _(spark, d):
 
 @query("w6_redaction_benchmark", f"""with {GOLD}, ln as (select d.lang, g.doc_id, g.s, length(regexp_replace(substr(d.text, (g.s + 1)::INT, (g.e - g.s)::INT), '{q.WS}+', '', 'g')) as n, ({q.u(77, 'g.doc_id', 'g.s')} >= 0.1)::INT as kept from gold g join documents d using (doc_id)),
  a as (select lang, sum(n * kept) as hit, sum(n) as want, sum(kept) as ek, count(*) as en from ln group by lang), l as (select distinct lang from documents),
- m as (select l.lang as set, coalesce(hit, 0) / greatest(coalesce(want, 0), 1) as r, coalesce(hit, 0) / greatest(coalesce(hit, 0), 1) as p, coalesce(ek, 0) / greatest(coalesce(en, 0), 1) as er from l left join a using (lang)),
- f as (select set, r as redact_recall, p as redact_precision, er as entity_recall, 2 * r * p / greatest(r + p, 1e-9) as redact_f1 from m)
-select set, round(redact_recall, 6) as redact_recall, round(redact_precision, 6) as redact_precision, round(entity_recall, 6) as entity_recall, round(redact_f1, 6) as redact_f1 from f
- union all select 'macro', round(avg(redact_recall), 6), round(avg(redact_precision), 6), round(avg(entity_recall), 6), round(avg(redact_f1), 6) from f""")
+ m as (select l.lang as set, coalesce(hit, 0) / greatest(coalesce(want, 0), 1) as r, coalesce(hit, 0) / greatest(coalesce(hit, 0), 1) as p, coalesce(ek, 0) / greatest(coalesce(en, 0), 1) as er, coalesce(case when en > 0 then 2 * ek / (ek + en) end, 0.0) as ef from l left join a using (lang)),
+ f as (select set, r as redact_recall, p as redact_precision, er as entity_recall, 2 * r * p / greatest(r + p, 1e-9) as redact_f1, ef as entity_f1 from m)
+select set, round(redact_recall, 6) as redact_recall, round(redact_precision, 6) as redact_precision, round(entity_recall, 6) as entity_recall, round(redact_f1, 6) as redact_f1, round(entity_f1, 6) as entity_f1 from f
+ union all select 'macro', round(avg(redact_recall), 6), round(avg(redact_precision), 6), round(avg(entity_recall), 6), round(avg(redact_f1), 6), round(avg(entity_f1), 6) from f""")
 def _(spark, d):
     # predictions are the gold spans with one in ten missing
     t = docs(spark, d, "doc_id", "lang", "text").withColumn("gold", S.clean_spans("text", S.detect_pii("text")))

@@ -86,9 +86,12 @@ def redact_corpus(df: DataFrame, key: str, text: str, seed_names: bool = False)
 
 
 def redaction_benchmark(df: DataFrame, set_col: str, text: str, must: str, may: str, pred: str) -> DataFrame:
-    """Redaction scores per set and their macro mean (set = 'macro')."""
+    """Redaction scores per set, exact entity F1 beside them, and their macro mean (set = 'macro')."""
     per = spans.redaction_metrics(df, text, must, may, pred, [set_col])
-    names = ["redact_recall", "redact_precision", "entity_recall", "redact_f1"]
+    both, each = F.size(F.array_intersect(must, pred)), F.size(F.array_distinct(must)) + F.size(F.array_distinct(pred))
+    exact = df.groupBy(set_col).agg(F.coalesce(F.try_divide(2 * F.sum(both), F.sum(each)), F.lit(0.0)).alias("entity_f1"))
+    per = per.join(exact, set_col)
+    names = ["redact_recall", "redact_precision", "entity_recall", "redact_f1", "entity_f1"]
     return per.select(F.col(set_col).alias("set"), *names).unionByName(per.agg(*[F.avg(c).alias(c) for c in names]).select(F.lit("macro").alias("set"), *names))
 
 
