@@ -12,9 +12,9 @@ as one more term, so that a passing mention in a long text is far from a short t
 Bounds: EXAMPLES labelled rows (half per class, first by hash) and TERMS terms; the index that tasks receive is limited by their
 product. Document frequencies are counted over all documents, in partial counts per task, and every text is read whole.
 
-Block-max search: the postings of a term are cut by blocks of BLOCK examples, each with its largest weight. A query adds up the
-largest weights per block, visits blocks from the highest bound down, and stops where the bound falls below the k-th similarity:
-the result is that of comparing all examples (ties by example number).
+Block-max search: the postings of a term are cut by blocks of BLOCK examples, each block a row of weights with its largest one
+beside it. A query adds up the largest weights per block, visits blocks from the highest bound down, a few at a time, and stops
+where the bound falls below the k-th similarity: the result is that of comparing all examples (ties by example number).
 
 Cases: null and empty texts, and texts without a term of the vocabulary, get the rate of examples without neighbours; without
 labelled rows of both classes every score is the known rate (0 if there is none); labels with a null are ignored; repeated rows
@@ -50,13 +50,18 @@ class Terms:
 
     def __init__(self, vocabulary: list[str]):
         self.number = {t: i for i, t in enumerate(vocabulary)}
+        self.heads = {t.rstrip("*")[:BEGINNINGS[0]] for t in vocabulary}  # a word with another head has no term
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, count) of the terms of every text that has one, ordered by text and term."""
         codes, starts, values = words.split(words.translated(texts, words.ALNUM_LOWER))
-        known = [[self.number[t] for t in terms_of(v) if t in self.number] for v in values]
-        lens = np.fromiter(map(len, known), "int64", len(known))
-        flat = np.array([t for ts in known for t in ts], "int64")
+        known: dict[int, list[int]] = {}
+        for i, v in enumerate(v.decode()[:BEGINNINGS[0]] for v in values):
+            if v in self.heads and (found := [self.number[t] for t in terms_of(values[i]) if t in self.number]):
+                known[i] = found
+        lens = np.zeros(len(values), "int64")
+        lens[list(known)] = [len(ts) for ts in known.values()]
+        flat = np.array([t for ts in known.values() for t in ts], "int64")
         doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         hit = np.flatnonzero(lens[codes]) if len(codes) else np.zeros(0, "int64")
         term = words.gather(codes[hit], lens, flat)
@@ -120,38 +125,39 @@ class BlockMaxIndex:
     """Unit vectors of examples by term, in blocks with the largest weight of each term."""
 
     def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int):
-        order = np.lexsort((example, term))
-        self.example, self.weight, self.n = example[order], weight[order], n
-        term, block = term[order], self.example // BLOCK
         self.n_blocks = -(-n // BLOCK)
-        runs = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, "int64")
-        self.run_start = np.concatenate([runs, [len(term)]])
-        self.run_block = block[runs]
-        self.run_max = np.maximum.reduceat(self.weight, runs) if len(runs) else np.zeros(0)
-        self.term_start = np.searchsorted(term[runs], np.arange(n_terms + 1))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of the highest cosine above 0, as (cosine, example)."""
-        bound = np.zeros(self.n_blocks)
-        runs: dict[int, list[tuple[int, float]]] = {}
-        for t, q in zip(terms.tolist(), weights.tolist()):
-            lo, hi = int(self.term_start[t]), int(self.term_start[t + 1])
-            bound[self.run_block[lo:hi]] += q * self.run_max[lo:hi]
-            for r, b in zip(range(lo, hi), self.run_block[lo:hi].tolist()):
-                runs.setdefault(b, []).append((r, q))
-        best: list[tuple[float, int]] = []
-        for b in sorted(runs, key=lambda b: (-bound[b], b)):
-            if len(best) == k and bound[b] < best[-1][0] - 1e-9:
-                break
-            sums = np.zeros(BLOCK)
-            for r, q in runs[b]:
-                lo, hi = self.run_start[r], self.run_start[r + 1]
-                sums[self.example[lo:hi] - b * BLOCK] += q * self.weight[lo:hi]
-            floor = best[-1][0] - 1e-9 if len(best) == k else 0.0
-            at = np.flatnonzero(sums > max(floor, 1e-12))
-            found = [(s, i) for s, i in zip(sums[at].tolist(), (at + b * BLOCK).tolist()) if i != without]
-            best = sorted(best + found, key=lambda x: (-round(x[0], 9), x[1]))[:k]
-        return best
+        key = term * self.n_blocks + example // BLOCK
+        runs, at = np.unique(key, return_inverse=True)
+        # row 0 is that of a term without examples in a block
+        self.rows = np.zeros((len(runs) + 1, BLOCK))
+        self.rows[at + 1, example % BLOCK] = weight
+        self.largest = self.rows.max(1)
+        self.run_of = np.zeros((n_terms, self.n_blocks), "int32")
+        self.run_of.ravel()[runs] = np.arange(1, len(runs) + 1)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, examples) of the k examples of the highest cosine above 0, in order."""
+        runs = self.run_of[terms]
+        bound = weights @ self.largest[runs]
+        order = np.argsort(-bound, kind="stable")
+        sims, found, done, take = np.zeros(0), np.zeros(0, "int64"), 0, 8
+        floor = 1e-12
+        while done < len(order) and bound[order[done]] >= floor:
+            blocks = order[done:done + take]
+            blocks = blocks[bound[blocks] >= floor]
+            own = runs[:, blocks].T
+            at, of = np.nonzero(own)  # by block; each has a run, as its bound is above 0
+            part = np.add.reduceat(self.rows[own[at, of]] * weights[of][:, None], np.searchsorted(at, np.arange(len(blocks)))).ravel()
+            at = np.flatnonzero(part >= floor)
+            sims, found = np.concatenate([sims, part[at]]), np.concatenate([found, blocks[at // BLOCK] * BLOCK + at % BLOCK])
+            if without >= 0:
+                sims, found = sims[found != without], found[found != without]
+            if len(sims) > k:
+                floor = np.partition(sims, len(sims) - k)[len(sims) - k] - 1e-9
+                sims, found = sims[sims >= floor], found[sims >= floor]
+            done, take = done + take, take * 4
+        first = np.lexsort((found, -np.round(sims, 9)))[:k]
+        return sims[first], found[first]
 
 
 class Model:
@@ -178,7 +184,8 @@ class Model:
         w = self.weigh(doc, term, n, len(names))
         self.index = BlockMaxIndex(doc, term, w, len(names), len(self.vocabulary) + 1)
         starts = np.searchsorted(doc, np.arange(len(names) + 1))
-        x = np.array([self.logit(self.index.nearest(term[a:b], w[a:b], self.k, i) if b > a else []) for i, (a, b) in enumerate(zip(starts, starts[1:]))])
+        none = (np.zeros(0), np.zeros(0, "int64"))
+        x = np.array([self.logit(*(self.index.nearest(term[a:b], w[a:b], self.k, i) if b > a else none)) for i, (a, b) in enumerate(zip(starts, starts[1:]))])
         weight, y = self.votes[self.labels], self.labels.astype("float64")
         a, b = 0.0, 1.0
         for _ in range(50):  # Newton steps of a ridge-regularised logistic curve
@@ -191,30 +198,35 @@ class Model:
             a, b = a + da / size, b + db / size
         self.curve = (float(a), float(max(b, 0.05)))
 
-    def logit(self, near: list[tuple[float, int]]) -> float:
+    def logit(self, sims: np.ndarray, found: np.ndarray) -> float:
         """Log-odds of the distance-weighted share of votes, drawn to the prior by half a vote."""
-        yes, no = 0.5 * self.prior, 0.5 * (1 - self.prior)
-        for s, i in near:
-            label = int(self.labels[i])
-            vote = min(1.0, self.votes[label] / self.votes.max()) / (0.1 + 1 - min(s, 1.0))
-            yes, no = (yes + vote, no) if label else (yes, no + vote)
+        label = self.labels[found]
+        vote = (self.votes / self.votes.max())[label] / (1.1 - np.minimum(sims, 1.0))
+        yes = float(vote @ label)
+        yes, no = 0.5 * self.prior + yes, 0.5 * (1 - self.prior) + float(vote.sum()) - yes
         return math.log(max(yes, 1e-9) / max(no, 1e-9))
 
-    def score(self, texts: pa.Array) -> list[dict]:
+    def score(self, texts: pa.Array) -> pa.Array:
+        """One SCORE struct per text."""
+        size, none = len(texts), (np.zeros(0), np.zeros(0, "int64"))
         doc, term, n = Terms(self.vocabulary).counts(texts) if self.index else (np.zeros(0, "int64"),) * 3
-        starts = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
-        w = self.weigh(doc, term, n, len(texts)) if self.index else n
-        out = []
-        for a, b in zip(starts, starts[1:]):
-            near = self.index.nearest(term[a:b], w[a:b], self.k) if b > a else []
-            if self.index:
-                x = self.curve[0] + self.curve[1] * self.logit(near)
-                score = 1 / (1 + math.exp(-min(30.0, max(-30.0, x))))
-            else:
-                score = self.prior
-            out.append({"score": score, "neighbours": [{"id": self.names[i], "similarity": s, "label": int(self.labels[i])} for s, i in near],
-                        "terms": [self.vocabulary[t] for t in term[a:b].tolist()[:-1]]})
-        return out
+        starts = np.searchsorted(doc, np.arange(size + 1))
+        w = self.weigh(doc, term, n, size) if self.index else n
+        near = [self.index.nearest(term[a:b], w[a:b], self.k) if b > a else none for a, b in zip(starts.tolist(), starts[1:].tolist())]
+        if self.index:
+            x = self.curve[0] + self.curve[1] * np.array([self.logit(*p) for p in near] or [0.0])[:size]
+            score = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        else:
+            score = np.full(size, self.prior)
+        sims, found = (np.concatenate([p[j] for p in near] or [none[j]]) for j in (0, 1))
+        ids = pa.array(self.names, pa.string()).take(pa.array(found))
+        neighbours = pa.StructArray.from_arrays([ids, pa.array(sims), pa.array(self.labels[found], pa.int32())], ["id", "similarity", "label"])
+        cuts = lambda lens: pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32())
+        own = term < len(self.vocabulary)
+        terms = pa.array(self.vocabulary, pa.string()).take(pa.array(term[own]))
+        return pa.StructArray.from_arrays(
+            [pa.array(score), pa.ListArray.from_arrays(cuts([len(p[0]) for p in near]), neighbours), pa.ListArray.from_arrays(cuts(np.bincount(doc[own], minlength=size)), terms)],
+            ["score", "neighbours", "terms"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, k: int = 15, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
@@ -260,12 +272,10 @@ def with_scores(docs: DataFrame, model: Model, out: str, text: str = "text") ->
 
     @F.arrow_udf(SCORE)
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model, kind = shared.value, None
+        model = shared.value
         for texts in batches:
-            kind = pa.struct([("score", pa.float64()), ("neighbours", pa.list_(pa.struct([("id", pa.string()), ("similarity", pa.float64()), ("label", pa.int32())]))),
-                              ("terms", pa.list_(pa.string()))])
-            got = [r for p in words.pieces(pa.RecordBatch.from_arrays([texts], ["t"]), 0) for r in model.score(p.column(0))]
-            yield pa.array(got, kind)
+            got = [model.score(p.column(0)) for p in words.pieces(pa.RecordBatch.from_arrays([texts], ["t"]), 0)]
+            yield pa.concat_arrays(got) if got else model.score(texts)
 
     return docs.withColumn(out, score(F.col(f"`{text}`")))
 

@@ -120,8 +120,9 @@ def test_block_max_search_is_exact():
         t = np.flatnonzero(x[i])
         sims = x @ x[i]
         want = sorted(((s, j) for j, s in enumerate(sims) if s > 1e-12), key=lambda p: (-round(p[0], 9), p[1]))[:15]
-        got = index.nearest(t, x[i][t], 15)
-        assert [j for _, j in got] == [j for _, j in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
+        sims, found = index.nearest(t, x[i][t], 15)
+        assert found.tolist() == [j for _, j in want] and np.allclose(sims, [s for s, _ in want])
+        assert i not in index.nearest(t, x[i][t], 15, without=i)[1].tolist()
 
 
 def labelled(n=400):
