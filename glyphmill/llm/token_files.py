@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import words
 
 #: Distinct words that a Python worker remembers in each of two generations.
-CACHE = 400_000
+CACHE = 120_000
 PARTS = "part int, n_docs long, n_tokens long"
 
 

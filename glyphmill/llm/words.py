@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of a batch that are handled at once (a single longer text is handled alone).
-PIECE = 16 << 20
+PIECE = 4 << 20
 
 
 def byte_table(is_word: Callable[[int], bool], lower: bool) -> bytes:
@@ -36,6 +36,7 @@ def pieces(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PIECE, "right")))
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # workers live on; what a batch needed goes back
 
 
 def translated(texts: pa.Array, table: bytes) -> pa.Array:
