@@ -5,13 +5,15 @@ the entropy of the text's tokens against that of equally many different ones. Te
 world doesn't fit - encoded data, broken encodings, symbol noise, repetition - leaves the usual range. The usual range is taken per
 group (language, or else the script of most letters): from the quartiles over all documents of the group, widened by REACH times
 their distance and at least by the figure's own slack; for a text of n tokens the widening grows by sqrt(1 + FEW / n), as figures of
-short texts vary more. A text is rejected outside a band, or if it fails the base rules.
+short texts vary more, and in a group of m texts by sqrt(1 + TEXTS / m), as quartiles of few texts vary more.
+A text is rejected outside a band, or if it fails the base rules.
 
 Quartiles come from counts on a fixed grid, so they are exact on it, equal for any partitioning, and a hot group is one row per
 grid cell. Texts are read whole; each distinct word of a batch is encoded once.
 
 Cases: a null text has no words, fails the base rules and has no figures; a null language is a group of its own, by script; a
-group of fewer than LEAST texts with base-passing words uses the bands of all documents; repeated rows get equal results; an
+group's bands come from its own texts only, whatever their number, so a single text is never outside; a group in which every text
+fails the base rules has no bands; repeated rows get equal results; an
 empty table gives an empty result; other columns are not read."""
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from .common import saved
 
 REACH = 4.0
 FEW = 400
-LEAST = 200
+TEXTS = 10
 #: figure -> (grid step, least widening)
 FIGURES = {"chars_per_token": (0.01, 0.1), "byte_share": (0.001, 0.02), "evenness": (0.01, 0.1)}
 WINDOW = 8
@@ -154,18 +156,17 @@ def base_failed() -> Column:
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """(group, figure, low, high) from the rows that pass the base rules; the group `*` is all of them."""
+    """(group, figure, low, high, widen) from the rows of the group that pass the base rules."""
     cells = F.array(*[F.struct(F.lit(f).alias("figure"), F.round(F.col(f) / step).cast("long").alias("cell")) for f, (step, _) in FIGURES.items()])
     each = rows.where(~base_failed()).select("group", F.explode(cells).alias("c")).groupBy("group", "c.figure", "c.cell").agg(F.count(F.lit(1)).alias("n"))
-    each = each.unionAll(each.groupBy("figure", "cell").agg(F.sum("n").alias("n")).select(F.lit("*").alias("group"), "figure", "cell", "n"))
     w = Window.partitionBy("group", "figure")
     each = each.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("cell")))
     quarter = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("cell")))
     out = each.groupBy("group", "figure").agg(quarter(0.25).alias("q1"), quarter(0.75).alias("q3"), F.max("total").alias("total"))
     step = F.element_at(F.create_map(*[F.lit(x) for f, (s, _) in FIGURES.items() for x in (f, s)]), F.col("figure"))
     slack = F.element_at(F.create_map(*[F.lit(x) for f, (_, s) in FIGURES.items() for x in (f, s)]), F.col("figure"))
-    widen = F.greatest(REACH * (F.col("q3") - F.col("q1")) * step, slack)
-    return out.where((F.col("total") >= LEAST) | (F.col("group") == "*")).select(
+    widen = F.greatest(REACH * (F.col("q3") - F.col("q1")) * step, slack) * F.sqrt(1 + TEXTS / F.col("total"))
+    return out.select(
         "group", "figure", (F.col("q1") * step).alias("low"), (F.col("q3") * step).alias("high"), widen.alias("widen"))
 
 
@@ -175,8 +176,7 @@ def judge(docs: DataFrame, path: str) -> DataFrame:
     rows = saved(rows, "fertility")
     band = F.map_from_entries(F.collect_list(F.struct("figure", F.struct("low", "high", "widen"))))
     per = saved(bands(rows).groupBy("group").agg(band.alias("band")), "fertility-bands")  # a row per group
-    every = per.where("group = '*'").agg(F.first("band").alias("all"))  # always one row
-    rows = rows.join(per, "group", "left").join(F.broadcast(every)).withColumn("band", F.coalesce("band", "all"))
+    rows = rows.join(per, "group", "left")
     more = F.sqrt(1 + FEW / F.col("n_tokens"))
 
     def beyond(f: str) -> Column:
