@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mix, fertility, fm_quality, line_windows, sharding, simhash_bk, token_files, toxicity, url_lm, winnowing
+from . import cube_mix, fertility, fm_quality, line_windows, merkle, sharding, simhash_bk, token_files, toxicity, url_lm, winnowing
 from .common import scratch, table
 
 #: Parameters of the contracts, shared with the pipeline.
@@ -100,3 +100,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_line_windows", line_windows.SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_windows.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), n_removed="n_removed")
+
+
+@query("op11_merkle_manifest", merkle.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
