@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mix, fertility, fm_quality, line_windows, merkle, sharding, simhash_bk, token_files, toxicity, url_lm, winnowing
+from . import cube_mix, fertility, fm_quality, hard_negatives, line_windows, merkle, sharding, simhash_bk, token_files, toxicity, url_lm, winnowing
 from .common import scratch, table
 
 #: Parameters of the contracts, shared with the pipeline.
@@ -105,3 +105,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_merkle_manifest", merkle.SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op12_hard_negatives", hard_negatives.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.digest(table(spark, sf_dir, "embeddings"))
