@@ -3,7 +3,7 @@
 Two texts are linked if their sets of lower-cased N-word shingles agree in 8 of 10 or more, and linked documents form components.
 
 Texts of equal sets are one node, however many copies there are. Candidates come from buckets: BANDS keys of ROWS min-hashes
-each, which a pair at 0.8 misses with probability (1 - 0.8 ** ROWS) ** BANDS, 0.00007; or buckets that the caller names.
+each, which a pair at 0.8 misses with probability (1 - 0.8 ** ROWS) ** BANDS, 0.00007; and from buckets that the caller names.
 No candidate is linked unseen: shingle hashes of both texts are joined and counted. Each bucket is first held against its
 smallest node, which ties a group of many copies together in as many pairs as it has nodes. Where a bucket still has several
 components, all its nodes are then held against each other through postings of their shingles, in tasks of at most two parts of
@@ -77,16 +77,16 @@ def _node(x: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(x.tobytes())
 
 
-def marks(docs: DataFrame, bands: bool = True) -> DataFrame:
-    """(doc_id, id, h, node, n, buckets): id and h name the row, node its set of n shingles; buckets are empty unless asked for."""
+def marks(docs: DataFrame) -> DataFrame:
+    """(doc_id, id, h, node, n, buckets): id and h name the row, node its set of n shingles, buckets the keys of its bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in words.pieces(batch, 1):
                 h, first, sets = _sets(piece.column(1))
-                keys = band_keys(h, first) if bands else np.zeros((0, BANDS), "uint64")
-                ends = np.concatenate([[0], np.cumsum(np.diff(first) > 0)]) * (BANDS if bands else 0)
+                keys = band_keys(h, first)
+                ends = np.concatenate([[0], np.cumsum(np.diff(first) > 0)]) * BANDS
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel().view("int64")))
                 node = np.fromiter(map(_node, sets), "uint64", len(sets)).view("int64")
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), piece.column(3), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), lists],
@@ -204,14 +204,15 @@ def _compared(rest: DataFrame) -> DataFrame:
 def one_per_group(docs: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
     """The first row of every component, with the columns of the input; of equal rows one.
 
-    buckets(id, h, bucket) names the candidates by row; without it they come from the min-hashes."""
-    rows = marks(docs, buckets is None)
+    buckets(id, h, bucket) names further candidates by row, beside those of the min-hashes."""
+    rows = marks(docs)
     if buckets is not None:
-        rows = rows.drop("buckets").join(buckets.distinct(), ["id", "h"]).withColumn("buckets", F.array("bucket"))
+        own = F.concat("buckets", F.when(F.col("bucket").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("bucket")))
+        rows = rows.join(buckets.distinct(), ["id", "h"], "left").withColumn("buckets", own)
     rows = saved(rows.select("doc_id", "id", "h", "node", "n", "buckets"), "near-marks")
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "id", "h")
     plain = rows.groupBy("node").agg(F.min(row).alias("first"), F.first("n").alias("n"),
-                                     (F.first("buckets") if buckets is None else F.flatten(F.collect_set("buckets"))).alias("buckets"))
+                                     (F.first("buckets") if buckets is None else F.array_distinct(F.flatten(F.collect_set("buckets")))).alias("buckets"))
     nodes = saved(plain, "near-nodes")
     roots = components(links(docs, nodes))
     rooted = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

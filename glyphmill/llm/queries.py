@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mix, fertility, fm_quality, hard_negatives, line_windows, merkle, sharding, simhash_bk, token_files, toxicity, url_lm, winnowing
+from . import cube_mix, fertility, fm_quality, hard_negatives, language_id, line_windows, merkle, sharding, simhash_bk, token_files, toxicity, url_lm, winnowing
 from .common import scratch, table
 
 #: Parameters of the contracts, shared with the pipeline.
@@ -110,3 +110,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_hard_negatives", hard_negatives.SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.digest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_language_id")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.digest(docs, language_id.fit(docs, ~toxicity.held_out(F.col("doc_id"), 4, 2)))

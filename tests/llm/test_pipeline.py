@@ -9,7 +9,8 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from glyphmill.llm.queries import ORACLES, QUERIES, public_tokenizer
-from tests.llm.test_operators import brute_components, brute_fingerprint, brute_hits, brute_targets
+from tests.llm.test_near_copies import brute_kept
+from tests.llm.test_operators import brute_hits, brute_targets
 from tools_check import TABLES, canon
 
 D = "/root/testdata/sf0.001"
@@ -25,7 +26,7 @@ def con():
 
 def test_registered():
     names = set(entry.queries())
-    assert set(QUERIES) | {"pipeline"} <= names and {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert set(QUERIES) | {"pipeline"} <= names and {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(ORACLES) <= set(entry.oracle_sql())
 
 
@@ -51,11 +52,8 @@ def test_stages(spark):
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {i for i, p in scored.items() if not p}
     rows = sorted((r["doc_id"], r["text"], r["source"]) for r in clean.collect())
     near = stages["simhash"](spark, clean, D)
-    fps = [brute_fingerprint(t) for _, t, _ in rows]
-    root, first = brute_components(set(fps)), {}
-    for (i, _, _), fp in zip(rows, fps):
-        first.setdefault(root[fp], i)
-    rows = [r for r in rows if r[0] in set(first.values())]
+    stay, _ = brute_kept(rows)
+    rows = [r for r in rows if r[0] in set(stay)]
     assert near.columns == docs.columns and sorted(r["doc_id"] for r in near.collect()) == [i for i, _, _ in rows]
     items = [tuple(r) for r in spark.read.parquet(f"{D}/benchmark.parquet").select("item_id", "text").collect()]
     kept = stages["decontamination"](spark, near, D)
