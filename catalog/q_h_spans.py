@@ -51,28 +51,45 @@ def _(spark, d):
     return S.explode_spans(t, "doc_id", "clean")
 
 
-@query("h21_locate_entities", f"""with e as (select doc_id, text, unnest(list_distinct([x for x in string_split(regexp_replace(text, '[^\\p{{L}}]+', ' ', 'g'), ' ') if length(x) >= 14])) as w from documents)
+@query("h21_locate_entities", f"""with e as (select doc_id, text, unnest(list_distinct([x for x in string_split(regexp_replace(text, '[^\\p{{L}}]+', ' ', 'g'), ' ') if length(x) >= 4])) as w from documents)
 select doc_id, w as label, (len(string_split(text, w)) - 1)::BIGINT as n, (instr(text, w) - 1)::BIGINT as first from e""")
 def _(spark, d):
-    # entities: the distinct long words of the whole text; the label is the word itself
-    words = F.array_distinct(F.filter(F.split(F.regexp_replace("text", r"[^\p{L}]+", " "), " "), lambda w: F.length(w) >= 14))
+    # entities: the distinct words of four letters or more of the whole text; the label is the word itself
+    words = F.array_distinct(F.filter(F.split(F.regexp_replace("text", r"[^\p{L}]+", " "), " "), lambda w: F.length(w) >= 4))
     t = docs(spark, d, "doc_id", "text").withColumn("ents", F.transform(words, lambda w: F.struct(w.alias("text"), w.alias("label"))))
     s = S.explode_spans(t.withColumn("spans", S.locate_all("text", "ents", 2)), "doc_id", "spans")
     return s.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"))
 
 
 def _entities(text="text"):
-    words = F.array_distinct(F.filter(F.split(F.regexp_replace(text, r"[^\p{L}]+", " "), " "), lambda w: F.length(w) >= 14))
+    words = F.array_distinct(F.filter(F.split(F.regexp_replace(text, r"[^\p{L}]+", " "), " "), lambda w: F.length(w) >= 3))
     return F.transform(words, lambda w: F.struct(w.alias("text"), F.when(w.rlike(r"^\p{Lu}"), "PERSON").otherwise("TERM").alias("label")))
 
 
-@query("h22_align_entities")
+# occurrences by running lengths of the parts between them; overlapping ones form groups in which the longest goes first
+GREEDY = """isl as (select *, sum(fresh) over (partition by doc_id order by s, e, l rows unbounded preceding) as island from (
+   select *, case when s >= coalesce(max(e) over (partition by doc_id order by s, e, l rows between unbounded preceding and 1 preceding), 0) then 1 else 0 end as fresh from cand)),
+ grp as (select doc_id, list([{'s': s, 'e': e, 'l': l}] order by e - s desc, s, e, l) as v from isl group by doc_id, island),
+ chosen as (select doc_id, unnest(list_reduce(v, lambda a, b: case when len(list_filter(a, lambda y: y.s < b[1].e and b[1].s < y.e)) > 0 then a else a || b end)) as x from grp)"""
+
+
+@query("h22_align_entities", f"""with w as (select doc_id, text, unnest(list_distinct([x for x in string_split(regexp_replace(text, '[^\\p{{L}}]+', ' ', 'g'), ' ') if length(x) >= 3])) as w from documents),
+ parts as (select doc_id, text, w, unnest(string_split(text, w)) as p, generate_subscripts(string_split(text, w), 1) as i, len(string_split(text, w)) as n from w),
+ occ as (select doc_id, text, w, i, n, sum(length(p) + length(w)) over (partition by doc_id, w order by i rows unbounded preceding) as e from parts),
+ found as (select doc_id, text, (e - length(w))::BIGINT as s, e::BIGINT as e, case when regexp_matches(w, '^\\p{{Lu}}') then 'PERSON' else 'TERM' end as l from occ where i < n),
+ cand as (select doc_id, s, e, l from found where not (s > 0 and regexp_matches(substr(text, s, 1), '^[\\p{{L}}\\p{{N}}]$') and regexp_matches(substr(text, s + 1, 1), '^[\\x00-\\x7F]$'))
+   and not (e < length(text) and regexp_matches(substr(text, e + 1, 1), '^[\\p{{L}}\\p{{N}}]$') and regexp_matches(substr(text, e, 1), '^[\\x00-\\x7F]$'))), {GREEDY}
+select doc_id, x.s as start, x.e as "end", x.l as label from chosen""")
 def _(spark, d):
     t = docs(spark, d, "doc_id", "text").withColumn("spans", S.align_entities("text", _entities()))
     return S.explode_spans(t, "doc_id", "spans")
 
 
-@query("h23_propagate")
+@query("h23_propagate", f"""with f as (select doc_id, text, regexp_extract(text, '^(\\p{{Lu}}[\\p{{L}}]+)', 1) as w from documents), v as (select * from f where length(w) > 1),
+ parts as (select doc_id, text, w, unnest(string_split(text, w)) as p, generate_subscripts(string_split(text, w), 1) as i, len(string_split(text, w)) as n from v),
+ occ as (select doc_id, text, w, i, n, sum(length(p) + length(w)) over (partition by doc_id order by i rows unbounded preceding) as e from parts)
+select doc_id, (e - length(w))::BIGINT as start, e::BIGINT as "end", 'PERSON' as label from occ where i < n and (e = length(w) or (
+  not (e > length(w) and regexp_matches(substr(text, (e - length(w))::BIGINT, 1), '^[\\p{{L}}\\p{{N}}_]$')) and not regexp_matches(substr(text, e::BIGINT + 1, 1), '^[\\p{{L}}\\p{{N}}_]$')))""")
 def _(spark, d):
     # seed spans: the first word of every text that starts with a capital
     first = F.regexp_extract("text", r"^(\p{Lu}[\p{L}]+)", 1)

@@ -34,7 +34,10 @@ for _tag, _lo, _hi, _kmin, _kmax in (("h2_passages", 120, 1200, 2, 6), ("h2_pass
         return p.select("doc_id", "lang", F.md5("passage").alias("h"), F.length("passage").alias("n"))
 
 
-@query("h3_chunk_sentences")
+@query("h3_chunk_sentences", f"""with recursive s as (select doc_id, {q.sents('text')} as s from documents),
+ z as (select doc_id, s, 0::BIGINT as pos, 0::BIGINT as i, ('0x' || substr(md5('3:0:' || doc_id), 1, 8))::BIGINT % 3 + 1 as k from s where len(s) > 0
+  union all select doc_id, s, pos + 1, i + k, ('0x' || substr(md5('3:' || (i + k) || ':' || doc_id), 1, 8))::BIGINT % 3 + 1 from z where i + k < len(s))
+select doc_id, pos, md5(u) as h from (select doc_id, pos, array_to_string(s[i + 1:i + k], ' ') as u from z) where length(u) between 25 and 600""")
 def _(spark, d):
     t = U.explode_rows(docs(spark, d, "doc_id", "text"), ["doc_id"], U.chunk_sentences(K.sentences("text"), "doc_id", 3), "unit")
     return t.where(F.length("unit").between(25, 600)).select("doc_id", "pos", F.md5("unit").alias("h"))
@@ -189,7 +192,7 @@ select conv_id, run::BIGINT as run, count(*)::BIGINT as n, md5(string_agg(text,
 def _(spark, d):
     # consecutive turns of one role become one paragraph
     r = E.run_ids(table(spark, d, "conversations"), ["conv_id"], "turn", ["role"])
-    return P.join_runs(r, ["conv_id", "run"], "turn", "text").select("conv_id", "run", F.size("parts").alias("n"), F.md5("text").alias("h"))
+    return P.join_runs(r, ["conv_id", "run"], "turn", "text", block=2).select("conv_id", "run", "n", F.md5("text").alias("h"))
 
 
 @query("h51_extract_blocks", r"""select distinct page_id, trim(b) as block from (select page_id, unnest(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)) as b from pages) where length(b) > 15""")

@@ -53,3 +53,36 @@ def _(spark, d):
     sink, ckpt = scratch(spark), scratch(spark)
     ST.stream_quota(_source(spark, d), "lang", 60, "doc_id", sink, ckpt).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{sink}/rows").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _event_stream(spark, d, steps=4):
+    """Events as files in order of time, written one after the other; every 97th event of the first third comes last of all."""
+    path, t = scratch(spark), table(spark, d, "events", "event_id", "ts", "event_type", "value")
+    # the table's times have no zone: they are taken as UTC, whatever the session's zone
+    t = t.withColumn("ts", F.expr("timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts))"))
+    lo, hi = (r := t.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first())[0], r[1]
+    at = (F.unix_micros("ts") - lo) / F.lit(hi - lo + 1)
+    late = (F.col("event_id") % 97 == 0) & (at < 1 / 3)
+    for step in range(steps + 1):
+        part = late if step == steps else ~late & (F.floor(at * steps) == step)
+        t.where(part).coalesce(1).write.parquet(f"{path}/step={step}")
+    return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/step=*")
+
+
+def flag_rates(spark, d):
+    """(rows of the windowed flag rate, the finished query)."""
+    out = scratch(spark)
+    rates = ST.stream_flag_rate(_event_stream(spark, d), "ts", "6 hours", "2 hours", ["event_type"], F.col("value") >= 50)
+    run = rates.writeStream.outputMode("append").format("parquet").option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start(out)
+    run.awaitTermination()
+    return spark.read.schema(rates.schema).parquet(out), run
+
+
+@query("st5_flag_rate", """with m as (select min(ts) as lo, max(ts) as hi from events), e as (select time_bucket(interval '6 hours', ts, timestamp '1970-01-01') as start, event_type, value
+   from events, m where not (event_id % 97 = 0 and (epoch_us(ts) - epoch_us(lo)) / (epoch_us(hi) - epoch_us(lo) + 1) < 1 / 3)),
+ w as (select start, event_type, count(*) as n, sum((value >= 50)::INT) as flagged from e group by all)
+select epoch_us(start) // 1000000 as start, event_type, n::BIGINT as n, flagged::BIGINT as flagged, round(flagged / n, 6) as rate from w, m
+where start + interval '6 hours' <= date_trunc('milliseconds', hi) - interval '2 hours'""")
+def _(spark, d):
+    # a window comes out once the watermark has passed its end; the events that come last are too late for theirs
+    return flag_rates(spark, d)[0].select((F.unix_micros("start") / 1000000).cast("bigint").alias("start"), "event_type", "n", "flagged", "rate")

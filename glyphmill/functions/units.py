@@ -1,11 +1,15 @@
 """Units of text (sentence windows, words, characters) with character offsets, as array expressions."""
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .keys import NO_SPACE_LANGS, WS, _c, h32, sentences, strip
 
@@ -43,17 +47,22 @@ def cut(s: Column, start: Column | int, end: Column | int | None = None) -> Colu
     return s.substr(a + 1, F.greatest(b - a, F.lit(0)))
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def running_sum(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Sums of the elements up to and including each one (a null element counts as 0)."""
+    for lists in batches:
+        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        flat = np.cumsum(np.concatenate([[0], pc.fill_null(lists.flatten(), 0).to_numpy(zero_copy_only=False)]), dtype="int64")
+        ends = np.concatenate([[0], np.cumsum(n)])
+        sums = flat[1:] - np.repeat(flat[ends[:-1]], n)
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sums, pa.int32()), mask=pc.is_null(lists))
+
+
 def offsets_of(parts: Column, gap: Column | int = 0) -> Column:
     """Start and end of each array element when the elements are laid out with `gap` characters in between."""
-    g = gap if isinstance(gap, Column) else F.lit(gap)
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(UNIT).alias("out"))
-    return F.aggregate(
-        parts, zero,
-        lambda acc, x: F.struct(
-            (acc["pos"] + F.length(x) + g).cast("int").alias("pos"),
-            F.concat(acc["out"], F.array(F.struct(acc["pos"].cast("int").alias("start"),
-                                                  (acc["pos"] + F.length(x)).cast("int").alias("end")))).alias("out")),
-        lambda acc: acc["out"])
+    g = (gap if isinstance(gap, Column) else F.lit(gap)).cast("int")
+    sums = running_sum(F.transform(parts, lambda x: F.length(x) + g))
+    return F.zip_with(sums, F.transform(parts, lambda x: F.length(x)), lambda e, n: F.struct((e - g - n).alias("start"), (e - g).alias("end")))
 
 
 def match_spans(text: Column | str, rx: str) -> Column:
@@ -165,17 +174,22 @@ def chunk(t: Column | str, key: Column | str, seed, lo: int = 200, hi: int = 250
 
 def chunk_sentences(s: Column, key: Column | str, seed, kmax: int = 3) -> Column:
     """Back-to-back units of 1..kmax sentences; the size of a unit is a hash of the sentence number it starts at."""
-    pairs = F.transform(s, lambda x, i: F.struct(x.alias("s"), i.alias("i")))
-    zero = F.struct(F.lit(0).cast("bigint").alias("left"), F.array().cast("array<string>").alias("out"))
-    size = lambda i: F.pmod(h32(F.concat(F.lit(f"{seed}:"), i.cast("string")), key), F.lit(kmax)) + 1
-
-    def step(acc, x):
-        last = F.element_at(acc["out"], -1)
-        grow = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.concat(last, F.lit(" "), x["s"])))
-        return F.when(acc["left"] > 0, F.struct((acc["left"] - 1).alias("left"), grow.alias("out"))).otherwise(
-            F.struct((size(x["i"]) - 1).alias("left"), F.concat(acc["out"], F.array(x["s"])).alias("out")))
-
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    size = lambda x, i: (F.pmod(h32(F.concat(F.lit(f"{seed}:"), i.cast("string")), key), F.lit(kmax)) + 1).cast("int")
+    return _joined_runs(s, F.transform(s, size))
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _joined_runs(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Elements joined by blanks: the first as many as its size says, then the next ones from there."""
+    for lists, sizes in batches:
+        out = []
+        for parts, size in zip(lists.to_pylist(), sizes.to_pylist()):
+            units, at = [], 0
+            while parts is not None and at < len(parts):
+                units.append(" ".join(p for p in parts[at:at + size[at]] if p is not None))
+                at += size[at]
+            out.append(None if parts is None else units)
+        yield pa.array(out, pa.list_(pa.string()))
 
 
 def windows(words: Column, size: int, stride: int) -> Column:

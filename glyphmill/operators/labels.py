@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
-from pyspark.ml.regression import IsotonicRegression
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import _c, sentences
 from ..functions.units import explode_rows
+from ..session import materialise
 from .ranking import range_buckets
 from .sampling import balance_to_min
 
@@ -63,24 +65,59 @@ def agreement(df: DataFrame, soft: str, hard: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(same).alias("agree"), F.avg(soft).alias("mean_soft"))
 
 
-def pav_fit(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Isotonic blocks (x_max, y_mean, weight) of y on x.
+#: Blocks of a curve that one task may hold when neighbouring ranges are merged.
+POOL = 1 << 20
+
+
+def _pool(points: DataFrame, parts: int | None) -> DataFrame:
+    """(x_max, s, n) pooled inside ranges of x, with the number of the range: adjacent violators of one range become one block."""
+    ranges = points.repartitionByRange(parts, "x_max") if parts else points.repartitionByRange("x_max")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, xs, sums, counts = TaskContext.get().partitionId(), [], [], []
+        for batch in batches:
+            for x, s, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                while sums and sums[-1] * n >= s * counts[-1]:  # a mean that isn't below the next one; counts are positive
+                    s, n = s + sums.pop(), n + counts.pop()
+                    xs.pop()
+                xs.append(x)
+                sums.append(s)
+                counts.append(n)
+        if xs:
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.float64()), pa.array(sums, pa.float64()), pa.array(counts, pa.int64()), pa.array([part] * len(xs), pa.int32())], ["x_max", "s", "n", "part"])
 
-    Rows are first summed per distinct x; the parallel pooling of Spark ML then finds which values belong together, and
-    the block statistics come from a grouped sum over those values. Only the fitted block limits, as many as there are
-    steps in the curve, pass through the driver."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("features")).agg(
-        F.avg(F.col(y).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    model = IsotonicRegression(weightCol="weight", featureIndex=0).setFeaturesCol("features").fit(d)
-    fitted = model.transform(d)  # at a training value the curve equals its block mean
-    return fitted.groupBy(F.round("prediction", 12).alias("_b")).agg(
-        F.max("features").alias("x_max"), (F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("y_mean"), F.sum("weight").cast("bigint").alias("n")).drop("_b")
+    return ranges.select("x_max", "s", "n").sortWithinPartitions("x_max").mapInArrow(run, "x_max double, s double, n long, part int")
+
+
+def pav_fit(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Isotonic blocks (x_max, y_mean, n) of y on x, each with a larger mean than the one before.
+
+    Rows are first summed per distinct x. Ranges of x are pooled in tasks of their own; while the last block of a range isn't below
+    the first one of the next, blocks of several neighbouring ranges come together and are pooled again. Pooling is associative, so
+    the curve is that of one pass over all values. Blocks stay in tables: the driver sees how many are left and how many
+    neighbours still violate the order. Where a curve has more blocks than a task may hold, the limits of the ranges are moved
+    instead of taking more of them together."""
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x_max")).agg(
+        F.sum(F.col(y).cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
+    blocks, parts = materialise(_pool(d, None)), 0
+    while True:
+        end = F.struct("s", "n")
+        ends = blocks.groupBy("part").agg(F.min("x_max").alias("at"), F.min_by(end, "x_max").alias("first"), F.max_by(end, "x_max").alias("last"), F.count(F.lit(1)).alias("blocks"))
+        before = F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("at"))  # a row per range
+        seen = ends.withColumn("before", before).agg(
+            F.coalesce(F.sum((F.col("before.s") * F.col("first.n") >= F.col("first.s") * F.col("before.n")).cast("int")), F.lit(0)).alias("broken"),
+            F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks"), F.count(F.lit(1)).alias("ranges")).first()
+        if not seen["broken"]:
+            return blocks.select("x_max", (F.col("s") / F.col("n")).alias("y_mean"), "n")
+        fewer = max(-(-seen["blocks"] // POOL), min(seen["ranges"], parts or seen["ranges"]) // 8, 1)
+        parts = fewer if fewer < seen["ranges"] else seen["ranges"] + 1
+        blocks = materialise(_pool(blocks, parts))
 
 
 def pav_apply(df: DataFrame, blocks: DataFrame, x: str, out: str) -> DataFrame:
     """Step lookup: the mean of the first block whose x_max is not below the value, the last block beyond all of them.
 
-    Distinct values and blocks are laid out in range buckets; inside a bucket a running look-up finds the next block, and
+    Distinct values and blocks are laid out in cells of the number line; inside a cell a running look-up finds the next block, and
     one row per bucket carries the first block of the buckets behind. Nothing is broadcast or held in one row, however
     many steps the curve has."""
     pts = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("_x")).distinct().select("_x", F.lit(1).alias("_v"), F.lit(None).cast("double").alias("_y"))

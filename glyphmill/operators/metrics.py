@@ -1,5 +1,8 @@
 """Evaluation metrics over long prediction tables. Each metric is one grouped aggregation; ranks and thresholds use
-counts of distinct scores or grid cells, never a global sort."""
+counts of distinct scores or grid cells, never a global sort.
+
+Metrics of one score can share a count cube: `score_cube` counts positives and negatives per group and distinct score in the
+only pass over the rows, and `cube_binary`, `cube_auc` and `cube_sweep` work on those counts."""
 
 from __future__ import annotations
 
@@ -33,7 +36,10 @@ def binary_counts(gold: Column | str, pred: Column) -> list[Column]:
 
 def binary_metrics(df: DataFrame, gold: str = "gold", score: str = "score", thr: float = 0.5, op: str = "ge", by: list[str] | None = None) -> DataFrame:
     by = by or []
-    c = df.groupBy(*by).agg(*binary_counts(gold, decide(score, thr, op)))
+    return _binary(df.groupBy(*by).agg(*binary_counts(gold, decide(score, thr, op))), by)
+
+
+def _binary(c: DataFrame, by: list[str]) -> DataFrame:
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     return c.select(*by, (tp + fp + fn + tn).alias("n"), (tp + fn).alias("pos"), ratio(tp + tn, tp + fp + fn + tn).alias("acc"),
                     ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), f1_of(tp, fp, fn).alias("f1"),
@@ -46,18 +52,46 @@ def language_summary(per_lang: DataFrame, value: str, lang: str = "lang", englis
     return per_lang.agg(F.avg(value).alias("mean"), F.avg(F.when(en, F.col(value))).alias("english"), F.avg(F.when(~en, F.col(value))).alias("non_english"))
 
 
-def auc(df: DataFrame, gold: str = "gold", score: str = "score", by: list[str] | None = None) -> DataFrame:
-    """Mann-Whitney AUC with half credit for ties; NULL where a class is missing.
+def score_cube(df: DataFrame, gold: str = "gold", score: str = "score", by: list[str] | None = None, totals: list[str] | None = None, total: str = "all") -> DataFrame:
+    """(by, score, pos, neg): rows of either class per group and distinct score; rows without a score have a null score.
 
-    Scores are counted per distinct value first, then negatives below come from a two-pass prefix sum."""
-    by = by or []
+    Columns in `totals` get one more value, `total`, that stands for all of theirs: grouping sets over the counts."""
+    by, totals = by or [], totals or []
     g = F.col(gold) == 1
-    d = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(_n(g).alias("_p"), _n(~g).alias("_q"))
-    c = prefix_sum(d, by, score, {"_q": "_below"})
-    a = c.groupBy(*by).agg(F.sum(F.col("_p") * (F.col("_below") + F.col("_q") / 2.0)).alias("_s"), F.sum("_p").alias("_P"), F.sum("_q").alias("_N"))
+    one = df.groupBy(*by, F.col(score).alias("score")).agg(_n(g).alias("pos"), _n(~g).alias("neg"))
+    if not totals:
+        return one
+    sets = [F.explode(F.array(F.col(c).cast("string"), F.lit(total))).alias(c) if c in totals else F.col(c) for c in by]
+    for i, c in enumerate(by):  # one generator at a time
+        if c in totals:
+            one = one.select(*[sets[i] if x == c else F.col(x) for x in by], "score", "pos", "neg")
+    return one.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def cube_binary(cube: DataFrame, thr: float = 0.5, op: str = "ge", by: list[str] | None = None) -> DataFrame:
+    """The columns of `binary_metrics` from a cube."""
+    by = by or []
+    hit = decide("score", thr, op)
+    n = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
+    c = cube.groupBy(*by).agg(n("pos", hit).alias("tp"), n("neg", hit).alias("fp"), n("pos", ~hit).alias("fn"), n("neg", ~hit).alias("tn"))
+    return _binary(c, by)
+
+
+def cube_auc(cube: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Mann-Whitney AUC with half credit for ties; NULL where a class is missing."""
+    by = by or []
+    c = prefix_sum(cube.where(F.col("score").isNotNull()), by, "score", {"neg": "_below"})
+    a = c.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2.0)).alias("_s"), F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     return a.select(*by, (F.col("_P") + F.col("_N")).alias("n"), F.when((F.col("_P") > 0) & (F.col("_N") > 0), F.col("_s") / (F.col("_P") * F.col("_N"))).alias("auc"))
 
 
+def auc(df: DataFrame, gold: str = "gold", score: str = "score", by: list[str] | None = None) -> DataFrame:
+    """Mann-Whitney AUC with half credit for ties; NULL where a class is missing.
+
+    Scores are counted per distinct value first, then negatives below come from a prefix sum over cells of the score."""
+    return cube_auc(score_cube(df, gold, score, by), by)
+
+
 def class_counts(df: DataFrame, gold: str, pred: str, by: list[str] | None = None) -> DataFrame:
     """tp, fp, fn and support per class, from one pass over (gold, pred) counts."""
     by = by or []
@@ -91,16 +125,31 @@ def balanced_accuracy(df: DataFrame, gold: str, pred: str, by: list[str] | None
     return c.groupBy(*by).agg(F.avg(F.col("tp") / F.col("support")).alias("bacc"))
 
 
+def weighted_corr(x: Column, y: Column, n: Column) -> Column:
+    """Pearson correlation of pairs that stand for n rows each, as an aggregate."""
+    w, sx, sy = F.sum(n), F.sum(n * x), F.sum(n * y)
+    return (w * F.sum(n * x * y) - sx * sy) / F.sqrt((w * F.sum(n * x * x) - sx * sx) * (w * F.sum(n * y * y) - sy * sy))
+
+
 def regression_metrics(df: DataFrame, gold: str, pred: str, by: list[str] | None = None, cut: float = 3.0, top: float = 5.0) -> DataFrame:
-    """Spearman (tie-averaged ranks), Pearson, accuracy of rounded values, F1 at a cut."""
+    """Spearman (tie-averaged ranks), Pearson, accuracy of rounded values, F1 at a cut.
+
+    Rows are counted per pair of values once; ranks belong to the distinct values of either side, and all four figures are
+    weighted sums over the pairs, in which centred values keep the sums exact enough. A value that a third of all rows share is as
+    many pairs as it has partners."""
     by = by or []
-    rg, rp = average_ranks(df, by, gold, "_rg"), average_ranks(df, by, pred, "_rp")
-    key = lambda v: [*by, v]
-    j = df.join(rg.select(*key(gold), "_rg"), key(gold)).join(rp.select(*key(pred), "_rp"), key(pred))
+    pairs = df.where(F.col(gold).isNotNull() & F.col(pred).isNotNull()).groupBy(*by, F.col(gold).cast("double").alias("_g"), F.col(pred).cast("double").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    rg, rp = average_ranks(pairs, by, "_g", "_rg", "_n"), average_ranks(pairs, by, "_p", "_rp", "_n")
+    total = pairs.groupBy(*by).agg(F.sum("_n").alias("_all"), (F.sum(F.col("_n") * F.col("_g")) / F.sum("_n")).alias("_mg"), (F.sum(F.col("_n") * F.col("_p")) / F.sum("_n")).alias("_mp"))
+    j = pairs.join(rg.select(*by, "_g", "_rg"), [*by, "_g"]).join(rp.select(*by, "_p", "_rp"), [*by, "_p"])
+    j = j.join(total, by) if by else j.crossJoin(total)
+    n, middle = F.col("_n"), (F.col("_all") + 1) / 2.0
     level = lambda c: F.bround(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(top)))
-    g, p = F.col(gold) >= cut, F.col(pred) >= cut
-    a = j.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_rg", "_rp").alias("spearman"), F.corr(gold, pred).alias("pearson"),
-                           F.avg((level(gold) == level(pred)).cast("double")).alias("acc"), _n(g & p).alias("_tp"), _n(~g & p).alias("_fp"), _n(g & ~p).alias("_fn"))
+    g, p = F.col("_g") >= cut, F.col("_p") >= cut
+    count = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    a = j.groupBy(*by).agg(F.sum(n).alias("n"), weighted_corr(F.col("_rg") - middle, F.col("_rp") - middle, n).alias("spearman"),
+                           weighted_corr(F.col("_g") - F.col("_mg"), F.col("_p") - F.col("_mp"), n).alias("pearson"),
+                           (count(level("_g") == level("_p")) / F.sum(n)).alias("acc"), count(g & p).alias("_tp"), count(~g & p).alias("_fp"), count(g & ~p).alias("_fn"))
     return a.select(*by, "n", "spearman", "pearson", "acc", f1_of(F.col("_tp"), F.col("_fp"), F.col("_fn")).alias("f1"))
 
 
@@ -121,11 +170,15 @@ def sweep(df: DataFrame, grid: list[float], gold: str = "gold", score: str = "sc
     """Precision, recall, F1 and FPR at every grid threshold (score >= t).
 
     One pass counts rows per grid cell; suffix sums over at most len(grid) cells give every threshold."""
+    return cube_sweep(score_cube(df, gold, score, by), grid, by)
+
+
+def cube_sweep(cube: DataFrame, grid: list[float], by: list[str] | None = None) -> DataFrame:
+    """`sweep` from a cube."""
     by = by or []
     grid = sorted(grid)
-    cell = sum((F.col(score) >= t).cast("int") for t in grid)
-    g = F.col(gold) == 1
-    c = df.groupBy(*by, cell.alias("_cell")).agg(_n(g).alias("_p"), _n(~g).alias("_q"))
+    cell = sum((F.col("score") >= t).cast("int") for t in grid)
+    c = cube.groupBy(*by, cell.alias("_cell")).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
     # every cell must exist in every group for its threshold to be listed
     groups = c.select(*by).distinct() if by else c.agg(F.count(F.lit(1)).alias("_x")).select()
     full = groups.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(len(grid)))))
@@ -145,10 +198,11 @@ def tune_thresholds(dev: DataFrame, grid: list[float], gold: str = "gold", score
     by = by or []
     tie = F.col("threshold") if prefer_high else -F.col("threshold")
     best = F.max_by(F.struct("threshold", "f1"), F.struct("f1", tie)).alias("b")
-    pooled = sweep(dev, grid, gold, score).agg(best).select(F.col("b.threshold").alias("_pt"), F.col("b.f1").alias("_pf"))
+    cube = score_cube(dev, gold, score, by)  # the pooled sweep reads the same counts
+    pooled = cube_sweep(cube, grid).agg(best).select(F.col("b.threshold").alias("_pt"), F.col("b.f1").alias("_pf"))
     if not by:
         return pooled.select(F.col("_pt").alias("threshold"), F.col("_pf").alias("f1"))
-    own = sweep(dev, grid, gold, score, by).groupBy(*by).agg(best, F.max("pos").alias("pos"))
+    own = cube_sweep(cube, grid, by).groupBy(*by).agg(best, F.max("pos").alias("pos"))
     return own.crossJoin(pooled).select(*by, "pos", F.when(F.col("pos") >= min_pos, F.col("b.threshold")).otherwise(F.col("_pt")).alias("threshold"))
 
 
@@ -175,9 +229,10 @@ def category_metrics(df: DataFrame, cats: str, gold_cat: list[str], score_map: s
     cat = F.explode(F.array(*[F.lit(c) for c in gold_cat]))
     x = df.withColumn("category", cat)
     x = x.select("category", F.array_contains(cats, F.col("category")).cast("int").alias("gold"), F.try_element_at(F.col(score_map), F.col("category")).alias("score"))
-    b = binary_metrics(x, by=["category"]).where(F.col("pos") >= min_pos).select("category", "n", "pos", "f1")
-    best = tune_f1(x, grid, ["category"])
-    return b.join(auc(x, by=["category"]).select("category", "auc"), "category").join(best, "category")
+    cube = score_cube(x, by=["category"])
+    b = cube_binary(cube, by=["category"]).where(F.col("pos") >= min_pos).select("category", "n", "pos", "f1")
+    best = cube_sweep(cube, grid, ["category"]).groupBy("category").agg(F.max("f1").alias("best_f1"))
+    return b.join(cube_auc(cube, ["category"]).select("category", "auc"), "category").join(best, "category")
 
 
 def tune_f1(df: DataFrame, grid: list[float], by: list[str]) -> DataFrame:
@@ -256,9 +311,11 @@ def paired(df: DataFrame, a: str, b: str, gap: float, by: str = "lang") -> DataF
 def ablation(df: DataFrame, with_: str, without: str, gold: str = "gold", by: list[str] | None = None) -> DataFrame:
     """AUC with and without an input and their difference."""
     by = by or []
-    a = auc(df, gold, with_, by).withColumnRenamed("auc", "auc_with")
-    b = auc(df, gold, without, by).withColumnRenamed("auc", "auc_without").drop("n")
-    j = a.join(b, by) if by else a.crossJoin(b)
+    both = F.explode(F.array(*[F.struct(F.lit(name).alias("v"), F.col(c).cast("double").alias("s")) for name, c in (("auc_with", with_), ("auc_without", without))]))
+    long = df.select(*by, F.col(gold).alias("gold"), both.alias("x")).select(*by, "gold", F.col("x.v").alias("_v"), F.col("x.s").alias("score"))
+    own = cube_auc(score_cube(long, by=[*by, "_v"]), [*by, "_v"])
+    side = lambda name, c: F.max(F.when(F.col("_v") == name, F.col(c)))
+    j = own.groupBy(*by).agg(side("auc_with", "n").alias("n"), side("auc_with", "auc").alias("auc_with"), side("auc_without", "auc").alias("auc_without"))
     return j.withColumn("delta", F.col("auc_with") - F.col("auc_without"))
 
 

@@ -68,9 +68,15 @@ def sole_owner(df: DataFrame, fact: list[str], doc: str) -> DataFrame:
     return df.groupBy(*fact).agg(F.count(F.lit(1)).alias("_n"), F.min(doc).alias(doc)).where("_n = 1").drop("_n")
 
 
-def join_runs(df: DataFrame, keys: list[str], order: str, text: str, sep: str = " ") -> DataFrame:
-    g = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, text))).alias("_l"))
-    return g.select(*keys, F.col(f"_l.{text}").alias("parts"), F.array_join(F.col(f"_l.{text}"), sep).alias("text"))
+def join_runs(df: DataFrame, keys: list[str], order: str, text: str, sep: str = " ", block: int = 1024) -> DataFrame:
+    """(keys, n, text): the texts of every run in order, joined.
+
+    Runs are cut at every `block` lines; the pieces are joined first, in tasks of their own, and then the pieces of a run, so a task
+    sorts at most `block` lines of a run, and one joined text per block besides the result itself."""
+    ordered = lambda by, c: F.sort_array(F.collect_list(F.struct(by, c)))[c]
+    cut = df.withColumn("_b", F.floor(F.col(order) / F.lit(block)))
+    pieces = cut.groupBy(*keys, "_b").agg(F.array_join(ordered(order, text), sep).alias("_t"), F.count(F.lit(1)).alias("_n"))
+    return pieces.groupBy(*keys).agg(F.sum("_n").alias("n"), F.array_join(ordered("_b", "_t"), sep).alias("text"))
 
 
 def extract_blocks(df: DataFrame, ids: list[str], text: str, rx: str, min_len: int) -> DataFrame:

@@ -2,55 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def range_buckets(df: DataFrame, col: str, n: int = 256, name: str = "_rb") -> DataFrame:
-    """Order-preserving bucket number of a numeric column.
-
-    The cut points come from one quantile sketch (at most n numbers on the driver) and enter the plan as constants, so
-    every use of the column sees the same buckets."""
-    probs = [i / n for i in range(1, n)]
-    cuts = sorted(set(df.select(F.col(col).cast("double").alias(col)).approxQuantile(col, probs, 0.5 / n)))
-    if not cuts:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    splits = [float("-inf"), *[c for c in cuts if abs(c) != float("inf")], float("inf")]
-    if len(splits) < 3:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    b = Bucketizer(splits=splits, inputCol="_bin", outputCol=name, handleInvalid="keep")
-    return b.transform(df.withColumn("_bin", F.col(col).cast("double"))).withColumn(name, F.col(name).cast("bigint")).drop("_bin")
-
-
-def prefix_sum(df: DataFrame, by: list[str], order: str, values: dict[str, str], descending: bool = False,
-               n: int = 256) -> DataFrame:
-    """Sum of each value over the rows strictly before, in `order` (unique inside a group): two passes.
-
-    Pass one sums whole range buckets, pass two sums inside a bucket; no task sees a whole group."""
-    b = range_buckets(df, order, n)
-    direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    g = [F.col(x).alias(f"_g{i}") for i, x in enumerate(by)]
-    tot = b.groupBy(*g, F.col("_rb").alias("_hb")).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    wt = Window.partitionBy(*([f"_g{i}" for i in range(len(by))] or [F.lit(0)])).orderBy(direction("_hb")).rowsBetween(
-        Window.unboundedPreceding, -1)
-    tot = tot.select(*[f"_g{i}" for i in range(len(by))], "_hb",
-                     *[F.coalesce(F.sum(f"_t_{v}").over(wt), F.lit(0)).alias(f"_o_{v}") for v in values])
-    cond = b["_rb"] == tot["_hb"]
-    for i, x in enumerate(by):
-        cond = cond & b[x].eqNullSafe(tot[f"_g{i}"])
-    w = Window.partitionBy(*by, "_rb").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, -1)
-    j = b.join(tot, cond)
-    return j.select(*df.columns, *[(F.coalesce(F.sum(v).over(w), F.lit(0)) + F.col(f"_o_{v}")).alias(out)
-                                   for v, out in values.items()])
-
-
-def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """(group, value, count, tie-averaged rank) for every distinct value."""
-    d = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    p = prefix_sum(d, by, value, {"_c": "_before"})
-    return p.select(*by, value, F.col("_c").alias(f"{name}_n"),
-                    (F.col("_before") + (F.col("_c") + 1) / 2.0).alias(name))
+#: Cells per power of two, and parts of a cell.
+CELLS, PARTS = 1 << 12, 1 << 10
+
+
+def cell(x: Column) -> tuple[Column, Column]:
+    """(cell, part) of a number as integers in its order: exponent and leading bits of the double, then the bits after them.
+
+    Nothing about the data has to be known, so no job runs to find cut points, and equal numbers fall into equal cells in any
+    query. Beyond a logarithm that is off by one at a power of two, the next cell begins where the last one ends."""
+    v = x.cast("double")
+    a = F.abs(v)
+    e = F.floor(F.log2(a))
+    at = (a / F.pow(F.lit(2.0), e) - 1) * CELLS
+    whole = F.floor(at)
+    plain = (e + 1100) * CELLS + whole  # above 0 for every finite number but 0
+    part = F.least(F.floor((at - whole) * PARTS), F.lit(PARTS - 1)).cast("bigint")
+    top = F.lit(4000 * CELLS)
+    odd = F.isnan(v) | (a == float("inf"))
+    big = F.when(odd, F.when(F.isnan(v), top + 1).otherwise(top)).when(a == 0, F.lit(0)).otherwise(plain).cast("bigint")
+    small = F.when(odd | (a == 0), F.lit(0).cast("bigint")).otherwise(part)
+    neg = (v < 0) & ~F.isnan(v)
+    return F.when(neg, -big).otherwise(big), F.when(neg & ~odd, F.lit(PARTS - 1) - small).otherwise(small)
+
+
+def range_buckets(df: DataFrame, col: str, name: str = "_rb") -> DataFrame:
+    """Order-preserving bucket number of a numeric column: CELLS buckets per power of two."""
+    return df.withColumn(name, cell(F.col(col))[0])
+
+
+def _sums_before(of: DataFrame, part: list[str], order: str, descending: bool, values: list[str], prefix: str) -> DataFrame:
+    w = Window.partitionBy(*(part or [F.lit(0)])).orderBy(F.col(order).desc() if descending else F.col(order)).rowsBetween(Window.unboundedPreceding, -1)
+    return of.withColumns({f"{prefix}{v}": F.coalesce(F.sum(f"_t_{v}").over(w), F.lit(0)) for v in values})
+
+
+def prefix_sum(df: DataFrame, by: list[str], order: str, values: dict[str, str], descending: bool = False) -> DataFrame:
+    """Sum of each value over the rows strictly before, in `order` (unique inside a group).
+
+    Three passes, each over narrower ranges of the order: sums of whole cells before a row's cell, of the parts of its cell before
+    its part, and of the rows before it inside the part. The first two work on counts per cell; no task sees a whole group."""
+    big, small = cell(F.col(order))
+    b = df.withColumns({"_cell": big, "_part": small})
+    g = [f"_g{i}" for i in range(len(by))]
+    names = list(values)
+    parts = b.groupBy(*[F.col(x).alias(n) for x, n in zip(by, g)], F.col("_cell").alias("_hc"), F.col("_part").alias("_hp")).agg(*[F.sum(v).alias(f"_t_{v}") for v in names])
+    cells = parts.groupBy(*g, F.col("_hc").alias("_oc")).agg(*[F.sum(f"_t_{v}").alias(f"_t_{v}") for v in names])
+    cells = _sums_before(cells, g, "_oc", descending, names, "_o_").select(*[F.col(n).alias(f"_o{n}") for n in g], "_oc", *[f"_o_{v}" for v in names])
+    parts = _sums_before(parts, [*g, "_hc"], "_hp", descending, names, "_i_")
+    here = F.col("_hc") == F.col("_oc")
+    for n in g:
+        here = here & F.col(n).eqNullSafe(F.col(f"_o{n}"))
+    parts = parts.join(cells, here).select(*g, "_hc", "_hp", *[(F.col(f"_o_{v}") + F.col(f"_i_{v}")).alias(f"_b_{v}") for v in names])
+    own = (b["_cell"] == parts["_hc"]) & (b["_part"] == parts["_hp"])
+    for n, x in zip(g, by):
+        own = own & b[x].eqNullSafe(parts[n])
+    w = Window.partitionBy(*by, "_cell", "_part").orderBy(F.col(order).desc() if descending else F.col(order)).rowsBetween(Window.unboundedPreceding, -1)
+    return b.join(parts, own).select(*df.columns, *[(F.coalesce(F.sum(v).over(w), F.lit(0)) + F.col(f"_b_{v}")).alias(out) for v, out in values.items()])
+
+
+def average_ranks(df: DataFrame, by: list[str], value: str, name: str, weight: str | None = None) -> DataFrame:
+    """(group, value, count, tie-averaged rank) for every distinct value; `weight` names a column of row counts."""
+    d = df.groupBy(*by, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c0"))
+    p = prefix_sum(d, by, value, {"_c0": "_before"})
+    return p.select(*by, value, F.col("_c0").alias(f"{name}_n"),
+                    (F.col("_before") + (F.col("_c0") + 1) / 2.0).alias(name))
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,53 +32,76 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(d > 0, dot(a, b) / d).otherwise(F.lit(0.0))
 
 
-def _block_top_k(k: int):
-    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or p.empty:
-            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "pid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        P = np.stack(p["vec2"].to_numpy()).astype(np.float64)
-        P /= np.maximum(np.linalg.norm(P, axis=1, keepdims=True), 1e-12)
-        pids = p["pid2"].to_numpy()
-        out = []
-        for s in range(0, len(q), 512):
-            part = q.iloc[s:s + 512]
-            Q = np.stack(part["vec1"].to_numpy()).astype(np.float64)
-            Q /= np.maximum(np.linalg.norm(Q, axis=1, keepdims=True), 1e-12)
-            S = Q @ P.T
-            own = part["own1"].to_numpy()
-            S[own[:, None] == pids[None, :]] = -np.inf
-            m = min(k, S.shape[1])
-            floor = np.partition(S, S.shape[1] - m, axis=1)[:, S.shape[1] - m]
-            r, c = np.nonzero(S >= floor[:, None])  # ties at the k-th score all stay until they are ordered by id
-            sc = S[r, c]
-            o = np.lexsort((pids[c], -sc, r))
-            r, c, sc = r[o], c[o], sc[o]
-            first = np.searchsorted(r, np.arange(len(part)))
-            keep = (np.arange(len(r)) - first[r] < m) & np.isfinite(sc)
-            out.append(pd.DataFrame({"qid": part["qid1"].to_numpy()[r[keep]], "pid": pids[c[keep]], "score": sc[keep]}))
-        return pd.concat(out, ignore_index=True)
+def _float(side: DataFrame) -> str:
+    return "float32" if dict(side.dtypes)["vec"] == "array<float>" else "float64"
+
+
+def _packed(side: DataFrame, counts: DataFrame, id_col: str, n: str) -> DataFrame:
+    """(k, b, ids, own, vectors): hash blocks of a key's rows of side(k, <id>, own, vec), each one row with one binary matrix."""
+    kind, width = side.schema["k"].dataType.simpleString(), _float(side)
+    rows = side.join(counts.select("k", n), "k").select("k", F.pmod(F.xxhash64(id_col), F.col(n).cast("bigint")).cast("int").alias("b"), F.col(id_col).cast("long").alias("id"),
+                                                        F.col("own").cast("long").alias("own"), F.col("vec").cast("array<double>").alias("vec"))
+
+    def pack(block: pa.Table) -> pa.Table:
+        ids, own = (block.column(c).combine_chunks().fill_null(-(1 << 63)).to_numpy().astype("int64").tobytes() for c in ("id", "own"))
+        flat = pc.list_flatten(block.column("vec")).to_numpy()
+        one = block.slice(0, 1).select(["k", "b"])
+        for name, raw in (("ids", ids), ("own", own), ("vectors", flat.astype(width).tobytes())):
+            one = one.append_column(name, pa.array([raw], pa.binary()))
+        return one
+
+    return rows.groupBy("k", "b").applyInArrow(pack, f"k {kind}, b int, ids binary, own binary, vectors binary")
+
+
+def _block_top_k(k: int, of_q: str, of_p: str):
+    def unit(raw: bytes, n: int, width: str) -> np.ndarray:
+        x = np.frombuffer(raw, width).reshape(n, -1).astype("float64")
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):  # a pair of blocks
+                key = batch.column(0).slice(at, 1)
+                qids, own, pids = (np.frombuffer(batch.column(c)[at].as_py(), "int64") for c in (1, 2, 4))
+                Q, P = unit(batch.column(3)[at].as_py(), len(qids), of_q), unit(batch.column(5)[at].as_py(), len(pids), of_p)
+                for s in range(0, len(Q), 512):
+                    S = Q[s:s + 512] @ P.T
+                    S[own[s:s + 512, None] == pids[None, :]] = -np.inf
+                    m = min(k, S.shape[1])
+                    floor = np.partition(S, S.shape[1] - m, axis=1)[:, S.shape[1] - m]
+                    r, c = np.nonzero(S >= floor[:, None])  # ties at the k-th score all stay until they are ordered by id
+                    sc = S[r, c]
+                    o = np.lexsort((pids[c], -sc, r))
+                    r, c, sc = r[o], c[o], sc[o]
+                    keep = (np.arange(len(r)) - np.searchsorted(r, r) < m) & np.isfinite(sc)
+                    r, c, sc = r[keep], c[keep], sc[keep]
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays([key] * len(r)) if len(r) else key.slice(0, 0), pa.array(qids[s + r]), pa.array(pids[c]), pa.array(sc)], ["k", "qid", "pid", "score"])
 
     return run
 
 
+def _mined(queries: DataFrame, passages: DataFrame, k: int, block: int) -> DataFrame:
+    """(k, qid, pid, score) of queries(k, qid, own, vec) and passages(k, pid, vec): the best k of every pair of blocks."""
+    size = lambda d, name: d.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(name))
+    counts = size(queries, "nq").join(size(passages, "np"), "k")
+    q = _packed(queries.where("vec is not null"), counts, "qid", "nq").select(F.col("k").alias("k1"), F.col("ids").alias("qids"), "own", F.col("vectors").alias("of_q"))
+    p = _packed(passages.where("vec is not null").withColumn("own", F.lit(0)), counts, "pid", "np").select(F.col("k").alias("k2"), F.col("b").alias("pb"), F.col("ids").alias("pids"), F.col("vectors").alias("of_p"))
+    each = q.join(counts.select(F.col("k").alias("kc"), "np"), F.col("k1") == F.col("kc")).withColumn("qp", F.explode(F.sequence(F.lit(0), F.col("np") - 1)))
+    pairs = each.join(p, (F.col("k1") == F.col("k2")) & (F.col("qp") == F.col("pb")))
+    kind = queries.schema["k"].dataType.simpleString()
+    return pairs.select("k1", "qids", "own", "of_q", "pids", "of_p").mapInArrow(_block_top_k(k, _float(queries), _float(passages)), f"k {kind}, qid long, pid long, score double")
+
+
 def mine(queries: DataFrame, passages: DataFrame, k: int, by: str, block: int = 4096) -> DataFrame:
     """Exact top-k cosine neighbours inside a key: queries(qid, by, vec[, own]), passages(pid, by, vec) ->
     (qid, pid, score, rank), the query's own passage excluded, ties by pid.
 
-    Both sides of a key are cut into hash blocks of about `block` rows, so one large key becomes many small tasks; a
-    block pair returns at most k rows per query, and the partial lists are merged by rank."""
-    if "own" not in queries.columns:
-        queries = queries.withColumn("own", F.col("qid"))
-    size = lambda d, name: d.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(name))
-    blocks = size(queries, "_nq").join(size(passages, "_np"), by)
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n).cast("bigint")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    # every column gets a new name: the two sides often come from one table
-    q = queries.join(blocks, by).select(F.col(by).alias("k1"), F.col("qid").alias("qid1"), F.col("own").alias("own1"), F.col("vec").alias("vec1"),
-                                        part("qid", "_nq").alias("qb1"), every("_np").alias("pb1"))
-    p = passages.join(blocks, by).select(F.col(by).alias("k2"), F.col("pid").alias("pid2"), F.col("vec").alias("vec2"),
-                                         part("pid", "_np").alias("pb2"), every("_nq").alias("qb2"))
-    found = q.groupBy("k1", "qb1", "pb1").cogroup(p.groupBy("k2", "qb2", "pb2")).applyInPandas(_block_top_k(k), "qid long, pid long, score double")
+    Both sides of a key are packed into hash blocks of about `block` rows, a block being one row with one binary matrix, so
+    one large key becomes many small tasks. A passage block is shuffled once and a query block once per passage block of
+    its key: with larger blocks fewer bytes move. A pair of blocks returns at most k rows per query; they are merged by rank."""
+    own = F.col("own") if "own" in queries.columns else F.col("qid")
+    q = queries.select(F.col(by).alias("k"), "qid", own.alias("own"), "vec")
+    found = _mined(q, passages.select(F.col(by).alias("k"), "pid", "vec"), k, block).drop("k")
     return top_k(found, ["qid"], [F.col("score").desc(), F.col("pid").asc()], k)
 
 
@@ -112,10 +138,12 @@ def space_agreement(a: DataFrame, b: DataFrame, key: str, by: str, vec: str = "v
     """Mean cosine of the same items in two vector sets, and how often both have the same nearest neighbour."""
     j = a.select(key, F.col(vec).alias("_a")).join(b.select(key, F.col(vec).alias("_b")), key)
     cos = j.agg(F.count(F.lit(1)).alias("n"), F.avg(cosine("_a", "_b")).alias("mean_cosine"))
-    q = lambda d: d.select(F.col(key).alias("qid"), by, F.col(vec).alias("vec"))
-    p = lambda d: d.select(F.col(key).alias("pid"), by, F.col(vec).alias("vec"))
-    one = lambda d: mine(q(d), p(d), 1, by).select("qid", "pid")
-    same = one(a).join(one(b).withColumnRenamed("pid", "_p2"), "qid").agg(F.avg((F.col("pid") == F.col("_p2")).cast("int")).alias("top1_agree"))
+    # both sets are mined in one pass: the set is part of the key inside which neighbours are sought
+    tagged = [d.select(F.concat(F.lit(f"{i}:"), F.col(by).cast("string")).alias("k"), F.col(key).alias("qid"), F.col(vec).alias("vec")) for i, d in enumerate((a, b))]
+    rows = tagged[0].unionByName(tagged[1]).where("k is not null")
+    best = top_k(_mined(rows.withColumn("own", F.col("qid")), rows.withColumnRenamed("qid", "pid"), 1, 4096), ["k", "qid"], [F.col("score").desc(), F.col("pid").asc()], 1)
+    twice = best.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("low"), F.max("pid").alias("high")).where("n = 2")
+    same = twice.agg(F.avg((F.col("low") == F.col("high")).cast("int")).alias("top1_agree"))
     return cos.crossJoin(same)
 
 

@@ -10,8 +10,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dictionary
 from ..functions.keys import NO_SPACE_LANGS, WS, _c
-from ..functions.units import cut, explode_rows, literal_spans, match_spans, offsets_of, rfind
+from ..functions.units import cut, explode_rows, match_spans, offsets_of, rfind
 
 SPANS = "array<struct<start:int,end:int,label:string>>"
 
@@ -144,39 +145,13 @@ def relabel_by_context(text: Column | str, spans: Column | str, label: str, rx:
 
 
 def locate_all(text: Column | str, entities: Column | str, min_len: int = 2) -> Column:
-    """All occurrences of each (text, label) entity string as spans."""
-    t = _c(text)
-    ents = F.filter(F.transform(_c(entities), lambda e: F.struct(F.trim(e["text"]).alias("text"), e["label"].alias("label"))),
-                    lambda e: F.length(e["text"]) >= min_len)
-    return F.flatten(F.transform(ents, lambda e: F.transform(literal_spans(t, e["text"]), lambda x: span(x["start"], x["end"], e["label"]))))
-
-
-def _add_free(taken: Column, candidates: Column) -> Column:
-    """Candidates in order, each kept when it overlaps nothing kept before."""
-    return F.aggregate(candidates, taken, lambda acc, x: F.when(
-        F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), acc).otherwise(F.concat(acc, F.array(x))))
-
-
-def _longest_first(found: Column) -> Column:
-    """Spans by falling length, then label and position."""
-    keyed = F.transform(found, lambda x: F.struct((x["start"] - x["end"]).alias("neg"), x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label")))
-    return F.transform(F.array_sort(keyed), lambda x: span(x["start"], x["end"], x["label"]))
+    """All occurrences of each (text, label) entity string as spans, by one reading of the text."""
+    return dictionary.locate(_c(text), _c(entities), min_len)
 
 
 def align_entities(text: Column | str, entities: Column | str) -> Column:
     """Entity strings to non-overlapping spans: longer strings first, never inside a longer ASCII word."""
-    t = _c(text)
-    found = locate_all(t, F.array_distinct(_c(entities)), 1)
-    alnum, ascii_alnum = r"^[\p{L}\p{N}]$", r"^[A-Za-z0-9]$"
-
-    def free(x):
-        before, first = cut(t, F.greatest(x["start"] - 1, F.lit(0)), x["start"]), cut(t, x["start"], x["start"] + 1)
-        last, after = cut(t, x["end"] - 1, x["end"]), cut(t, x["end"], x["end"] + 1)
-        left = (x["start"] > 0) & before.rlike(alnum) & first.rlike(r"^[\x00-\x7F]$")
-        right = (x["end"] < F.length(t)) & after.rlike(alnum) & last.rlike(r"^[\x00-\x7F]$")
-        return ~(left | right)
-
-    return F.array_sort(_add_free(_empty(), _longest_first(F.filter(found, free))))
+    return dictionary.align(_c(text), F.array_distinct(_c(entities)))
 
 
 def propagate(text: Column | str, spans: Column | str, name_types: tuple = ("PERSON",)) -> Column:
@@ -187,11 +162,7 @@ def propagate(text: Column | str, spans: Column | str, name_types: tuple = ("PER
     names = F.filter(values, lambda v: v["label"].isin(*name_types))
     words = F.flatten(F.transform(names, lambda v: F.transform(
         F.filter(F.split(v["text"], r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) >= 2) & w.rlike(r"^\p{Lu}")), lambda w: ent(w, v["label"]))))
-    found = locate_all(t, F.array_distinct(F.concat(values, words)), 2)
-    word = r"^[\p{L}\p{N}_]$"
-    whole = lambda x: ((x["start"] == 0) | ~cut(t, F.greatest(x["start"] - 1, F.lit(0)), x["start"]).rlike(word)) & ~cut(
-        t, x["end"], x["end"] + 1).rlike(word)
-    return F.array_sort(_add_free(_c(spans), _longest_first(F.filter(found, whole))))
+    return dictionary.add_whole_words(t, F.array_distinct(F.concat(values, words)), _c(spans), 2)
 
 
 def redact(text: Column | str, spans: Column | str, fmt: str = "[{label}]") -> Column:

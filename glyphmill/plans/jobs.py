@@ -81,7 +81,7 @@ def redact_corpus(df: DataFrame, key: str, text: str, seed_names: bool = False)
     """Detect, clean, propagate and redact: (key, spans, redacted)."""
     d = pin(df.select(key, text), "spans", spans.clean_spans(text, spans.relabel_by_context(text, spans.detect_pii(text), "SECRET", spans.BANKISH, "BANK_ACCOUNT")))
     if seed_names:
-        d = pin(d, "spans", spans.clean_spans(text, spans.propagate(text, "spans")))
+        d = d.withColumn("spans", spans.propagate(text, "spans")).withColumn("spans", spans.clean_spans(text, "spans"))
     return d.withColumn("redacted", spans.redact(text, "spans"))
 
 
@@ -141,10 +141,9 @@ def augment_table(df: DataFrame, evals: DataFrame, id_col: str, text: str, label
 
 def evaluation_report(preds: DataFrame, gold: str = "gold", score: str = "score", lang: str = "lang", set_col: str = "set") -> DataFrame:
     """All sets and languages in one job: long table (set, lang, metric, value); lang = 'all' for the pooled set."""
-    both = preds.select(F.col(set_col).alias("set"), F.explode(F.array(F.col(lang), F.lit("all"))).alias("lang"), F.col(gold).alias("gold"), F.col(score).alias("score"))
     by = ["set", "lang"]
-    b = metrics.binary_metrics(both, by=by)
-    wide = b.join(metrics.auc(both, by=by).select(*by, "auc"), by)
+    cube = metrics.score_cube(preds.select(F.col(set_col).alias("set"), F.col(lang).alias("lang"), F.col(gold).alias("gold"), F.col(score).alias("score")), by=by, totals=["lang"])
+    wide = metrics.cube_binary(cube, by=by).join(metrics.cube_auc(cube, by).select(*by, "auc"), by)
     names = ["acc", "precision", "recall", "f1", "fpr", "fnr", "auc"]
     return wide.unpivot(by, names, "metric", "value").where("value is not null")
 

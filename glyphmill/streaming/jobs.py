@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import h32, norm_key, text_hash
@@ -12,16 +12,32 @@ from ..operators.dedup import _digest, eval_keys
 from ..operators.sampling import quota
 
 
+#: Folders that the ids seen by a labelling stream are dealt into by hash.
+BUCKETS = 256
+
+
 def stream_label(src: DataFrame, score: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str = "id"):
     """Resumable labelling: each micro-batch scores only ids that were not seen before and writes them once.
 
-    Seen ids are the query's state, so a batch costs what it brings, however large the sink has grown. A batch writes its own
-    folder and overwrites it when it is replayed: a restart from the checkpoint neither loses nor doubles rows."""
+    Seen ids are a table beside the checkpoint, dealt into BUCKETS folders by hash, and nothing is kept in memory between batches:
+    a batch reads the folders that its own ids fall into, and of each no more than the ids. A batch writes its own folders and
+    overwrites them when it is replayed, and counts only what earlier batches saw: a restart neither loses nor doubles rows."""
+    seen_path, bucket = f"{checkpoint.rstrip('/')}-seen", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    schema = f"`{key}` {src.schema[key].dataType.simpleString()}, batch long, bucket int"
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        score(df).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        spark = df.sparkSession
+        rows = df.dropDuplicates([key])
+        if batch_id:
+            own = [r[0] for r in rows.select(bucket.alias("b")).distinct().collect()]  # at most BUCKETS numbers
+            known = spark.read.schema(schema).parquet(seen_path).where(F.col("bucket").isin(own) & (F.col("batch") < batch_id))
+            known = known.select(F.col(key).alias("_seen"))
+            rows = rows.join(known, F.col(key).eqNullSafe(F.col("_seen")), "left_anti")
+        score(rows).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        written = df.select(key).distinct().withColumn("bucket", bucket)
+        written.write.mode("overwrite").partitionBy("bucket").parquet(f"{seen_path}/batch={batch_id}")
 
-    return src.dropDuplicates([key]).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
 def stream_dedup(sdf: DataFrame, text: str, watermark: tuple[str, str] | None) -> DataFrame:
@@ -62,3 +78,18 @@ def stream_quota(src: DataFrame, by: str, n: int, key: str, sink: str, checkpoin
         kept.groupBy(by).agg(F.count(F.lit(1)).alias("taken")).write.mode("overwrite").parquet(f"{sink}/ledger/batch={batch_id}")
 
     return src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
+def stream_flag_rate(sdf: DataFrame, time: str, width: str, delay: str, by: list[str], flag: Column) -> DataFrame:
+    """(start, end, by, n, flagged, rate): rows and flagged rows per event-time window and group of a scored stream.
+
+    For append output: a window is emitted once, when rows `delay` later than its end have been seen; its state goes with it, so
+    state holds open windows only. Rows that come after that are dropped, and `dropped_rows` tells how many such updates there were."""
+    hit = F.coalesce(flag.cast("int"), F.lit(0))
+    g = sdf.withWatermark(time, delay).groupBy(F.window(time, width).alias("_w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("flagged"))
+    return g.select(F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), *by, "n", "flagged", (F.col("flagged") / F.col("n")).alias("rate"))
+
+
+def dropped_rows(query) -> int:
+    """Late rows that a finished or running query has dropped, as far as its kept progress reports say (per group and task)."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])

@@ -70,7 +70,7 @@ def test_first_k_and_prefix_sum(rows):
         want.setdefault(r.g, []).append(r.id)
     got = {r.id for r in R.first_k_per_group(rows, ["g"], "id", 40).collect()}
     assert got == {i for v in want.values() for i in sorted(v)[:40]}
-    p = {(r.g, r.id): r.before for r in R.prefix_sum(rows, ["g"], "id", {"y": "before"}, n=16).collect()}
+    p = {(r.g, r.id): r.before for r in R.prefix_sum(rows, ["g"], "id", {"y": "before"}).collect()}
     ys = {(r.g, r.id): r.y for r in rows.collect()}
     assert all(v == sum(y for (g2, i2), y in ys.items() if g2 == g and i2 < i) for (g, i), v in p.items())
 
