@@ -8,9 +8,10 @@ bases that make local offsets global. Only one row per file reaches the driver.
 Files are written under a name of their own per attempt and then renamed, so a retried or speculative task leaves whole files.
 
 Encoding by distinct words: this byte-level BPE never merges across a single space (or line feed) between two visible
-characters, so a text is the concatenation of its words, each with its leading space. Every distinct word is encoded once by
-the tokenizers library, as long as a bounded cache remembers it; texts with runs of white space are split only at the safe places. Results equal whole-text
-encoding.
+characters, so a text is the concatenation of its words, each with its leading space. A task encodes every distinct word of
+about PIECE bytes of text once, many words in one call of the tokenizers library, and remembers nothing beyond them, so its memory
+doesn't depend on how many words there are, or on how long they are. Texts with runs of white space are split only at the safe
+places. Results equal whole-text encoding.
 
 Cases: a null or empty text has only its end id; null ids come first; repeated rows are written each; an empty table gives no
 file and an empty result; other columns are not read."""
@@ -35,13 +36,13 @@ from pyspark.sql import functions as F
 
 from . import words
 
-#: Distinct words that a Python worker remembers in each of two generations.
-CACHE = 120_000
+#: Bytes of text whose distinct words are encoded together.
+PIECE = 12 << 20
 PARTS = "part int, n_docs long, n_tokens long"
 
 
 class WordEncoder:
-    """Encodes batches of texts with a `tokenizers` file, each distinct word once as long as the bounded cache holds it."""
+    """Encodes batches of texts with a `tokenizers` file, each distinct word of a batch once."""
 
     SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -49,71 +50,98 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, words.Cache(CACHE)
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
         # byte-level vocabularies write the space as U+0120
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.spaced = np.array([n.startswith("\u0120") for n in names], bool)
-
-    def encode_strings(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_spaced(self, chunks: list[str]) -> list[bytes]:
-        """Chunks of a space and a word, many in one call: only their first ids begin with a space."""
-        runs = ["".join(chunks[i:i + 1000]) for i in range(0, len(chunks), 1000)]
-        ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
-        cuts = [*np.flatnonzero(self.spaced[ids]).tolist(), len(ids)]
-        if len(cuts) != len(chunks) + 1:
-            return self.encode_strings(chunks)
-        raw, w = ids.tobytes(), np.dtype(self.dtype).itemsize
-        return [raw[a * w:b * w] for a, b in zip(cuts, cuts[1:])]
-
-    def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
-        texts = [c.decode() for c in chunks]
-        one = [i for i, t in enumerate(texts) if t[:1] == " " and t.count(" ") == 1 and t.strip() == t[1:] != ""]
-        rest = sorted({*range(len(texts))} - {*one}) if len(one) < len(texts) else []
-        out: list[bytes] = [b""] * len(texts)
-        for at, got in ((one, self.encode_spaced([texts[i] for i in one]) if one else []), (rest, self.encode_strings([texts[i] for i in rest]))):
-            for i, g in zip(at, got):
-                out[i] = g
-        return out
-
-    def lookup(self, chunks: list[bytes]) -> list[bytes]:
-        """Ids of chunks that begin with the space before them, if there is one."""
-        self.known.fill(chunks, self.encode_chunks)
-        return [self.known[c] for c in chunks]
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def encode_strings(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_words(self, values: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in order, number of ids of each word) for words that follow `before`, a space or a line feed (whose own
+        ids belong to the word only if it is the space). Many words go into one call: the library finds the same ids as for
+        one word alone, since it never merges across these two; where their number differs from the words', it is asked word by word."""
+        if not len(values):
+            return np.zeros(0, self.dtype), np.zeros(0, "int64")
+        ends = np.append(np.arange(0, len(values), 1000), len(values))
+        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.scalar(before.encode(), values.type)).cast(pa.large_string()).to_pylist()
+        out, sizes = [], []
+        for run, a, b in zip(self.encode_strings([before + r for r in runs]), ends.tolist(), ends[1:].tolist()):
+            cuts = np.flatnonzero(self.spaced[run] if before == " " else run == self.feed[0])
+            if len(cuts) != b - a or cuts[0]:
+                words_ = values.slice(a, b - a).cast(pa.large_string()).to_pylist()
+                own = self.encode_strings([" " + w for w in words_] if before == " " else words_)
+                out += own
+                sizes.append([len(x) for x in own])
+                continue
+            size = np.diff(np.append(cuts, len(run)))
+            if before != " ":
+                keep = np.ones(len(run), bool)
+                keep[cuts] = False
+                run, size = run[keep], size - 1
+            out.append(run)
+            sizes.append(size)
+        return np.concatenate(out), np.concatenate(sizes).astype("int64")
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of every text (null: none), as bytes."""
         texts = pc.fill_null(texts, "")
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n ").cast(pa.large_binary()), " ")
         flat = pc.dictionary_encode(lists.flatten())
-        codes, values, starts = flat.indices.to_numpy(), flat.dictionary.to_pylist(), lists.offsets.to_numpy().astype("int64")
+        codes, starts = flat.indices.to_numpy(), lists.offsets.to_numpy().astype("int64")
         starts -= starts[0]
         named = flat.dictionary.cast(pa.large_string())
+        feed_code = pc.index(flat.dictionary, pa.scalar(b"\n", flat.dictionary.type)).as_py()
         odd_word = pc.or_(pc.equal(named, ""), pc.and_(pc.not_equal(named, pc.utf8_trim_whitespace(named)), pc.not_equal(named, "\n"))).to_numpy(zero_copy_only=False)
         doc = np.repeat(np.arange(len(texts)), np.diff(starts))
-        odd = np.bincount(doc, odd_word[codes], len(texts)) > 0
+        odd = np.bincount(doc[odd_word[codes]], minlength=len(texts)) > 0
         # a word follows a space unless it begins its text or line; the line feed is a word of its own
-        feed = codes == (values.index(b"\n") if b"\n" in values else -1)
+        feed = codes == feed_code
         bare = feed.copy()
         bare[1:] |= feed[:-1]
         bare[starts[:-1][np.diff(starts) > 0]] = True
+        if odd.any():  # texts with runs of white space are encoded below
+            plain = ~odd[doc]
+            codes, bare, doc = codes[plain], bare[plain], doc[plain]
+            starts = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))])
         both = codes.astype("int64") * 2 + bare
-        keys = np.flatnonzero(np.bincount(both, minlength=2 * len(values)))
-        number = np.zeros(2 * len(values), "int64")
-        number[keys] = np.arange(len(keys))
-        at = number[both]
-        chunks = [values[k >> 1] if k & 1 else b" " + values[k >> 1] for k in keys.tolist()]
-        got = self.lookup(chunks)
-        lens = np.fromiter(map(len, got), "int64", len(got)) // np.dtype(self.dtype).itemsize
-        ids = words.gather(at, lens, np.frombuffer(b"".join(got), self.dtype))
+        keys = np.flatnonzero(np.bincount(both, minlength=2 * len(named)))
+        number = np.zeros(2 * len(named), "int32")
+        ids, lens = [], []
+        for before, own in ((" ", keys[keys % 2 == 0]), ("\n", keys[(keys % 2 == 1) & (keys >> 1 != feed_code)])):
+            number[own] = sum(map(len, lens)) + np.arange(len(own))
+            got, n = self.encode_words(flat.dictionary.take(pa.array(own >> 1)), before)
+            ids.append(got)
+            lens.append(n)
+        if feed_code >= 0:
+            number[2 * feed_code + 1] = sum(map(len, lens))
+            ids.append(np.array(self.feed, self.dtype))
+            lens.append(np.array([len(self.feed)]))
+        lens, at = np.concatenate(lens).astype("int64"), number[both]
         ends = np.concatenate([[0], np.cumsum(lens[at])])[starts].tolist()
-        out = [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
-        for i in np.flatnonzero(odd).tolist():  # runs of white space: cut at the safe places only
-            first, *rest = self.SAFE.split(texts[i].as_py())
-            out[i] = b"".join(self.lookup([first.encode(), *[b" " + r.encode() for r in rest]])) if first else b""
+        whole = words.gather(at, lens, np.concatenate(ids)).tobytes()
+        w = np.dtype(self.dtype).itemsize
+        out = [whole[a * w:b * w] for a, b in zip(ends, ends[1:])]
+        self.encode_odd(texts, np.flatnonzero(odd).tolist(), out)
         return out
 
+    def encode_odd(self, texts: pa.Array, which: list[int], out: list[bytes]) -> None:
+        """Texts with runs of white space: cut at single spaces between visible characters only, each distinct piece once."""
+        known: dict[str, bytes] = {}
+        for at in range(0, len(which), 64):
+            cut = []
+            for i in which[at:at + 64]:
+                first, *rest = self.SAFE.split(texts[i].as_py())
+                cut.append([first, *[" " + r for r in rest]])
+            new = [p for p in dict.fromkeys(p for ps in cut for p in ps) if p and p not in known]
+            known.update(zip(new, (x.tobytes() for x in self.encode_strings(new))))
+            for i, ps in zip(which[at:at + 64], cut):
+                out[i] = b"".join([known[p] for p in ps if p])
+            if sum(map(len, known)) > words.PIECE:
+                known = {}
+
 
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
@@ -136,7 +164,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, dtype:
         part, tag = TaskContext.get().partitionId(), uuid.uuid4().hex
         encoder, offsets, ids, out = None, [0], [], None
         for batch in batches:
-            for piece in words.pieces(batch, 1):
+            for piece in words.pieces(batch, 1, PIECE):
                 if encoder is None:
                     encoder = words.kept_in_worker(f"{tokenizer} {dtype}", lambda: WordEncoder(tokenizer, dtype))
                     out = fs.open_output_stream(_name(path, part, "bin") + tag)

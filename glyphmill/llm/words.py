@@ -28,12 +28,12 @@ SPACED_LOWER = byte_table(lambda b: b != 32 and not 9 <= b <= 13, lower=True)
 ALNUM_LOWER = byte_table(lambda b: b >= 128 or chr(b).isalnum(), lower=True)
 
 
-def pieces(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about PIECE bytes of text each."""
+def pieces(batch: pa.RecordBatch, text: int, piece: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `piece` bytes of text each."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype="int64")
     at = 0
     while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PIECE, "right")))
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + piece, "right")))
         yield batch.slice(at, end - at)
         at = end
     pa.default_memory_pool().release_unused()  # workers live on; what a batch needed goes back
