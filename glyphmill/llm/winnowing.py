@@ -2,16 +2,17 @@
 
 A document word is contaminated if it lies in a window of `window` consecutive words that a benchmark item has too (an item of
 fewer words is one window as a whole). Of every `w` consecutive k-gram hashes the smallest is kept as a fingerprint, the
-rightmost of equals; with k + w - 1 = window, texts that share a window share a fingerprint at the same place in it. Training
-fingerprints are joined with the benchmark's, and every match is extended in both directions, word by word, so hits are exact.
+rightmost of equals; with k + w - 1 = window, texts that share a window share a fingerprint at the same place in it.
 
-The benchmark is indexed in blocks of at most BLOCK bytes of text (a longer item is a block of its own). A block's index is what
-tasks receive; documents stay where they are, nothing is shuffled, and each further block is one more column over the same scan.
-Words that no item of the block has cannot be part of a shared window, so only runs of known words are fingerprinted.
+Fingerprints of documents and of the benchmark's distinct texts are joined in Spark; only hashes and row names travel. A pair that
+shares one is extended: a task gets a document with the item texts it met, about CHUNK bytes of them at once, numbers the windows
+of all of them by their words, and marks the document's windows that an item has. The work is linear in both texts, however often
+words or windows repeat, and exact, whatever the hashes. Neither the documents nor the benchmark pass through the driver; it sees
+the distinct lengths of short items.
 
 Cases: a null text has no words; an item without words has no window; an item without id marks words but is not listed; repeated
-rows get equal results, repeated items count once; an empty benchmark or table gives no hits or no rows; all columns of the
-documents are kept by `with_hits`, whatever their names."""
+rows get equal results, items of equal texts are compared once; an empty benchmark or table gives no hits or no rows; all columns
+of the documents are kept by `with_hits`, whatever their names."""
 
 from __future__ import annotations
 
@@ -19,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import fresh
+from .common import fresh, row_key, saved
 
-BLOCK = 16 << 20
+#: Bytes of item texts that a document is held against at once.
+CHUNK = 1 << 20
 HITS = "struct<n_words: bigint, starts: array<bigint>, ends: array<bigint>, items: array<string>>"
 NO_HASH = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -61,107 +64,159 @@ def winnow(ids: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     return where, h[where]
 
 
-class Index:
-    """Fingerprints and words of one block of benchmark items."""
-
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
-        data = words.translated(pa.array([t for _, t in items], pa.string()), words.ALNUM_LOWER)
-        self.names = [i for i, _ in items]
-        self.number: dict[bytes, int] = {}
-        seq, owner, lengths = [np.array([-1])], [np.array([-1])], []
-        for i, text in enumerate(data):
-            ws = text.as_py().split()
-            lengths.append(len(ws))
-            seq += [np.array([self.number.setdefault(x, len(self.number)) for x in ws] + [-1])]
-            owner += [np.full(len(ws) + 1, i)]
-        self.seq, self.owner = np.concatenate(seq).astype("int64"), np.concatenate(owner).astype("int64")
-        self.kinds = []  # of items as long as the window, then of each shorter length: (length, k, w, hashes, positions)
-        length = np.minimum(np.array(lengths or [0]), window)
-        for n in sorted({*length.tolist()} - {0}, reverse=True):
-            k = (n + 1) // 2
-            ids = np.where((self.owner >= 0) & (length[np.maximum(self.owner, 0)] == n), self.seq, -1)
-            at, h = winnow(ids, k, n - k + 1)
-            order = np.argsort(h, kind="stable")
-            self.kinds.append((n, k, n - k + 1, h[order], at[order]))
-
-    def hits(self, texts: pa.Array) -> pa.Array:
-        """One HITS struct per text: merged spans of contaminated words and the items they come from."""
-        codes, starts, values = words.split(words.translated(texts, words.ALNUM_LOWER))
-        number = np.array([self.number.get(v, -1) for v in values] or [-1], "int64")
-        # texts in one sequence, with an unknown word between them
-        n_words = np.diff(starts)
-        ids = np.full(len(codes) + len(n_words), -1, "int64")
-        doc = np.repeat(np.arange(len(n_words)), n_words)
-        ids[np.arange(len(codes)) + doc] = number[codes]
-        first = starts[:-1] + np.arange(len(n_words))
-        spans: dict[int, list[tuple[int, int]]] = {}
-        found: dict[int, set[str]] = {}
-        seq = self.seq
-        for n, k, w, hashes, at in self.kinds:
-            pos, h = winnow(ids, k, w)
-            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            reach: dict[int, int] = {}  # diagonal -> end of its last span
-            for p, a, b in zip(pos[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                for q in at[a:b].tolist():
-                    if reach.get(p - q, -1) > p:
-                        continue
-                    left = right = 0
-                    while ids[p - left - 1] == seq[q - left - 1] >= 0 and p - left > 0:
-                        left += 1
-                    while p + right < len(ids) and ids[p + right] == seq[q + right] >= 0:
-                        right += 1
-                    reach[p - q] = p + max(right, 1)
-                    if left + right >= n:
-                        d = int(np.searchsorted(first, p, "right")) - 1
-                        spans.setdefault(d, []).append((p - left - int(first[d]), p + right - int(first[d])))
-                        name = self.names[self.owner[q]]
-                        if name is not None:
-                            found.setdefault(d, set()).add(name)
-        out = []
-        for d, n in enumerate(n_words.tolist()):
-            merged: list[list[int]] = []
-            for a, b in sorted(spans.get(d, ())):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            out.append({"n_words": n, "starts": [a for a, _ in merged], "ends": [b for _, b in merged], "items": sorted(found.get(d, ()))})
-        return pa.array(out, pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]))
-
-
-def _column(items: list[tuple[str | None, str | None]], window: int):
-    """An Arrow function from text to HITS for one block; the index is built once per task."""
-
-    @F.arrow_udf(HITS)
-    def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = Index(items, window)
-        for texts in batches:
-            got = [index.hits(p.column(0)) for p in words.pieces(pa.RecordBatch.from_arrays([texts], ["t"]), 0)]
-            yield pa.concat_arrays(got) if got else index.hits(texts)
-
-    return hits
-
-
-def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block: int = BLOCK) -> list[list[tuple[str | None, str | None]]]:
-    """The items in blocks of bounded size; one block at a time is fetched."""
+def _lengths(n: np.ndarray, window: int) -> np.ndarray:
+    return np.minimum(n, window)
+
+
+def _prints(texts: pa.Array, lengths: list[int], own: int | None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(words per text, distinct fingerprints of every text) for windows of all the lengths; with `own`, the window's
+    number of words, a text has fingerprints of the one length it has itself."""
+    codes, starts, values = words.split(words.translated(texts, words.ALNUM_LOWER))
+    n = np.diff(starts)
+    hashed = (np.fromiter(map(xxhash.xxh64_intdigest, values), "uint64", len(values)) >> np.uint64(1)).astype("int64")
+    doc = np.repeat(np.arange(len(n)), n)
+    ids = np.full(len(codes) + len(n), -1, "int64")  # an unknown word after every text
+    ids[np.arange(len(codes)) + doc] = hashed[codes]
+    first = starts[:-1] + np.arange(len(n))
+    of, prints = [np.zeros(0, "int64")], [np.zeros(0, "uint64")]
+    for length in lengths:
+        k = (length + 1) // 2
+        at, h = winnow(ids, k, length - k + 1)
+        text = np.searchsorted(first, at, "right") - 1
+        keep = slice(None) if own is None else _lengths(n, own)[text] == length
+        of.append(text[keep])
+        prints.append((h[keep] ^ np.uint64(length)) * np.uint64(0x9E3779B97F4A7C15))
+    of, prints = np.concatenate(of), np.concatenate(prints).view("int64")
+    order = np.lexsort((prints, of))
+    of, prints = of[order], prints[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (prints[1:] != prints[:-1])
+    of, prints = of[new], prints[new]
+    return n, np.split(prints, np.searchsorted(of, np.arange(1, len(n)))) if len(n) else []
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*values, np.zeros(0, "int64")])))
+
+
+def marks(docs: DataFrame, lengths: list[int], text: str = "text") -> DataFrame:
+    """(doc_id, id, h, n_words, prints) of every row; id and h name the row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in words.pieces(batch, 1):
+                n, prints = _prints(piece.column(1), lengths, None)
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), piece.column(3), pa.array(n, pa.int64()), _lists(prints)], ["doc_id", "id", "h", "n_words", "prints"])
+
+    return docs.select("doc_id", F.col(f"`{text}`"), *row_key(docs)).mapInArrow(run, f"doc_id {kind}, id string, h long, n_words long, prints array<long>")
+
+
+def items_of(benchmark: DataFrame, window: int, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(item, t, n_words, names): distinct texts with words, and the ids that have them."""
     rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null")
-    total = rows.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
-    n = -(-2 * total // block) or 1
-    if n == 1:
-        return [[tuple(r) for r in rows.collect()]]  # at most block / 2 bytes
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
-    return [[tuple(r) for r in dealt.where(F.col("b") == b).select("i", "t").collect()] for b in range(n)]
+    rows = rows.groupBy("t").agg(F.array_sort(F.collect_set("i")).alias("names")).withColumn("item", F.xxhash64("t"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.diff(words.split(words.translated(batch.column(0), words.ALNUM_LOWER))[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, "n_words"])
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, out: str, window: int = 13, text: str = "text", block: int = BLOCK) -> DataFrame:
-    """The documents with one more column: HITS over all blocks (spans of several blocks may overlap)."""
-    kept, parts = docs.columns, []
-    for items in blocks(benchmark, block=block):
-        parts.append(name := fresh(docs, out))
-        docs = docs.withColumn(name, _column(items, window)(F.col(f"`{text}`")))
-    whole = F.struct(F.col(parts[0]).getField("n_words").alias("n_words"), *[
-        F.flatten(F.array(*[F.col(p).getField(f) for p in parts])).alias(f) for f in ("starts", "ends", "items")])
-    return docs.select(*[F.col(f"`{c}`") for c in kept], (F.col(parts[0]) if len(parts) == 1 else whole).alias(out))
+    return rows.mapInArrow(run, "t string, names array<string>, item long, n_words long").where("n_words > 0")
+
+
+def item_prints(items: DataFrame, window: int, lengths: list[int]) -> DataFrame:
+    """(print, item)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in words.pieces(batch, 1):
+                yield pa.RecordBatch.from_arrays([piece.column(0), _lists(_prints(piece.column(1), lengths, window)[1])], ["item", "prints"])
+
+    return items.select("item", "t").mapInArrow(run, "item long, prints array<long>").select("item", F.explode("prints").alias("print")).distinct()
+
+
+def _numbered(ids: np.ndarray, n: int, starts: list[int]) -> np.ndarray:
+    """Equal numbers for equal windows of n words; starts are the places where windows begin."""
+    view = np.lib.stride_tricks.sliding_window_view(ids, n)
+    at = np.array(starts, "int64")
+    h = np.zeros(len(at), "uint64")
+    for j in range(n):
+        h = (h ^ (ids[at + j].astype("uint64") + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    like = at[first][number]
+    if all((view[at[a:a + 65536]] == view[like[a:a + 65536]]).all() for a in range(0, len(at), 65536)):
+        return number
+    return np.unique(view[at], axis=0, return_inverse=True)[1].ravel()  # two windows with one hash
+
+
+def extend(text: str, items: list[str], window: int) -> tuple[list[int], list[int], list[int]]:
+    """(starts, ends) of the runs of words that lie in a window of an item, and the numbers of the items that have one there."""
+    codes, starts, _ = words.split(words.translated(pa.array([text, *items], pa.large_string()), words.ALNUM_LOWER))
+    size, edge, found = np.diff(starts), np.zeros(starts[1] + 1, "int64"), []
+    length = _lengths(size, window)
+    for n in sorted({*length[1:].tolist()} - {0}):
+        own = [j for j in range(1, len(size)) if length[j] == n]
+        if size[0] < n:
+            continue
+        places = [np.arange(starts[j], starts[j + 1] - n + 1) for j in [0, *own]]
+        number = np.split(_numbered(codes, n, np.concatenate(places)), np.cumsum([len(p) for p in places])[:-1])
+        in_doc = np.zeros(max(x.max() for x in number) + 1, bool)
+        in_items = np.zeros(len(in_doc), bool)
+        in_doc[number[0]] = True
+        for j, x in zip(own, number[1:]):
+            if in_doc[x].any():
+                found.append(j - 1)
+                in_items[x] = True
+        at = places[0][in_items[number[0]]]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + n, -1)
+    inside = np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).astype("int64"), [0]])
+    step = np.diff(inside)
+    return np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), sorted(found)
+
+
+def hits_of(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(marks of all rows, hits(id, h, starts, ends, items) of the rows that have some)."""
+    items = saved(items_of(benchmark, window), "winnow-items")
+    lengths = [r[0] for r in items.select(F.least("n_words", F.lit(window)).cast("int").alias("n")).distinct().orderBy(F.desc("n")).collect()]  # at most `window` numbers
+    rows = saved(marks(docs, lengths, text), "winnow-marks")
+    prints = saved(item_prints(items, window, lengths), "winnow-prints")
+    met = rows.select("id", "h", F.explode("prints").alias("print")).join(prints, "print").select("id", "h", "item").distinct()
+    met = saved(met.join(items.select("item", F.octet_length("t").alias("bytes")), "item"), "winnow-pairs")
+    parts = met.groupBy("id", "h").agg(F.ceil(F.sum("bytes") / F.lit(CHUNK)).cast("int").alias("parts"))
+    dealt = met.join(parts, ["id", "h"]).withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts"))).join(items.select("item", "t"), "item")
+    dealt = dealt.groupBy("id", "h", "part").agg(F.collect_list(F.struct("item", "t")).alias("own"))
+    texts = docs.select(F.col(f"`{text}`").alias("text"), *row_key(docs)).join(parts.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("id", pa.string()), ("h", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("found", pa.list_(pa.int64()))])
+        for batch in batches:
+            out = []
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                starts, ends, found = extend(row["text"], [x["t"] for x in row["own"]], window)
+                if found:
+                    out.append({"id": row["id"], "h": row["h"], "starts": starts, "ends": ends, "found": [row["own"][j]["item"] for j in found]})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    spans = dealt.join(texts, ["id", "h"]).select("id", "h", "own", "text").mapInArrow(run, "id string, h long, starts array<long>, ends array<long>, found array<long>")
+    spans = saved(spans, "winnow-hits")
+    names = spans.select("id", "h", F.explode("found").alias("item")).join(items.select("item", "names"), "item").groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("items"))
+    merged = spans.groupBy("id", "h").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")])
+    return rows, merged.join(names, ["id", "h"])
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, out: str, window: int = 13, text: str = "text") -> DataFrame:
+    """The documents with one more column: HITS (spans of several chunks of items may overlap)."""
+    key = [fresh(docs, "id"), fresh(docs, "h")]
+    rows, hits = hits_of(docs, benchmark, window, text)
+    none = [F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in (("starts", "array<bigint>"), ("ends", "array<bigint>"), ("items", "array<string>"))]
+    found = rows.select("id", "h", "n_words").distinct().join(hits, ["id", "h"], "left").select(F.col("id").alias(key[0]), F.col("h").alias(key[1]), F.struct("n_words", *none).alias(out))
+    keyed = docs.withColumns({k: c for k, c in zip(key, row_key(docs))})
+    return keyed.join(found, key).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{out}`"))
 
 
 def n_hit(hits: Column) -> Column:
@@ -179,19 +234,20 @@ def contaminated(n_words: Column, hit: Column) -> Column:
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row."""
-    rows = with_hits(docs.select("doc_id", "text"), benchmark, "hits").select("doc_id", "hits")
-    items = F.array_sort(F.array_distinct(F.col("hits.items")))
-    rows = rows.select("doc_id", F.col("hits.n_words").alias("n_words"), n_hit(F.col("hits")).alias("n_hit"), items.alias("items"))
+    rows, hits = hits_of(docs.select("doc_id", "text"), benchmark)
+    hits = hits.select("id", "h", n_hit(F.struct("starts", "ends")).alias("n_hit"), F.array_sort("items").alias("items"))
+    rows = rows.drop("prints").join(hits, ["id", "h"], "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that aren't contaminated, with the columns of the input."""
-    name = fresh(docs, "hits")
-    rows = with_hits(docs, benchmark, name)
-    hit = n_hit(F.col(name))
-    return rows.where(~contaminated(F.col(name).getField("n_words"), hit)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = [fresh(docs, "id"), fresh(docs, "h")]
+    rows, hits = hits_of(docs, benchmark)
+    size = rows.select("id", "h", "n_words").join(hits, ["id", "h"]).where(contaminated(F.col("n_words"), n_hit(F.struct("starts", "ends"))))
+    bad = size.select(F.col("id").alias(key[0]), F.col("h").alias(key[1])).distinct()
+    return docs.withColumns({k: c for k, c in zip(key, row_key(docs))}).join(bad, key, "left_anti").drop(*key)
 
 
 SQL = r"""

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -272,8 +273,8 @@ def brute_hits(text, items):
     return len(d), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(d)
 
 
-@pytest.mark.parametrize("block", [winnowing.BLOCK, 400])
-def test_winnowing(spark, block, monkeypatch):
+@pytest.mark.parametrize("chunk", [winnowing.CHUNK, 400])
+def test_winnowing(spark, chunk, monkeypatch):
     rnd = random.Random(3)
     vocab = ["the", "Of", "a1", "über", "x", "yy", "zed", "it's"]
     items = [(i, " ".join(rnd.choices(vocab, k=rnd.choice([1, 2, 5, 12, 13, 14, 20, 40])))) for i in range(25)] + [(90, ""), (91, None), (92, "same " * 30), (3, "dup id here")]
@@ -281,8 +282,7 @@ def test_winnowing(spark, block, monkeypatch):
     rows += [(100 + i, f"lead {i} words. " + (t or "")[:rnd.randint(10, 200)] + " tail " * rnd.randint(0, 400)) for i, t in items]
     rows += [(200, None), (201, ""), (None, items[5][1]), (203, "same " * 3000), (60, rows[0][1])]
     docs, bench = table(spark, rows), spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, hits string")
-    whole = winnowing.blocks
-    monkeypatch.setattr(winnowing, "blocks", lambda b, block=block, whole=whole, size=block: whole(b, block=size))
+    monkeypatch.setattr(winnowing, "CHUNK", chunk)
     got = sorted(map(tuple, winnowing.digest(docs, bench).collect()), key=key)
     assert got == sorted(((i, *brute_hits(t, items)) for i, t in rows), key=key)
     clean = winnowing.clean(docs, bench)
@@ -291,6 +291,20 @@ def test_winnowing(spark, block, monkeypatch):
     assert {r["n_hit"] for r in winnowing.digest(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_hits_of_repeated_words_are_linear():
+    started = time.time()
+    assert winnowing.extend("same " * 200_000, ["same " * 20_000, "other " * 20_000, "same same"], 13) == ([0], [200_000], [0, 2])
+    assert time.time() - started < 10
+
+
+def test_windows_with_one_hash_are_told_apart(monkeypatch):
+    ids = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3])
+    whole = np.unique
+    monkeypatch.setattr(np, "unique", lambda x, **kw: whole(np.zeros_like(x), **kw) if x.ndim == 1 and kw.get("return_index") else whole(x, **kw))
+    got = winnowing._numbered(ids, 3, range(7)).tolist()
+    assert got[0] == got[6] and len({*got}) == 6
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(2)
     for _ in range(200):
