@@ -263,8 +263,8 @@ def mine(rows: DataFrame, scale: float = 256.0, anchor_every: int = 50, positive
     anchors = saved(anchors_of(blocks, anchor_every, sets), "negatives-anchors")
     every = anchors.withColumns({"lows": F.array(F.lit(LEAST)), "highs": F.array(F.lit(MOST))})
     first = saved(best_rows(every, blocks, sets, positives, True).select("key", F.col("found").alias("positive_id"), F.col("score").alias("positive_score"), "rank"), "negatives-positives")
-    low, high = (F.lit(share) * F.col("positive_score") for share in shares)
-    low, high = F.ceil(low / F.lit(100).cast("decimal(3,0)")).cast("long"), F.floor(high / F.lit(100).cast("decimal(3,0)")).cast("long")
+    low, high = (F.col("positive_score").cast("decimal(20,0)") * F.lit(share).cast("decimal(5,0)") / F.lit(100).cast("decimal(3,0)") for share in shares)
+    low, high = F.ceil(low).cast("long"), F.floor(high).cast("long")
     limits = first.withColumns({"low": low, "high": high}).where("low <= high").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("positive_score", "low", "high"))).alias("ls"))
     # every anchor of a set needs as many limits; the empty range 1 to 0 fills up
     fill = F.array_repeat(F.struct(F.lit(0).cast("long").alias("positive_score"), F.lit(1).cast("long").alias("low"), F.lit(0).cast("long").alias("high")), positives)
