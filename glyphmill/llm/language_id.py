@@ -49,7 +49,7 @@ def _hashed(x: np.ndarray, size: int) -> np.ndarray:
     h = np.full(len(x), size, "uint64") * _MIX
     for j in range(size):
         c = np.zeros(len(x), "uint64")
-        c[:len(x) - j] = x[j:]
+        c[:max(len(x) - j, 0)] = x[j:]
         h = (h ^ c) * _MIX
         h ^= h >> np.uint64(31)
     return (h % np.uint64(BUCKETS)).astype("int64")
@@ -122,7 +122,7 @@ class Model:
         best = p.argmax(1)
         return best, p[np.arange(len(best)), best]
 
-    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 6, rate: float = 2.0) -> None:
+    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 4, rate: float = 2.0) -> None:
         """Descent on bags (buckets, their counts), one text after the other; the rate falls to nothing."""
         rng = np.random.default_rng(13)
         e = rng.uniform(-1, 1, (BUCKETS, DIM)) / DIM
@@ -194,17 +194,18 @@ def excerpt(text: str, number: int) -> str:
 def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", examples: int = EXAMPLES, errors: float = ERRORS) -> Model:
     """Only rows where `train` holds (an expression on doc_id) are read. `examples` rows at most, shared out among the languages."""
     known = docs.where(train & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("lang"), F.col("doc_id").cast("string").alias("id"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(examples).collect()}
-    languages = sorted(counts)
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(examples)
+    languages = sorted(r["lang"] for r in counts.collect())
     model = Model(languages)
     if len(languages) < 2:
         return model
-    order = F.xxhash64("id")
-    first = Window.partitionBy("lang").orderBy(order, "id")  # cut to `examples` per language and task before the shuffle
-    picked = known.where(F.col("lang").isin(languages)).withColumn("r", F.row_number().over(first)).where(F.col("r") <= max(1, examples // len(languages)))
-    picked = picked.groupBy("lang", "id").agg(F.min("r").alias("r"))
+    limit = max(1, examples // len(languages))
+    # a hash cut leaves about twice the wanted rows of a language wherever they are; only those are ranked
+    draw = (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(1 << 30)).alias("draw")
+    few = known.join(counts, "lang").where(F.col("count") * draw <= 2 * limit).groupBy("lang", "id").agg(F.min(F.xxhash64("id")).alias("at"))
+    picked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("at", "id"))).where(F.col("r") <= limit)
     own = docs.select(F.col("doc_id").cast("string").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    own = own.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).join(picked.select("lang", "id"), ["lang", "id"])
+    own = own.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).join(F.broadcast(picked.select("lang", "id")), ["lang", "id"])  # at most `examples` rows
     sample = saved(own.dropDuplicates(["lang", "id", "text"]).withColumn("n", F.xxhash64("id", "text")), "language-examples")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

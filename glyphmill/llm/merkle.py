@@ -176,7 +176,7 @@ class Manifest:
 
     def __init__(self, docs: DataFrame, fields: list[str], group: str, order: str, carry: dict[str, Column]):
         values = [F.col(f"`{c}`") for c in fields]
-        rows = docs.select(_group(F.col(f"`{group}`")).alias("g"), F.col(f"`{order}`").alias("o"), leaf_digest(values).alias("h"), *[c.alias(k) for k, c in carry.items()])
+        rows = docs.select(_group(F.col(f"`{group}`")).alias("g"), F.col(f"`{order}`").alias("o"), leaf_digest(values).alias("h"), F.struct(F.lit(0).alias("none"), *[c.alias(k) for k, c in carry.items()]).alias("carry"))
         self.carry = list(carry)
         self.levels = stored_levels(numbered(saved(rows, "merkle-digests"), "o").drop("o"))
         self.subroots = saved(last_nodes(self.levels).select(F.lit("").alias("g"), F.col("g").alias("o"), "h"), "merkle-subroots")
@@ -192,7 +192,7 @@ class Manifest:
         tops = sibling_paths(self.top_levels, root)
         above = saved(tops.select(F.col("item.o").alias("g"), F.col("path").alias("up"), F.struct(F.col("item.h").alias("subroot"), F.col("end.root").alias("root")).alias("end")), "merkle-top")
         rows = sibling_paths(self.levels, above)
-        return rows.select(*[F.col("item").getField(c).alias(c) for c in self.carry], F.col("item.h").alias("leaf"), "end.subroot", "end.root", "path")
+        return rows.select(*[F.col("item.carry").getField(c).alias(c) for c in self.carry], F.col("item.h").alias("leaf"), "end.subroot", "end.root", "path")
 
 
 def folded(leaf: Column, path: Column) -> Column:

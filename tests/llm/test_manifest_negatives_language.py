@@ -88,7 +88,7 @@ def test_merkle_equals_brute_force(spark, sizes):
 def test_merkle_proofs_and_other_groups(spark):
     rows = manifest_rows({"a": 600, "b": 20})
     docs = spark.createDataFrame([(*r, "g", 1, "h", "p", "e") for r in rows], DOCS)
-    m = merkle.Manifest(docs, ["text", "doc_id"], "source", "n_chars", {"h": F.col("doc_id")})
+    m = merkle.Manifest(docs, ["text", "doc_id"], "g", "n_chars", {"h": F.col("doc_id")})
     proofs = m.proofs().withColumn("again", merkle.folded(F.col("leaf"), F.col("path"))).collect()
     assert len(proofs) == len(rows) and {r["again"] for r in proofs} == {m.root().first()["root"]}
     assert len(m.levels) == 3 and m.levels[1].count() < 6  # only every third level is stored
