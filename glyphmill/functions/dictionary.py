@@ -127,13 +127,25 @@ def align(text: Column, entities: Column) -> Column:
     return run(text, entities)
 
 
-def add_whole_words(text: Column, entities: Column, spans: Column, least: int) -> Column:
-    """The spans, and whole-word occurrences of the entities that overlap none of them."""
+def name_words(text: str) -> list[str]:
+    """Words of two characters or more that begin with a capital letter."""
+    words = "".join(c if _kind(c) else " " for c in text).split()
+    return [w for w in words if len(w) > 1 and unicodedata.category(w[0]) == "Lu"]
 
+
+def propagated(text: str, spans: list[Span], names: tuple[str, ...], least: int) -> list[Span]:
+    """The spans, and other whole-word occurrences of their texts, and of the single words of those that are names."""
+    values = [(text[max(a, 0):max(b, 0)], label) for a, b, label in spans]
+    values += [(w, label) for v, label in values if label in names for w in name_words(v)]
+    wanted = [(e, label) for e, label in dict.fromkeys((v.strip(" "), label) for v, label in values) if len(e) >= least]
+    return longest_free(len(text), [s for s in located(text, wanted) if whole_word(text, s)], spans)
+
+
+def propagate(text: Column, spans: Column, names: tuple[str, ...], least: int = 2) -> Column:
     @F.arrow_udf(SPANS)
-    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, ents, given in batches:
-            taken = _rows(given, ["start", "end", "label"])
-            yield _arrow(texts, ents, least, lambda text, found, i, taken=taken: None if taken[i] is None else longest_free(len(text), [s for s in found if whole_word(text, s)], taken[i]))
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, given in batches:
+            yield _spans_array([None if t is None or own is None else propagated(t, own, names, least)
+                                for t, own in zip(texts.to_pylist(), _rows(given, ["start", "end", "label"]))])
 
-    return run(text, entities, spans)
+    return run(text, spans)

@@ -156,13 +156,7 @@ def align_entities(text: Column | str, entities: Column | str) -> Column:
 
 def propagate(text: Column | str, spans: Column | str, name_types: tuple = ("PERSON",)) -> Column:
     """Tag every other whole-word occurrence of a tagged value, and of each capitalised word of a tagged name."""
-    t = _c(text)
-    ent = lambda v, l: F.struct(v.alias("text"), l.alias("label"))
-    values = F.transform(_c(spans), lambda x: ent(cut(t, x["start"], x["end"]), x["label"]))
-    names = F.filter(values, lambda v: v["label"].isin(*name_types))
-    words = F.flatten(F.transform(names, lambda v: F.transform(
-        F.filter(F.split(v["text"], r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) >= 2) & w.rlike(r"^\p{Lu}")), lambda w: ent(w, v["label"]))))
-    return dictionary.add_whole_words(t, F.array_distinct(F.concat(values, words)), _c(spans), 2)
+    return dictionary.propagate(_c(text), _c(spans), name_types)
 
 
 def redact(text: Column | str, spans: Column | str, fmt: str = "[{label}]") -> Column:
