@@ -37,6 +37,8 @@ FIGURES = {"chars_per_token": (0.01, 0.1), "byte_share": (0.001, 0.02), "evennes
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 CACHE = 100_000
+#: Bytes of the longest word that is remembered: at most about half a kilobyte an entry, 100 MB a worker.
+REMEMBERED = 64
 SCHEMA = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, "
           "byte_share double, evenness double, script string")
 #: First code points and names of blocks of letters, coarse.
@@ -61,8 +63,12 @@ class Vocabulary:
         def new(ws: list[bytes]) -> list[bytes]:
             return [np.array(ids, "<u4").tobytes() for ids in self.model.encode([w.decode() for w in ws], num_threads=1)]
 
-        self.known.fill(values, new)
-        return [self.known[v] for v in values]
+        # long runs without spaces are encoded, but never remembered: an entry has a bounded size, and so has the cache
+        short = [v for v in values if len(v) <= REMEMBERED]
+        self.known.fill(short, new)
+        long = [v for v in values if len(v) > REMEMBERED]
+        own = dict(zip(long, new(long)))
+        return [self.known[v] if len(v) <= REMEMBERED else own[v] for v in values]
 
 
 def repeated_words(codes: np.ndarray, starts: np.ndarray, values: list[bytes]) -> np.ndarray:

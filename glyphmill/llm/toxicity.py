@@ -9,8 +9,8 @@ Terms are words and word beginnings of 4 to 6 letters (inflected forms share the
 depends on the label (G statistic), so that long texts are not compared by their rare words; all words of a text together count
 as one more term, so that a passing mention in a long text is far from a short text of nothing else.
 
-Bounds: EXAMPLES labelled rows (half per class, first by hash) and TERMS terms; the index that tasks receive is limited by their
-product. Document frequencies are counted over all documents, in partial counts per task, and every text is read whole.
+Bounds: EXAMPLES labelled rows (half per class, first by hash), and of their terms those that depend on the label; the index that
+tasks receive has a row of BLOCK weights per term and block of examples that has it. Document frequencies are counted over all documents, in partial counts per task, and every text is read whole.
 
 Block-max search: the postings of a term are cut by blocks of BLOCK examples, each block a row of weights with its largest one
 beside it. A query adds up the largest weights per block, visits blocks from the highest bound down, a few at a time, and stops
@@ -34,7 +34,6 @@ from . import words
 from .common import fresh, saved
 
 EXAMPLES = 8000
-TERMS = 2048
 BLOCK = 128
 BEGINNINGS = (4, 5, 6)
 SCORE = "struct<score: double, neighbours: array<struct<id: string, similarity: double, label: int>>, terms: array<string>>"
@@ -86,9 +85,10 @@ def example_terms(examples: DataFrame) -> DataFrame:
     return examples.select("label", "text").mapInArrow(run, "term string, label int")
 
 
-def select_terms(examples: DataFrame, n: dict[int, int], limit: int, least: float = 20.0) -> list[str]:
-    """The terms with the largest G statistic of (has the term, label); n: examples per label."""
-    seen = example_terms(examples).groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where("a + b >= 4")
+def select_terms(examples: DataFrame, n: dict[int, int], least: float = 20.0) -> list[str]:
+    """The terms whose G statistic of (has the term, label) reaches `least`, or half of the best term's where that is less, so that
+    few examples have terms as well as many; n: examples per label."""
+    seen = example_terms(examples).groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     pos, neg = float(n[1]), float(n[0])
     total = pos + neg
 
@@ -98,8 +98,9 @@ def select_terms(examples: DataFrame, n: dict[int, int], limit: int, least: floa
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     has, hasnt = a + b, F.lit(total) - a - b
     g = 2 * (part(a, has * pos / total) + part(b, has * neg / total) + part(pos - a, hasnt * pos / total) + part(neg - b, hasnt * neg / total))
-    rows = seen.withColumn("g", g).where(F.col("g") >= least).orderBy(F.col("g").desc(), "term").limit(limit)
-    return sorted(r["term"] for r in rows.select("term").collect())
+    rows = saved(seen.select("term", g.alias("g")), "toxicity-terms")
+    cut = min(least, max(0.5 * (rows.agg(F.max("g")).first()[0] or 0.0), 1e-6))
+    return sorted(r["term"] for r in rows.where(F.col("g") >= cut).collect())
 
 
 def document_frequency(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
@@ -229,7 +230,7 @@ class Model:
             ["score", "neighbours", "terms"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, k: int = 15, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, k: int = 15, examples: int = EXAMPLES) -> Model:
     """labels(doc_id, <label>): only rows where `train` holds (an expression on doc_id) are read."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(train & F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
     of_class = {0: 0, 1: 0, **{r["label"]: r["count"] for r in known.groupBy("label").count().collect()}}
@@ -242,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, k: int =
     n = {0: 0, 1: 0, **{r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}}
     if not min(n.values()):
         return model
-    vocabulary = select_terms(sample, n, terms)
+    vocabulary = select_terms(sample, n)
     if not vocabulary:
         return model
     df, n_docs = document_frequency(docs, vocabulary)
@@ -268,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, k: int =
 
 def with_scores(docs: DataFrame, model: Model, out: str, text: str = "text") -> DataFrame:
     """The documents with one more column of type SCORE."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by `examples` and `terms`
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by `examples` and their terms
 
     @F.arrow_udf(SCORE)
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -159,6 +159,15 @@ def test_toxicity(spark):
         assert len({r["score"] for r in toxicity.digest(docs, flat).collect()}) == 1
 
 
+@pytest.mark.parametrize("n", [6, 7, 40])
+def test_few_examples_have_terms_too(spark, n):
+    rows = [(i, f"{'vileword' if i < n else 'meadow'} number {i}") for i in range(2 * n)]
+    labels = spark.createDataFrame([(i, int(i < n)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(table(spark, rows), labels, "toxic", F.lit(True))
+    got = {r["doc_id"]: r["score"] for r in toxicity.digest(table(spark, rows), model).collect()}
+    assert min(got[i] for i in range(n)) > 0.5 > max(got[i] for i in range(n, 2 * n))
+
+
 # ---- op3 ------------------------------------------------------------------------------------------------------------------
 
 def brute_lines(rows):
@@ -166,7 +175,7 @@ def brute_lines(rows):
     for i, text in sorted((r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None):
         at = [j for j, s in enumerate(text.split("\n")) if s.strip(" \t\n\x0b\x0c\r")]
         ls = text.split("\n")
-        for a in range(len(at) - 2):
+        for a in range(max(len(at) - 2, min(len(at), 1))):
             w, pos = tuple(ls[j] for j in at[a:a + 3]), at[a:a + 3]
             if w in seen:
                 own = seen[w][1] if seen[w][0] == i else []
@@ -178,7 +187,7 @@ def brute_lines(rows):
 
 def test_line_windows(spark):
     passage = "one fine line\nsecond line\n\nthird line\nfourth"
-    rows = [(5, "head\n" + passage), (2, passage + "\ntail"), (3, "x\nx\nx\nx\nx\nx"), (9, "head\n" + passage), (7, None), (8, ""), (None, passage), (11, "a\nb"), (12, "a\nb"),
+    rows = [(5, "head\n" + passage), (2, passage + "\ntail"), (3, "x\nx\nx\nx\nx\nx"), (9, "head\n" + passage), (7, None), (8, ""), (None, passage), (11, "a\nb"), (12, "a\n\nb"), (15, "one line"), (16, "one line"), (17, " \none line\n"), (18, "a"),
             (13, "\n\n\n\n"), (14, "x\nx\nx"), (20, "p\nq\nr\ns\np\nq\nr\nt")] + [(100 + i, f"own {i}\n" + passage) for i in range(30)]
     df = table(spark, rows)
     got = line_windows.dedup(df, n_removed="n_gone")
@@ -521,3 +530,22 @@ def test_words_of_batches():
     assert [[values[c] for c in codes[a:b]] for a, b in zip(starts, starts[1:])] == [[b"a", b"b", "É".encode()], [], [], [b"x"]]
     batch = pa.RecordBatch.from_arrays([pa.array(["ab", None, "c" * 50])], ["t"])
     assert sum(p.num_rows for p in words.pieces(batch, 0)) == 3
+
+
+def test_memory_of_words_without_spaces_is_bounded():
+    vocabulary = fertility.Vocabulary(public_tokenizer("piece_bpe_32k.model"))
+    for i in range(30):
+        long = [bytes([97 + (i + j) % 26]) * (100 + j) for j in range(20)]
+        assert len(vocabulary.encode([*long, b"short", b"word"])) == 22
+    assert max(map(len, [*vocabulary.known, *vocabulary.known.old])) <= fertility.REMEMBERED
+
+
+def test_token_ids_of_distinct_long_words(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, rnd = public_tokenizer("byte_bpe_50k.json"), random.Random(6)
+    tok, encoder = Tokenizer.from_file(path), token_files.WordEncoder(path, "uint16")
+    han = ["".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(1000)) for _ in range(40)]
+    texts = [*han, "a\tb c", " lead", "two  blanks", "end ", "x\n\ny", "it's 'q' \u00a0z", "\n", "\n\n", " ", "", "a\nb\nc d", None, "\u00e9\u0301 \u4e2d", "tab\t\tx y"]
+    got = encoder.encode(pa.array(texts, pa.string()))
+    assert [np.frombuffer(g, "uint16").tolist() for g in got] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
