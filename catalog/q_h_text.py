@@ -7,6 +7,7 @@ from glyphmill.functions import text as X
 from glyphmill.functions import units as U
 from glyphmill.operators import compress as Z
 from glyphmill.operators import joins as C
+from glyphmill.operators import metrics as N
 from glyphmill.operators import passages as P
 from glyphmill.operators import sampling as E
 from glyphmill.operators import seqlabel as Q
@@ -305,6 +306,66 @@ def _(spark, d):
     return Q.boundary_events(r, "doc_id", "pos", "pm", "pc", "lab", "gc", ["lang"])
 
 
+# words with the mark at their end as units: the same operators where SQL can follow
+UW = f"""uw as (select doc_id, i - 1 as pos, case when right(tok, 1) in ('.', '?', ',') then right(tok, 1) else '0' end as lab, case when right(tok, 1) in ('.', '?', ',') and length(tok) > 1 then substr(tok, 1, length(tok) - 1) else tok end as word from words),
+ un as (select uw.*, d.lang, {CASE_SQL.replace('tok', 'word')} as gc, regexp_matches(word, '[\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}]') as cased from uw join documents d using (doc_id)),
+ rc as (select *, case when (coalesce(last_value(case when cased or lab in ('.', '?') then lab in ('.', '?') end ignore nulls) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), true) and cased) or (lang = 'en' and word = 'i') then 1 else 0 end as k from un)"""
+
+
+def _word_units(spark, d):
+    w = U.explode_rows(docs(spark, d, "doc_id", "lang", "text"), ["doc_id", "lang"], F.filter(F.split("text", r"\s+"), lambda x: x != ""), "w")
+    end = F.substring("w", -1, 1)
+    marked = end.isin(".", "?", ",")
+    word = F.when(marked & (F.length("w") > 1), F.substring(F.col("w"), F.lit(1), F.length("w") - 1)).otherwise(F.col("w"))
+    return w.select("doc_id", "lang", "pos", word.alias("word"), F.when(marked, end).otherwise("0").alias("lab"))
+
+
+@query("h42_rule_case_words", f"with {WORDS}, {UW} select lang, count(*)::BIGINT as n, sum(k)::BIGINT as caps, round(avg((k = gc)::INT), 6) as acc from rc group by lang")
+def _(spark, d):
+    r = Q.rule_case(_word_units(spark, d), "doc_id", "pos", "word", "lab", "lang").withColumn("gold", Q.case_of("word"))
+    return r.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("case").alias("caps"), F.avg((F.col("case") == F.col("gold")).cast("int")).alias("acc"))
+
+
+@query("n12_case_metrics", f"""with {WORDS}, {UW}, c as (select lang, count(*) as n, sum((k = gc)::INT) as ok, sum((k = gc and gc <> 0)::INT) as tp, sum((k <> 0)::INT) as pp, sum((gc <> 0)::INT) as gg from rc group by lang)
+select lang, n::BIGINT as n, round(ok / n, 6) as acc, round(case when tp = 0 then 0 else 2 * tp / (pp + gg) end, 6) as f1 from c""")
+def _(spark, d):
+    # F1 of the exact casing class over words that aren't lower case in gold or prediction
+    r = Q.rule_case(_word_units(spark, d), "doc_id", "pos", "word", "lab", "lang")
+    return N.mark_metrics(r.select("lang", Q.case_of("word").cast("string").alias("g"), F.col("case").cast("string").alias("p")), "g", "p", ["lang"])
+
+
+def _decode_sql(beta):
+    m = ", ".join(f"{q.u(f'm{i}', 'doc_id', 'pos')} * 0.6 + (lab = '{l}')::INT * 0.4 as m{i}" for i, l in enumerate(Q.LABELS))
+    c = ", ".join(f"{q.u(f'c{i}', 'doc_id', 'pos')} * 0.6 + (gc = {i})::INT * 0.4 as c{i}" for i in range(3))
+    at = {l: f"m{i}" for i, l in enumerate(Q.LABELS)}
+    labels, ms = "[" + ", ".join(f"'{l}'" for l in Q.LABELS) + "]", "[" + ", ".join(f"m{i}" for i in range(len(Q.LABELS))) + "]"
+    return f"""pr as (select *, {m}, {c} from un), am as (select *, {labels}[list_position({ms}, list_max({ms}))] as pm, list_position([c0, c1, c2], greatest(c0, c1, c2)) - 1 as pc from pr),
+ ld as (select *, lead(c0) over w as n0, lead(c1) over w as n1, lead(pc) over w as np, {at[',']} as mc, greatest({at['.']}, {at['?']}) as ms, case when {at['.']} >= {at['?']} then '.' else '?' end as stop from am window w as (partition by doc_id order by pos)),
+ td as (select *, case when pm = ',' and np = 1 and ms * n1 >= mc * n1 * {beta} and ms * n1 >= mc * n0 then 'break' when pm = ',' and np = 1 and mc * n0 > mc * n1 * {beta} then 'lower' end as todo from ld),
+ dc as (select doc_id, lang, pos, lab, gc, case when todo = 'break' then stop else pm end as pm, case when lag(todo) over (partition by doc_id order by pos) = 'lower' then 0 else pc end as pc from td)"""
+
+
+def _word_probabilities(spark, d):
+    r = _word_units(spark, d)
+    m = F.map_from_arrays(F.array(*[F.lit(l) for l in Q.LABELS]), F.array(*[K.u(f"m{i}", "doc_id", "pos") * 0.6 + (F.col("lab") == l).cast("int") * 0.4 for i, l in enumerate(Q.LABELS)]))
+    c = F.array(*[K.u(f"c{i}", "doc_id", "pos") * 0.6 + (Q.case_of("word") == i).cast("int") * 0.4 for i in range(3)])
+    return r.withColumn("marks", m).withColumn("cases", c).withColumn("gc", Q.case_of("word"))
+
+
+@query("j12_decode_words", f"with {WORDS}, {UW}, {_decode_sql(0.5)} select lang, count(*)::BIGINT as n, round(avg((pm = lab)::INT), 6) as mark_acc, round(avg((pc = gc)::INT), 6) as case_acc from dc group by lang")
+def _(spark, d):
+    r = Q.decode_boundary(_word_probabilities(spark, d), "doc_id", "pos", "marks", "cases", 0.5)
+    return r.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("pm") == F.col("lab")).cast("int")).alias("mark_acc"), F.avg((F.col("pc") == F.col("gc")).cast("int")).alias("case_acc"))
+
+
+@query("n13_boundary_words", f"""with {WORDS}, {UW}, {_decode_sql(1.0)}, nx as (select *, lead(pc) over w as npc, lead(gc) over w as ngc from dc window w as (partition by doc_id order by pos)),
+ kd as (select lang, case when pm = ',' and npc = 1 then case when lab in ('.', '?') and ngc = 1 then 'b' when ngc = 1 then 'c' when ngc = 0 then 'l' else 'o' end end as k from nx)
+select lang, count(*)::BIGINT as words, count(k)::BIGINT as total, count(*) filter (k = 'b')::BIGINT as gold_sentence_break, count(*) filter (k = 'c')::BIGINT as gold_comma_cap, count(*) filter (k = 'l')::BIGINT as gold_lower, count(*) filter (k = 'o')::BIGINT as other from kd group by lang""")
+def _(spark, d):
+    r = Q.decode_boundary(_word_probabilities(spark, d), "doc_id", "pos", "marks", "cases", 1.0)
+    return Q.boundary_events(r, "doc_id", "pos", "pm", "pc", "lab", "gc", ["lang"])
+
+
 @query("i17_lowercase_share", f"select doc_id, md5(case when {q.u(17, 'doc_id')} < 0.5 then lower(text) else text end) as h from documents")
 def _(spark, d):
     return Q.lowercase_share(docs(spark, d, "doc_id", "text"), "text", 0.5, 17, "doc_id").select("doc_id", F.md5("text").alias("h"))

@@ -12,13 +12,13 @@ from glyphmill.sources import build_report
 
 from . import query
 from . import sqlkit as q
-from .common import SCORES, docs, labelled, scores, table
+from .common import PREDS, SCORES, docs, labelled, predictions, scores, table
 from .q_c_joins import sentence_hit_sql
 from .q_h_spans import CLEAN, GOLD
 from .q_i_augment import FRAMES, RAND, SQL, _alphabet, _sents
-from .q_j_labels import CLAIMS, LP, logprobs
+from .q_j_labels import CLAIMS, ISO, LP, logprobs
 from .q_l_retrieval import NN, RANK, _ranking, _split
-from .q_n_metrics import GRID, auc_sql, bin_sql, sweep_sql
+from .q_n_metrics import GRID, REG, _regression, auc_sql, bin_sql, mc_sql, sweep_sql
 
 TRAIN = f"""{sentence_hit_sql(25)}, bk as (select distinct {q.k1('text')} as k from benchmark),
  base as (select d.doc_id, d.text, d.lang, d.source, l.quality as label, {q.k1('d.text')} as k from documents d join labels l using (doc_id) where length(d.text) >= 4 and not regexp_matches(d.source, '^(?:src13)')),
@@ -114,7 +114,13 @@ def _(spark, d):
     return w.select("doc_id", "window", "lang", "split", F.size("labs").alias("n"), F.md5("text_w").alias("h"))
 
 
-@query("w8_ingest_teacher")
+@query("w8_ingest_teacher", f"""with {LP}, yn as (select doc_id, sum(case when lower(trim(token)) = 'yes' then exp(logprob) else 0 end) as y, sum(case when lower(trim(token)) = 'no' then exp(logprob) else 0 end) as n from lp group by doc_id),
+ py as (select doc_id, case when y + n > 0 then y / (y + n) else 0.5 end as p_yes from yn), {ISO.replace(SCORES, 'scores as (select doc_id, toxic as gold, p_yes as score from py join labels using (doc_id))')},
+ xs as (select distinct p_yes from py), cal as (select p_yes, coalesce((select min(yhat) from iso where x >= p_yes), (select max(yhat) from iso)) as c from xs),
+ so as (select doc_id, p_yes, case when toxic is null then c else 0.7 * c + 0.3 * toxic end as soft from py join cal using (p_yes) left join labels using (doc_id)),
+ cap as (select floor(sum((not soft between 0.4 and 0.6)::INT) * (0.3 / (1 - 0.3))) as n from so)
+select doc_id, round(p_yes, 6) as p_yes, round(soft, 6) as soft from so where not soft between 0.4 and 0.6 union all
+select doc_id, round(p_yes, 6), round(soft, 6) from (select * from so where soft between 0.4 and 0.6 qualify row_number() over (order by {q.h32(8, 'doc_id')}, doc_id) <= (select n from cap))""")
 def _(spark, d):
     return W.ingest_teacher(logprobs(spark, d), table(spark, d, "labels"), "doc_id", "toxic", 0.7, 0.3, 8)
 
@@ -169,11 +175,32 @@ def _(spark, d):
     return W.tuned_report(scores(spark, d), GRID, "doc_id", seed=13)
 
 
-@query("w13_leaderboard", f"""with {EV}, m as (select 'rule' as model, set, f1 as value from bm where lang = 'all'), p as (select model, max(value) filter (set = 'src0') as src0, max(value) filter (set = 'src1') as src1 from m group by model)
-select model, round(src0, 6) as src0, round(src1, 6) as src1, round((src0 + src1) / 2, 6) as macro from p""")
+MODELS = f"""sc as (select source, lang, gold, score, {q.u(131, 'doc_id')} as noise from scores), every as (select 'rule' as model, source as set, gold, score from sc union all select 'blend', source, gold, 0.5 * score + 0.5 * noise from sc
+  union all select 'chance', source, gold, noise from sc)"""
+
+
+@query("w13_leaderboard", f"""with {SCORES}, {MODELS}, c as (select model, set, sum((gold = 1 and score >= 0.5)::INT) as tp, sum((gold = 0 and score >= 0.5)::INT) as fp, sum((gold = 1 and score < 0.5)::INT) as fn from every group by all),
+ f as (select model, set, case when tp = 0 then 0 else 2 * tp / (2 * tp + fp + fn) end as v from c), b as (select model, max(v) filter (set = 'src0') as src0, max(v) filter (set = 'src1') as src1, max(v) filter (set = 'src2') as src2 from f group by model)
+select model, round(src0, 6) as src0, round(src1, 6) as src1, round(src2, 6) as src2, round((src0 + src1 + src2) / 3, 6) as macro, rank() over (order by src0 + src1 + src2 desc)::BIGINT as rank from b""")
+def _(spark, d):
+    noise = K.u(131, "doc_id")
+    models = F.array(*[F.struct(F.lit(n).alias("model"), s.alias("score")) for n, s in (("rule", F.col("score")), ("blend", 0.5 * F.col("score") + 0.5 * noise), ("chance", noise))])
+    p = scores(spark, d).select(F.col("source").alias("set"), "lang", "gold", F.explode(models).alias("m")).select("m.model", "set", "lang", "gold", "m.score")
+    return W.model_leaderboard(p, ["src0", "src1", "src2"])
+
+
+@query("w13_full_report", f"""with {EV}, au as (select * from {auc_sql('set, lang')}), w as (select bm.set, bm.lang, acc, precision, recall, f1, fpr, fnr, auc from bm join au on au.set = bm.set and au.lang = bm.lang),
+ {PREDS}, {mc_sql('source')}, mc as (select 'class:' || source as set, sum(tp) / sum(support) as acc, avg(f1) as macro_f1, avg(tp / support) filter (support > 0) as bacc from cc group by source),
+ {REG}, rr as (select *, rank() over (partition by lang order by g) + (count(*) over (partition by lang, g) - 1) / 2.0 as rg, rank() over (partition by lang order by p) + (count(*) over (partition by lang, p) - 1) / 2.0 as rp from reg),
+ rg as (select 'value:' || lang as set, corr(rg, rp) as spearman, corr(g, p) as pearson from rr group by lang),
+ langs as (select unnest(['all', 'x']) as lang)
+select set, lang, metric, round(value, 6) as value from (unpivot w on acc, precision, recall, f1, fpr, fnr, auc into name metric value value)
+union all select set, lang, metric, round(value, 6) from (unpivot mc on acc, macro_f1, bacc into name metric value value), langs
+union all select set, lang, metric, round(value, 6) from (unpivot rg on spearman, pearson into name metric value value), langs""")
 def _(spark, d):
-    r = W.evaluation_report(scores(spark, d).withColumnRenamed("source", "set")).where("lang = 'all' and metric = 'f1'").withColumn("model", F.lit("rule"))
-    return N.leaderboard(r, ["src0", "src1"])
+    c = predictions(spark, d).select(F.concat(F.lit("class:"), "source").alias("set"), F.lit("x").alias("lang"), "gold", "pred")
+    v = _regression(spark, d).select(F.concat(F.lit("value:"), "lang").alias("set"), F.lit("x").alias("lang"), F.col("g").alias("gold"), F.col("p").alias("pred"))
+    return W.full_report(scores(spark, d).withColumnRenamed("source", "set"), c, v)
 
 
 @query("w14_prompt_pool", f"""with f as (select conv_id, min(turn) as t0, arg_min(text, turn) as prompt from conversations where role = 'user' group by conv_id),

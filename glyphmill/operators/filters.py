@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -227,11 +229,76 @@ def prompt_response_rows(df: DataFrame) -> DataFrame:
             .where(F.col("text_pair").isNotNull()))
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+_PLAIN = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|-?Infinity|NaN")
+
+
+def _deep_leaves(text: str) -> list[tuple[str, str]]:
+    """`_string_leaves` for a text that is nested too deeply for the parser: a loop over its tokens with a stack of its own.
+
+    Of a key that an object has twice, both values count here."""
+    out: list[tuple[str, str]] = []
+    stack: list[list] = []  # ["{", key] or ["[", index]
+    skip = lambda at: _BLANK.match(text, at).end()
+
+    def key(at: int) -> tuple[str, int]:
+        if text[at:at + 1] != '"':
+            raise ValueError("no key")
+        name, at = scanstring(text, at + 1, True)
+        at = skip(at)
+        if text[at:at + 1] != ":":
+            raise ValueError("no colon")
+        return name, skip(at + 1)
+
+    at = skip(0)
+    while True:
+        c = text[at:at + 1]
+        if c in ("{", "["):
+            at = skip(at + 1)
+            if text[at:at + 1] != ("}" if c == "{" else "]"):
+                if c == "{":
+                    name, at = key(at)
+                stack.append([c, name if c == "{" else 0])
+                continue
+            at += 1
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+            out.append(("$" + "".join(f".{k}" if kind == "{" else f"[{k}]" for kind, k in stack), value))
+        elif plain := _PLAIN.match(text, at):
+            at = plain.end()
+        else:
+            raise ValueError("no value")
+        while True:  # what follows a value
+            at = skip(at)
+            if not stack:
+                if at < len(text):
+                    raise ValueError("more than one value")
+                return out
+            c, top = text[at:at + 1], stack[-1]
+            at += 1
+            if c == ("}" if top[0] == "{" else "]"):
+                stack.pop()
+                continue
+            if c != ",":
+                raise ValueError("no comma")
+            at = skip(at)
+            if top[0] == "{":
+                top[1], at = key(at)
+            else:
+                top[1] += 1
+            break
+
+
 def _string_leaves(text: str) -> list[tuple[str, str]]:
     """(path, string) of every string in a JSON text, in document order; nothing if it doesn't parse."""
     try:
         todo, out = [("$", json.loads(text))], []
-    except (TypeError, ValueError, RecursionError):
+    except RecursionError:
+        try:
+            return _deep_leaves(text)
+        except ValueError:
+            return []
+    except (TypeError, ValueError):
         return []
     while todo:  # a stack of its own, so any depth is walked
         path, node = todo.pop()

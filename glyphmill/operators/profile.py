@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +18,36 @@ def crosstab(df: DataFrame, a: str, b: str, values: list | None = None) -> DataF
     return df.groupBy(a).pivot(b, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def top_chars(df: DataFrame, text: str, lang: str, n: int = 80) -> DataFrame:
-    """The n most frequent letters per language with counts and rank.
+def letter_counts(df: DataFrame, text: str, by: str) -> DataFrame:
+    """(by, ch, n): occurrences of every letter, lower-cased.
+
+    Every task adds up its own texts and returns one row per group and letter, so what is shuffled doesn't grow with the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        kind = None
+        for batch in batches:
+            kind, groups = batch.schema.field(0).type, batch.column(0).to_pylist()
+            texts: dict = {}
+            for g, t in zip(groups, batch.column(1).to_pylist()):
+                if t:
+                    texts.setdefault(g, []).append(t)
+            for g, ts in texts.items():
+                chars, n = np.unique(np.frombuffer("".join(ts).encode("utf-32-le"), "<u4"), return_counts=True)
+                own = total.setdefault(g, Counter())
+                own.update(dict(zip(chars.tolist(), n.tolist())))
+        rows = [(g, chr(c), n) for g, own in total.items() for c, n in own.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int64())], [by, "ch", "n"])
 
-    Letters are counted per task before the shuffle, and the final window sees one row per (language, letter)."""
-    ch = df.select(lang, F.explode(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}]+", "")), "")).alias("ch")).where("ch <> ''")
-    c = ch.groupBy(lang, "ch").agg(F.count(F.lit(1)).alias("n"))
-    return top_k(c, [lang], [F.col("n").desc(), F.col("ch").asc()], n)
+    letters = df.select(by, F.lower(F.regexp_replace(text, r"[^\p{L}]+", "")).alias("_t"))
+    counts = letters.mapInArrow(run, f"`{by}` {df.schema[by].dataType.simpleString()}, ch string, n long")
+    return counts.groupBy(by, "ch").agg(F.sum("n").alias("n"))
+
+
+def top_chars(df: DataFrame, text: str, lang: str, n: int = 80) -> DataFrame:
+    """The n most frequent letters per language with counts and rank."""
+    return top_k(letter_counts(df, text, lang), [lang], [F.col("n").desc(), F.col("ch").asc()], n)
 
 
 def confusion(df: DataFrame, gold: str, pred: str, by: list[str] | None = None) -> DataFrame:

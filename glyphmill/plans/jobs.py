@@ -36,8 +36,12 @@ def training_table(df: DataFrame, evals: DataFrame, id_col: str = "doc_id", text
 
 def merge_version(old: DataFrame, new: DataFrame, evals: DataFrame, id_col: str, text: str, label: str, group: str, val: float = 0.1, seed=0) -> DataFrame:
     """Add a new batch to an existing version: only unseen, clean, consistent rows; new groups get a split, old rows keep theirs."""
-    fresh = dedup.decontaminate(dedup.decontaminate(new, text, evals), text, old, text)
-    fresh = dedup.drop_conflicts(fresh, norm_key(text), label, keep_one=id_col)
+    # the texts of the new batch are keyed once; the rules see digests, and only the ids that survive meet the texts again
+    digest = lambda c: dedup._digest([norm_key(c)])
+    keys = materialise(new.select(F.col(id_col).alias("_id"), F.col(label).alias("_label"), digest(text).alias("_k")))
+    known = dedup.eval_keys(evals, "text").unionByName(old.select(digest(text).alias("_k"))).distinct()
+    one = keys.join(known, "_k", "left_anti").groupBy("_k").agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi"), F.min("_id").alias(id_col))
+    fresh = new.join(one.where(F.col("_lo").eqNullSafe(F.col("_hi"))).select(id_col), id_col, "left_semi")
     return dedup.union_versions([old, sampling.split_group(fresh, [group], val, seed)], old.columns)
 
 
@@ -148,6 +152,31 @@ def evaluation_report(preds: DataFrame, gold: str = "gold", score: str = "score"
     return wide.unpivot(by, names, "metric", "value").where("value is not null")
 
 
+def full_report(preds: DataFrame, classes: DataFrame, values: DataFrame) -> DataFrame:
+    """Binary, multi-class and regression sets in one long table (set, lang, metric, value).
+
+    preds(set, lang, gold, score), classes(set, lang, gold, pred), values(set, lang, gold, pred); lang = 'all' pools a set. Classes are
+    counted once per (set, lang, gold, pred), values once per pair."""
+    by = ["set", "lang"]
+    both = lambda df: df.withColumn("lang", F.explode(F.array("lang", F.lit("all"))))
+    c = both(classes)
+    multi = metrics.multiclass(c, "gold", "pred", by).join(metrics.balanced_accuracy(c, "gold", "pred", by), by)
+    multi = multi.unpivot(by, ["acc", "macro_f1", "bacc"], "metric", "value")
+    reg = metrics.regression_metrics(both(values), "gold", "pred", by).unpivot(by, ["spearman", "pearson"], "metric", "value")
+    return evaluation_report(preds).unionByName(multi).unionByName(reg).where("value is not null")
+
+
+def model_leaderboard(preds: DataFrame, sets: list[str], metric: str = "f1") -> DataFrame:
+    """Models by sets, with the macro mean and the rank by it, from preds(model, set, lang, gold, score): one report for all of them."""
+    tagged = preds.withColumn("set", F.concat_ws("\t", "model", "set"))
+    name = F.split("set", "\t")
+    r = evaluation_report(tagged).where((F.col("lang") == "all") & (F.col("metric") == metric)).select(name[0].alias("model"), name[1].alias("set"), "value")
+    board = metrics.leaderboard(r, sets)
+    better = board.select(F.col("model").alias("_m"), F.col("macro").alias("_v"))  # a row per model
+    ahead = board.join(better, F.col("_v") > F.col("macro"), "left").groupBy("model").agg(F.count("_m").alias("_n"))
+    return board.join(ahead, "model").withColumn("rank", F.when(F.col("macro").isNotNull(), F.col("_n") + 1)).drop("_n")
+
+
 def tuned_report(preds: DataFrame, grid: list[float], key: str, gold: str = "gold", score: str = "score", lang: str = "lang", dev: float = 0.5, min_pos: int = 8, seed=0) -> DataFrame:
     """Thresholds per language from a hashed dev share, and the metrics that they reach on the other rows."""
     s = sampling.split_hash(preds, [key], dev, seed, ("dev", "test"))
@@ -159,9 +188,11 @@ def tuned_report(preds: DataFrame, grid: list[float], key: str, gold: str = "gol
 def prompt_pool(conv: DataFrame, lo: int, hi: int, n_test: int, n_train: int, seed=0) -> DataFrame:
     """First user messages and answered prompts: length filter, unique, disjoint test and train rows per kind."""
     r = filters.prompt_response_rows(conv)
-    r = filters.len_between(r, "text", lo, hi)
-    one = dedup.dedup(r, [F.col("kind"), norm_key("text"), F.col("text_pair")], "conv_id")
-    return sampling.slices(one, ["kind"], n_test, n_train, seed, ["conv_id"])
+    some = filters.len_between(r, "text", lo, hi).select("conv_id", "kind", dedup._digest([norm_key("text")]).alias("_k"), dedup._digest([F.col("text_pair")]).alias("_p"))
+    keys = materialise(some)  # unique rows, quotas and ranks are found among digests; the texts are joined at the end
+    one = keys.groupBy("kind", "_k", "_p").agg(F.min("conv_id").alias("conv_id")).select("conv_id", "kind")
+    chosen = sampling.slices(one, ["kind"], n_test, n_train, seed, ["conv_id"])
+    return r.join(chosen, ["conv_id", "kind"])
 
 
 def compression_report(df: DataFrame, key: str, text: str, lang: str, rates: list[float], seed=0) -> DataFrame:

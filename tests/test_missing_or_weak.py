@@ -238,3 +238,15 @@ def test_stream_label_keeps_no_state(spark, tmp_path):
     got = [r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(got, key=str) == sorted([1, 2, 3, 4, 5, None], key=str)
     assert not any(p["stateOperators"] for run in runs for p in run.recentProgress)
+
+
+def test_json_leaves_below_thousands_of_brackets(spark):
+    from glyphmill.operators import filters as B
+
+    leaf = "y" * 70
+    deep = '{"a": "' + leaf + '", "n": [1, -2.5e3, true, null, {}, []], "b": ' + '[{"k":' * 20_000 + '"' + leaf + 'é\\u00e9"' + "}]" * 20_000 + "}"
+    df = spark.createDataFrame([(1, deep), (2, deep[:-1]), (3, deep + "1")], "id int, js string")
+    got = [(r.id, len(r.path), len(r.text)) for r in B.json_leaves(df, ["id"], "js").collect()]
+    assert sorted(got) == [(1, 3, 70), (1, 3 + 20_000 * 5, 72)]
+    flat = '{"a": ["x", {"b": "y\\\\n"}, 3], "c": ""}'
+    assert B._deep_leaves(flat) == B._string_leaves(flat)
