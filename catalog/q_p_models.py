@@ -35,7 +35,7 @@ def _soft(spark, d):
 def _(spark, d):
     t = _soft(spark, d)
     m = M.train_binary(t.where("split = 'train'"), "text", "quality", "soft", 0.5)
-    return N.auc(m.transform(t.where("split = 'val'")), "quality", "score").select("n", (F.col("auc") >= 0.8).alias("accurate"))
+    return N.auc(m.transform(t.where("split = 'val'")), "quality", "score").select("n", (F.col("auc") >= 0.9).alias("accurate"))
 
 
 @query("p3_multilabel", f"""with v as (select quality, toxic from documents join labels using (doc_id) where {q.u(2, 'doc_id')} < 0.2), l as (select 'quality' as label, quality as gold from v union all select 'toxic', toxic from v)
@@ -47,7 +47,8 @@ def _(spark, d):
     for label, m in models.items():
         x = m.transform(t.where("split = 'val'")).select(F.lit(label).alias("label"), F.col(label).alias("gold"), "score")
         out = x if out is None else out.unionByName(x)
-    found = N.auc(out, by=["label"]).select("label", (F.col("auc") >= 0.8).alias("accurate"))
+    # few toxic rows are labelled: their floor is lower
+    found = N.auc(out, by=["label"]).select("label", (F.col("auc") >= F.when(F.col("label") == "toxic", 0.55).otherwise(0.9)).alias("accurate"))
     return N.binary_metrics(out, by=["label"]).join(found, "label").select("label", "n", "pos", "accurate")
 
 

@@ -8,6 +8,7 @@ from glyphmill.operators import augment as A
 from glyphmill.operators import metrics as N
 from glyphmill.operators import spans as S
 from glyphmill.plans import jobs as W
+from glyphmill.session import materialise
 from glyphmill.sources import build_report
 
 from . import query
@@ -148,12 +149,22 @@ def _(spark, d):
         "doc_id", "label", "source", "augmented", F.md5("text").alias("h"))
 
 
+def _junk(spark, d):
+    return W.junk_predictions(A.gibberish_set(_sents(spark, d), _alphabet(spark, d), "lang", ["doc_id", "sid"], "s", 12), "text", "label", seed=12)
+
+
 @query("w12_junk_rates")
 def _(spark, d):
-    # a rule detector on the four-class set: share of characters outside words the corpus knows well
-    g = A.gibberish_set(_sents(spark, d), _alphabet(spark, d), "lang", ["doc_id", "sid"], "s", 12)
-    score = F.when(F.col("text").rlike(r"[^\p{L}\s.,!?;:'\"()-]"), 1.0).otherwise(0.0)
-    return N.flag_rates(g.withColumn("score", score), ["lang", "label"])
+    # flag rate of a detector that never saw the row, per language and class
+    score = F.when(F.col("pred") != "clean", 1.0).otherwise(0.0)
+    return N.flag_rates(_junk(spark, d).withColumn("score", score), ["lang", "label"])
+
+
+@query("w12_junk_classes", "select 1::BIGINT as accurate, 4::BIGINT as classes")
+def _(spark, d):
+    p = materialise(_junk(spark, d).select("label", "pred"))
+    f1 = N.multiclass(p, "label", "pred").select((F.col("macro_f1") >= 0.5).alias("accurate"))
+    return f1.crossJoin(p.agg(F.count_distinct("label").alias("classes")))
 
 
 EV = f"""{SCORES.replace('scores as (', 'sc0 as (')}, scores as (select source as set, unnest([lang, 'all']) as lang, gold, score from sc0),

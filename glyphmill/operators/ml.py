@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
-from pyspark.ml.feature import HashingTF, IndexToString, StringIndexer
+from pyspark.ml.feature import HashingTF, IndexToString, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
@@ -18,15 +18,21 @@ from ..functions.units import pin
 
 
 class _Features:
-    """Hashed n-gram counts: the n-gram arrays are concatenated so that one hashing stage sees them all."""
+    """Hashed n-gram counts: the n-gram arrays are concatenated so that one hashing stage sees them all.
 
-    def __init__(self, text: str, sizes: tuple, features: int, word: bool = False):
-        self.text, self.sizes, self.features, self.word = text, sizes, features, word
+    Units are characters, words, or with `tokens` whatever stands between blanks, marks and symbols included; tokens are marked as
+    present, not counted, and a text's vector has length one, so that long texts weigh no more than short ones."""
+
+    def __init__(self, text: str, sizes: tuple, features: int, word: bool = False, tokens: bool = False):
+        self.text, self.sizes, self.features, self.word, self.tokens = text, sizes, features, word or tokens, tokens
 
     def __call__(self, df: DataFrame) -> DataFrame:
         t = F.lower(F.col(self.text))
-        unit = F.filter(F.split(t, r"[^\p{L}\p{N}]+" if self.word else ""), lambda x: x != "")
+        unit = F.filter(F.split(t, r"\s+" if self.tokens else r"[^\p{L}\p{N}]+" if self.word else ""), lambda x: x != "")
         d = pin(pin(df, "_u", unit), "_g", F.concat(*[self._grams(n) for n in self.sizes]))
+        if self.tokens:
+            d = HashingTF(inputCol="_g", outputCol="_f", numFeatures=self.features, binary=True).transform(d)
+            return Normalizer(inputCol="_f", outputCol="features").transform(d).drop("_u", "_g", "_f")
         return HashingTF(inputCol="_g", outputCol="features", numFeatures=self.features).transform(d).drop("_u", "_g")
 
     def _grams(self, n: int):
@@ -68,19 +74,19 @@ class ScoreModel:
         return out.select(*df.columns, value.alias(name))
 
 
-def train_binary(df: DataFrame, text: str, label: str, soft: str | None = None, alpha: float = 0.5, features: int = 1 << 14, iterations: int = 30) -> ScoreModel:
+def train_binary(df: DataFrame, text: str, label: str, soft: str | None = None, alpha: float = 0.5, features: int = 1 << 16, iterations: int = 30) -> ScoreModel:
     """Binary classifier; with soft targets every row stands in twice, as 1 and as 0, weighted by the mixed target, which
     is the mixed cross-entropy exactly."""
-    f = _Features(text, (1, 2), features, word=True)
+    f = _Features(text, (1,), features, tokens=True)
     x = f(df)
     y = F.col(label).cast("double")
     target = y if soft is None else F.when(F.col(soft).isNotNull(), (1 - alpha) * y + alpha * F.col(soft)).otherwise(y)
     pair = F.explode(F.array(F.struct(F.lit(1.0).alias("y"), target.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - target).alias("w"))))
     rows = x.select("features", pair.alias("r")).select("features", F.col("r.y").alias("y"), F.col("r.w").alias("w")).where("w > 0")
-    return ScoreModel(f, LogisticRegression(labelCol="y", weightCol="w", maxIter=iterations, regParam=0.01).fit(rows))
+    return ScoreModel(f, LogisticRegression(labelCol="y", weightCol="w", maxIter=iterations, regParam=0.001, standardization=False).fit(rows))
 
 
-def train_multilabel(df: DataFrame, text: str, labels: list[str], features: int = 1 << 14, iterations: int = 20) -> dict[str, ScoreModel]:
+def train_multilabel(df: DataFrame, text: str, labels: list[str], features: int = 1 << 16, iterations: int = 20) -> dict[str, ScoreModel]:
     """One weighted model per label; labels may be soft (0..1)."""
     return {l: train_binary(df.withColumn("_hard", (F.col(l) > 0.5).cast("int")).withColumn("_soft", F.col(l).cast("double")), text, "_hard", "_soft", 1.0, features, iterations) for l in labels}
 

@@ -7,10 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import WS, norm_key, norm_ws, sentences, u
+from ..functions.keys import WS, h32, norm_key, norm_ws, sentences, u
 from ..functions.text import ends_sentence, english_like, letter_share, script_frac
 from ..functions.units import explode_rows, pin, sentence_window, short_span
-from ..operators import augment, compress, dedup, filters, joins, labels, metrics, passages, profile, retrieval, sampling, seqlabel, spans
+from ..operators import augment, compress, dedup, filters, joins, labels, metrics, ml, passages, profile, retrieval, sampling, seqlabel, spans
 from ..session import materialise
 from ..sources.readers import pages_text
 
@@ -143,6 +143,16 @@ def augment_table(df: DataFrame, evals: DataFrame, id_col: str, text: str, label
     return df.withColumn("augmented", F.lit(0)).unionByName(new.withColumn("augmented", F.lit(1)))
 
 
+def junk_predictions(df: DataFrame, text: str, label: str, folds: int = 3, seed=0) -> DataFrame:
+    """Rows with `pred`, a class from a detector that was fitted on the other folds; rows of one text share a fold."""
+    t = materialise(df.withColumn("_fold", F.pmod(h32(seed, text), F.lit(folds))))  # read once per fold and side
+    out = None
+    for f in range(folds):
+        part = ml.train_lid(t.where(F.col("_fold") != f), text, label).transform(t.where(F.col("_fold") == f))
+        out = part if out is None else out.unionByName(part)
+    return out.drop("_fold")
+
+
 def evaluation_report(preds: DataFrame, gold: str = "gold", score: str = "score", lang: str = "lang", set_col: str = "set") -> DataFrame:
     """All sets and languages in one job: long table (set, lang, metric, value); lang = 'all' for the pooled set."""
     by = ["set", "lang"]
