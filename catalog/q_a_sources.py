@@ -24,6 +24,24 @@ def _(spark, d):
                           ["doc_id"]).select("doc_id", "lang")
 
 
+QUOTAS = {"en": 40, "de": 20, "es": 15, "fr": 10}
+
+
+def pool_files(spark, d, n=8):
+    """Documents as n files, by id."""
+    path, t = scratch(spark), docs(spark, d, "doc_id", "lang", "text")
+    for i in range(n):
+        t.where(F.col("doc_id") % n == i).coalesce(1).write.parquet(f"{path}/{i:03}")
+    return [f"{path}/{i:03}" for i in range(n)]
+
+
+@query("a2_scan_until_full", f"""select doc_id, lang from (select doc_id, lang, row_number() over (partition by lang order by doc_id % 8, {q.h32(2, 'doc_id')}, doc_id) rn from documents where length(text) >= 100)
+where rn <= case lang when 'en' then 40 when 'de' then 20 when 'es' then 15 when 'fr' then 10 else 0 end""")
+def _(spark, d):
+    rows, _ = S.read_until_full(spark, pool_files(spark, d), "lang", QUOTAS, 2, ["doc_id"], F.length("text") >= 100, ["doc_id", "lang"])
+    return rows
+
+
 ROUND_TRIP = "select doc_id, lang, length(text)::BIGINT as n, md5(text) as h from documents"
 
 

@@ -68,6 +68,20 @@ def _(spark, d):
     return p.select("key", "lang", "pool", F.md5("passage").alias("h"))
 
 
+URLS = {"mobile": r"^https?://m\.", "fr": "/fr/", "paged": r"[?&]page="}
+
+
+@query("w3_url_pool", f"""with src as (select 'page:' || page_id as key, case when regexp_matches(url, '^https?://m\\.') then 'mobile' when regexp_matches(url, '/fr/') then 'fr' when regexp_matches(url, '[?&]page=') then 'paged' else 'other' end as cls,
+   regexp_extract(html, '(?i)<html[^>]*lang="([a-z]+)"', 1) as lang, {PAGE} as text, page_id::VARCHAR as id from pages),
+ s as (select key, cls, lang, id, {q.sents('text', 15)} as s from src where cls not in ('mobile', 'paged')), w as (select key, cls, lang, array_to_string(s[({q.h32('6.i', 'id')} % len(s) + 1)::INT : ({q.h32('6.i', 'id')} % len(s) + {q.h32('6.k', 'id')} % 5 + 2)::INT], ' ') as p from s where len(s) > 0),
+ o as (select min(key) as key from w where length(p) between 120 and 1200 group by p),
+ c as (select key, cls, lang, p from w join o using (key) qualify row_number() over (partition by lang order by {q.h32(6, 'key')}, key) <= 40)
+select (row_number() over (order by {q.h32(5, 'key')}, key) - 1)::BIGINT as pid, key, lang, cls, md5(p) as h from c""")
+def _(spark, d):
+    p = W.url_pool(table(spark, d, "pages"), URLS, ["mobile", "paged"], 40, seed=6)
+    return p.select("pid", "key", "lang", "cls", F.md5("passage").alias("h"))
+
+
 @query("w4_language_id_table")
 def _(spark, d):
     code = F.when(F.col("lang") == "de", "deu_Latn").when(F.col("lang") == "fr", "fra_Latn").when(F.col("lang") == "es", "spa_Latn").otherwise("eng_Latn")

@@ -12,7 +12,7 @@ from ..functions.text import ends_sentence, english_like, letter_share, script_f
 from ..functions.units import explode_rows, pin, sentence_window, short_span
 from ..operators import augment, compress, dedup, filters, joins, labels, metrics, ml, passages, profile, retrieval, sampling, seqlabel, spans
 from ..session import materialise
-from ..sources.readers import pages_text
+from ..sources.readers import pages_text, with_ids
 
 
 def training_table(df: DataFrame, evals: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "label", group: str = "source",
@@ -51,9 +51,20 @@ def passage_pool(tables: list[tuple[DataFrame, str]], per_lang: int, overrides:
     for df, name in tables:
         p = passages.passages(df, "key", "text", 2, 6, lo, hi, seed).select(F.concat_ws(":", F.lit(name), "key").alias("key"), "lang", "passage", F.lit(name).alias("pool"))
         out = p if out is None else out.unionByName(p)
-    # dedup and quota read the passages four times: cutting sentences once and writing the passages is cheaper
-    one = dedup.dedup(materialise(out), ["passage"], "key")
-    return sampling.quota(one, ["lang"], per_lang, seed, ["key"], overrides)
+    # written once with their digests: duplicates and quotas are settled on keys, and the passages are read once more at the end
+    rows = materialise(out.withColumn("_k", dedup._digest([F.col("passage")])))
+    one = rows.groupBy("_k").agg(F.min(F.struct("key", "lang")).alias("r")).select("r.*")
+    chosen = sampling.quota(one, ["lang"], per_lang, seed, ["key"], overrides)
+    return rows.drop("_k", "lang").join(chosen, "key").select("key", "lang", "passage", "pool")
+
+
+def url_pool(pages: DataFrame, patterns: Mapping[str, str], drop: list[str], per_lang: int, lo: int = 120, hi: int = 1200, seed=0) -> DataFrame:
+    """Passages of pages whose URL is of no dropped class, with dense ids: (pid, key, lang, cls, passage)."""
+    cls = filters.url_class("url", patterns)
+    kept = pages.withColumn("cls", cls).where(~F.col("cls").isin(*drop))
+    pool = passage_pool([(page_table(kept), "page")], per_lang, None, lo, hi, seed)
+    of = kept.select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("key"), "cls")
+    return with_ids(pool.join(of, "key"), ["key"]).select("pid", "key", "lang", "cls", "passage")
 
 
 def page_table(pages: DataFrame) -> DataFrame:

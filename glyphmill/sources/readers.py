@@ -5,10 +5,13 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.keys import h32
+from ..session import materialise
+
 
 def read_table(spark: SparkSession, folder: str, name: str, cols: list[str] | None = None) -> DataFrame:
     """A Parquet table. Splits follow spark.sql.files.maxPartitionBytes; a session that sets glyphmill.read.partitions (one
@@ -97,7 +100,7 @@ def pages_text(df: DataFrame, page: str = "html") -> Column:
     """Visible text of a page: scripts, styles, comments and tags out, all entities decoded, blanks collapsed."""
     t = F.regexp_replace(F.col(page), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
-    t = F.when(t.contains("&"), _unescape(t)).otherwise(t)
+    t = _unescape(t)  # once for every page: a condition on the text would have the patterns run again for each of its branches
     return F.trim(F.regexp_replace(t, r"[\s\x{A0}]+", " "))
 
 
@@ -114,3 +117,34 @@ def with_ids(df: DataFrame, order: list[str], start: int = 0, name: str = "pid",
 
     ranked = hash_rank(df, [], salt, order, bits=buckets.bit_length() - 1)
     return ranked.withColumn(name, F.col("_rank") - 1 + F.lit(start)).drop("_rank")
+
+
+def read_until_full(spark: SparkSession, paths: list[str], by: str, quotas: dict, seed, key: list[str], keep: Column | None = None,
+                    cols: list[str] | None = None, first: int = 1, grow: int = 4) -> tuple[DataFrame, int]:
+    """(rows, number of files read): the first quotas[g] rows of every group g, by file and inside a file by hash of the key.
+
+    Files are read in rounds of `first`, first * grow, ... files, and reading stops once every quota is full; what a round brings
+    for groups that are full already is dropped at the scan. The rows don't depend on the rounds. Parquet files that Spark can
+    list, in the given order; a group's rows of one round are cut to its quota in every task before they are shuffled."""
+    need, at, step, parts = dict(quotas), 0, first, []
+    rank = Window.partitionBy(by).orderBy("_file", h32(seed, *key), *key)
+    while at < len(paths) and any(n > 0 for n in need.values()):
+        files = paths[at:at + step]
+        rows = None
+        for i, path in enumerate(files):
+            one = spark.read.parquet(path)
+            one = one.where(keep) if keep is not None else one
+            one = (one.select(*cols) if cols else one).withColumn("_file", F.lit(i))
+            rows = one if rows is None else rows.unionByName(one)
+        left = {g: n for g, n in need.items() if n > 0}
+        limit = F.coalesce(*[F.when(F.col(by) == g, F.lit(n)) for g, n in left.items()])
+        some = rows.where(F.col(by).isin(*left)).withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= max(left.values())).where(F.col("_r") <= limit)
+        part = materialise(some.drop("_file", "_r"))
+        for r in part.groupBy(by).count().collect():  # a row per wanted group
+            need[r[0]] -= r["count"]
+        parts.append(part)
+        at, step = at + len(files), step * grow
+    out = parts[0] if parts else spark.read.parquet(*paths).select(*(cols or ["*"])).limit(0)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out, at

@@ -250,3 +250,19 @@ def test_json_leaves_below_thousands_of_brackets(spark):
     assert sorted(got) == [(1, 3, 70), (1, 3 + 20_000 * 5, 72)]
     flat = '{"a": ["x", {"b": "y\\\\n"}, 3], "c": ""}'
     assert B._deep_leaves(flat) == B._string_leaves(flat)
+
+
+def test_scan_stops_when_the_quotas_are_full(spark):
+    import __spark_entry__  # noqa: F401  (registers the queries)
+    from catalog.q_a_sources import pool_files
+    from glyphmill.sources import read_until_full
+
+    paths = pool_files(spark, "/root/testdata/sf0.01")
+    got = {}
+    for first, grow in ((1, 1), (1, 4), (3, 2), (8, 1)):
+        rows, files = read_until_full(spark, paths, "lang", {"en": 40, "de": 10}, 2, ["doc_id"], None, ["doc_id", "lang"], first, grow)
+        got[first, grow] = (sorted(map(tuple, rows.collect())), files)
+    assert len({str(rows) for rows, _ in got.values()}) == 1 and len(got[1, 1][0]) == 50
+    assert got[1, 1][1] < 4 and got[8, 1][1] == 8
+    rows, files = read_until_full(spark, paths, "lang", {"xx": 5, "en": 10 ** 6}, 2, ["doc_id"], None, ["doc_id", "lang"])
+    assert files == 8 and rows.count() == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").count()
