@@ -142,7 +142,10 @@ def _(spark, d):
     return docs(spark, d, "doc_id", "text").where(X.ends_sentence("text")).select("doc_id")
 
 
-@query("b13_mark_density")
+@query("b13_mark_density", f"""with w as (select doc_id, unnest(l) as tok, generate_subscripts(l, 1) as i from (select doc_id, regexp_split_to_array({q.strip('text')}, '\\s+') as l from documents)),
+ f as (select doc_id, i, regexp_matches(tok, '[.,?:!]$')::INT as m from w), r as (select *, sum(m) over (partition by doc_id order by i rows unbounded preceding) as g from f),
+ z as (select doc_id, g, sum(1 - m) as gap from r group by all), n as (select doc_id, count(*) as n, sum(m) as marks from f group by doc_id)
+select n.doc_id, n.n::BIGINT as n_units from n join (select doc_id, max(gap) as gap from z group by doc_id) x using (doc_id) where marks > 0 and marks <= n * 0.35 and gap < 60""")
 def _(spark, d):
     # per document: words, 1 where a word carries a mark
     labs = F.transform(F.split(K.strip("text"), r"\s+"), lambda w: F.when(w.rlike(r"[.,?:!]$"), 1).otherwise(0))

@@ -251,7 +251,18 @@ def _(spark, d):
     return t.select("doc_id", F.md5(Q.restore("units", "lang")).alias("h"))
 
 
-@query("h40_strip_marks_text")
+def _held(c):
+    """Points, commas and colons between digits as private characters; a digit may stand between two of them."""
+    for mark, held in ((r"\.", "\ue000"), (",", "\ue001"), (":", "\ue002")):
+        for _ in range(2):
+            c = rf"regexp_replace({c}, '(\p{{Nd}}){mark}(\p{{Nd}})', '\1{held}\2', 'g')"
+    return c
+
+
+_BARE = f"translate(regexp_replace({_held('text')}, '[{Q._OTHER.replace(chr(39), chr(39) * 2)}.,:{Q.DROPPED}]', '', 'g'), '\ue000\ue001\ue002', '.,:')"
+
+
+@query("h40_strip_marks_text", f"select doc_id, length(t)::BIGINT as n, md5(t) as h from (select doc_id, {_BARE} as t from documents)")
 def _(spark, d):
     return docs(spark, d, "doc_id", "text").select("doc_id", F.length(Q.strip_marks_text("text")).alias("n"), F.md5(Q.strip_marks_text("text")).alias("h"))
 
