@@ -12,6 +12,8 @@ from glyphmill.operators import seqlabel as Q
 from . import query
 from . import sqlkit as q
 from .common import docs, labelled, table
+from .q_b_filters import ENGLISH_SQL, _sql_frac
+from .q_h_text import rfind
 
 
 def tr(table):
@@ -158,7 +160,12 @@ def _(spark, d):
     return A.no_context_copies(t, "context", "id", 0.3, 15).select("id", F.md5("context").alias("h"), "copy")
 
 
-@query("i16_short_copies")
+@query("i16_short_copies", f"""with a as (select doc_id, lang || '_Latn' as label, text as s, {q.h32('16.l', 'doc_id')} % 31 + 10 as n, {q.h32('16.s', 'doc_id')} as hs from documents),
+ b as (select *, hs % (greatest(length(s) - n, 0) + 1) as ps from a), c as (select *, substr(s, (ps + 1)::INT, n::INT) as sp from b),
+ e as (select *, instr(trim(sp, ' '), ' ') > 0 as spaced from c), f as (select *, case when spaced and ps > 0 then substr(sp, instr(sp, ' ') + 1) else sp end as hd from e), g as (select *, {rfind('hd')} as tl from f),
+ o as (select doc_id, label, trim(case when length(s) > n then case when spaced and tl > 5 then substr(hd, 1, tl) else hd end else s end, ' ') as text from g),
+ k as (select *, regexp_extract_all(lower(text), '[a-z]+') as w from o where length(text) >= 5)
+select min(doc_id) as doc_id, arg_min(label, doc_id) as label, text from k where {_sql_frac(chr(92) + 'p{Latin}', '1.0')} >= 0.5 and not {ENGLISH_SQL} group by text""")
 def _(spark, d):
     t = docs(spark, d, "doc_id", "lang", "text").withColumn("label", F.concat(F.col("lang"), F.lit("_Latn")))
     return A.short_copies(t, "text", "doc_id", "label", seed=16).select("doc_id", "label", "text")
