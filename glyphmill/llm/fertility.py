@@ -5,7 +5,9 @@ the entropy of the text's tokens against that of equally many different ones. Te
 world doesn't fit - encoded data, broken encodings, symbol noise, repetition - leaves the usual range. The usual range is taken per
 group (language, or else the script of most letters): from the quartiles over all documents of the group, widened by REACH times
 their distance and at least by the figure's own slack; for a text of n tokens the widening grows by sqrt(1 + FEW / n), as figures of
-short texts vary more, and in a group of m texts by sqrt(1 + TEXTS / m), as quartiles of few texts vary more.
+short texts vary more, and in a group of m texts by sqrt(1 + TEXTS / m), as quartiles of few texts vary more. Figures depend on
+the length, so a group is also cut into classes, LENGTHS for every doubling of the characters, with narrower bands of their own: the
+limits that hold are those of class and group, mixed by m / (m + TEXTS) for a class of m texts.
 A text is rejected outside a band, or if it fails the base rules.
 
 Quartiles come from counts on a fixed grid, so they are exact on it, equal for any partitioning, and a hot group is one row per
@@ -32,6 +34,8 @@ from .common import saved
 REACH = 4.0
 FEW = 400
 TEXTS = 10
+#: Classes of length per doubling of a text's characters, and their least widening as a share of a group's.
+LENGTHS, CLASS_SLACK = 2, 0.25
 #: figure -> (grid step, least widening)
 FIGURES = {"chars_per_token": (0.01, 0.1), "byte_share": (0.001, 0.02), "evenness": (0.01, 0.1)}
 WINDOW = 8
@@ -161,33 +165,39 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def bands(rows: DataFrame) -> DataFrame:
-    """(group, figure, low, high, widen) from the rows of the group that pass the base rules."""
+def bands(rows: DataFrame, group: str = "group", slack: float = 1.0) -> DataFrame:
+    """(group, figure, low, high, widen, total) from the rows of the group that pass the base rules."""
     cells = F.array(*[F.struct(F.lit(f).alias("figure"), F.round(F.col(f) / step).cast("long").alias("cell")) for f, (step, _) in FIGURES.items()])
-    each = rows.where(~base_failed()).select("group", F.explode(cells).alias("c")).groupBy("group", "c.figure", "c.cell").agg(F.count(F.lit(1)).alias("n"))
+    each = rows.where(~base_failed()).select(F.col(group).alias("group"), F.explode(cells).alias("c")).groupBy("group", "c.figure", "c.cell").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("group", "figure")
     each = each.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("cell")))
     quarter = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("cell")))
     out = each.groupBy("group", "figure").agg(quarter(0.25).alias("q1"), quarter(0.75).alias("q3"), F.max("total").alias("total"))
     step = F.element_at(F.create_map(*[F.lit(x) for f, (s, _) in FIGURES.items() for x in (f, s)]), F.col("figure"))
-    slack = F.element_at(F.create_map(*[F.lit(x) for f, (_, s) in FIGURES.items() for x in (f, s)]), F.col("figure"))
-    widen = F.greatest(REACH * (F.col("q3") - F.col("q1")) * step, slack) * F.sqrt(1 + TEXTS / F.col("total"))
-    return out.select(
-        "group", "figure", (F.col("q1") * step).alias("low"), (F.col("q3") * step).alias("high"), widen.alias("widen"))
+    least = F.element_at(F.create_map(*[F.lit(x) for f, (_, s) in FIGURES.items() for x in (f, slack * s)]), F.col("figure"))
+    widen = F.greatest(REACH * (F.col("q3") - F.col("q1")) * step, least) * F.sqrt(1 + TEXTS / F.col("total"))
+    return out.select("group", "figure", (F.col("q1") * step).alias("low"), (F.col("q3") * step).alias("high"), widen.alias("widen"), "total")
+
+
+def _by_group(found: DataFrame, group: str, name: str) -> DataFrame:
+    """(<group>, <name>): figure -> band, a row per group."""
+    band = F.map_from_entries(F.collect_list(F.struct("figure", F.struct("low", "high", "widen", "total"))))
+    return saved(found.groupBy(F.col("group").alias(group)).agg(band.alias(name)), "fertility-bands")
 
 
 def judge(docs: DataFrame, path: str) -> DataFrame:
     """Figures, base_failed, kept and the figures outside their band, of every row."""
     rows = figures(docs, path).withColumn("group", F.coalesce(F.concat(F.lit("lang "), "lang"), F.concat(F.lit("script "), "script")))
-    rows = saved(rows, "fertility")
-    band = F.map_from_entries(F.collect_list(F.struct("figure", F.struct("low", "high", "widen"))))
-    per = saved(bands(rows).groupBy("group").agg(band.alias("band")), "fertility-bands")  # a row per group
-    rows = rows.join(per, "group", "left")
+    length = F.floor(LENGTHS * F.log2(F.greatest("word_chars", F.lit(1)))).cast("string")
+    rows = saved(rows.withColumn("class", F.concat_ws(" ", "group", length)), "fertility")
+    rows = rows.join(_by_group(bands(rows), "group", "band"), "group", "left").join(_by_group(bands(rows, "class", CLASS_SLACK), "class", "own"), "class", "left")
     more = F.sqrt(1 + FEW / F.col("n_tokens"))
 
     def beyond(f: str) -> Column:
-        at = F.col("band")[f]
-        return F.when((F.col(f) < at["low"] - at["widen"] * more) | (F.col(f) > at["high"] + at["widen"] * more), F.lit(f))
+        at, own = F.col("band")[f], F.col("own")[f]
+        share = F.coalesce(own["total"] / (own["total"] + TEXTS), F.lit(0.0))  # a class counts by its number of texts
+        limit = lambda side, sign: F.coalesce(share * (own[side] + sign * own["widen"]), F.lit(0.0)) + (1 - share) * (at[side] + sign * at["widen"] * more)
+        return F.when((F.col(f) < limit("low", -1)) | (F.col(f) > limit("high", 1)), F.lit(f))
 
     rows = rows.withColumn("outside", F.filter(F.array(*[beyond(f) for f in FIGURES]), lambda x: x.isNotNull()))
     return rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0))
