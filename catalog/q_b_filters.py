@@ -58,7 +58,13 @@ def _(spark, d):
                                                    F.pmod("doc_id", F.lit(50)).alias("id50"))
 
 
-@query("r2_crc_mod")
+# CRC-32 by its table, which follows from the polynomial
+CRC = """crc_table as (select list(c order by i) as t from (select i, list_reduce(list_prepend(i::UBIGINT, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i))),
+ crc as (select doc_id, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda j: ascii(substr(doc_id::VARCHAR, j::INT, 1))::UBIGINT)),
+   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::INT + 1])), 4294967295) as x from documents, crc_table)"""
+
+
+@query("r2_crc_mod", f"with {CRC} select doc_id, (x % 1000)::BIGINT as bucket, (x % 1000 < 15)::INT::BIGINT as val from crc")
 def _(spark, d):
     return docs(spark, d, "doc_id").select("doc_id", K.crc_mod("doc_id", 1000).alias("bucket"), (K.crc_mod("doc_id", 1000) < 15).alias("val"))
 
