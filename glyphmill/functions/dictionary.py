@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .units import slices, text_bytes
+
 SPANS = "array<struct<start:int,end:int,label:string>>"
 Span = tuple[int, int, "str | None"]
 
@@ -94,15 +96,17 @@ def _spans_array(rows: list[list[Span] | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each, mask=pa.array([r is None for r in rows], pa.bool_()))
 
 
-def _arrow(texts: pa.Array, entities: pa.Array, least: int, choose: Callable[[str, list[Span], int], list[Span] | None]) -> pa.Array:
-    out = []
-    for i, (text, own) in enumerate(zip(texts.to_pylist(), _rows(entities, ["text", "label"]))):
-        if text is None or own is None:
-            out.append(None)
-            continue
-        trimmed = [(e.strip(" "), label) for e, label in own if e is not None]
-        out.append(choose(text, located(text, [(e, label) for e, label in trimmed if len(e) >= max(least, 1)]), i))
-    return _spans_array(out)
+def _arrow(column: pa.Array, lists: pa.Array, least: int, choose: Callable[[str, list[Span]], list[Span]]) -> Iterator[pa.Array]:
+    """Spans of a batch, by slices of its texts: a text's spans take many times its own memory."""
+    for texts, entities in slices(text_bytes(column), column, lists):
+        out = []
+        for text, own in zip(texts.to_pylist(), _rows(entities, ["text", "label"])):
+            if text is None or own is None:
+                out.append(None)
+                continue
+            trimmed = [(e.strip(" "), label) for e, label in own if e is not None]
+            out.append(choose(text, located(text, [(e, label) for e, label in trimmed if len(e) >= max(least, 1)])))
+        yield _spans_array(out)
 
 
 def locate(text: Column, entities: Column, least: int) -> Column:
@@ -111,7 +115,7 @@ def locate(text: Column, entities: Column, least: int) -> Column:
     @F.arrow_udf(SPANS)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, ents in batches:
-            yield _arrow(texts, ents, least, lambda text, spans, i: spans)
+            yield from _arrow(texts, ents, least, lambda text, spans: spans)
 
     return run(text, entities)
 
@@ -122,7 +126,7 @@ def align(text: Column, entities: Column) -> Column:
     @F.arrow_udf(SPANS)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, ents in batches:
-            yield _arrow(texts, ents, 1, lambda text, spans, i: longest_free(len(text), [s for s in spans if not_in_ascii_word(text, s)], []))
+            yield from _arrow(texts, ents, 1, lambda text, spans: longest_free(len(text), [s for s in spans if not_in_ascii_word(text, s)], []))
 
     return run(text, entities)
 
@@ -144,8 +148,9 @@ def propagated(text: str, spans: list[Span], names: tuple[str, ...], least: int)
 def propagate(text: Column, spans: Column, names: tuple[str, ...], least: int = 2) -> Column:
     @F.arrow_udf(SPANS)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, given in batches:
-            yield _spans_array([None if t is None or own is None else propagated(t, own, names, least)
-                                for t, own in zip(texts.to_pylist(), _rows(given, ["start", "end", "label"]))])
+        for column, given in batches:
+            for texts, spans in slices(text_bytes(column), column, given):
+                yield _spans_array([None if t is None or own is None else propagated(t, own, names, least)
+                                    for t, own in zip(texts.to_pylist(), _rows(spans, ["start", "end", "label"]))])
 
     return run(text, spans)

@@ -1,10 +1,9 @@
 """Units of text (sentence windows, words, characters) with character offsets, as array expressions."""
 
-import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -14,7 +13,6 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .keys import NO_SPACE_LANGS, WS, _c, h32, sentences, strip
 
 UNIT = "array<struct<start:int,end:int>>"
-_WORD, _CHAR = re.compile(r"\S+"), re.compile(r"\S")
 
 
 def explode_rows(df: DataFrame, cols: list, arr: Column | str, name: str, pos: str = "pos") -> DataFrame:
@@ -99,31 +97,125 @@ def literal_spans(text: Column, needle: Column) -> Column:
         lambda acc: acc["out"]))
 
 
-def _offsets(text: pd.Series, single: pd.Series) -> pd.DataFrame:
-    starts, ends = [], []
-    for t, one in zip(text, single):
-        spans = [m.span() for m in (_CHAR if one else _WORD).finditer(t or "")]
-        starts.append([a for a, _ in spans])
-        ends.append([b for _, b in spans])
-    return pd.DataFrame({"starts": starts, "ends": ends})
+# ---- Arrow functions over texts: slices of a batch as code points -------------------------------------------------------
 
+#: Own choice: bytes that an Arrow function turns into Python or NumPy values at once; a larger row is a slice of its own.
+SLICE = 1 << 19
 
-_unit_offsets = F.pandas_udf(_offsets, StructType([StructField("starts", ArrayType(IntegerType())),
-                                                   StructField("ends", ArrayType(IntegerType()))]))
+
+def slices(sizes: np.ndarray, *columns: pa.Array) -> Iterator[tuple[pa.Array, ...]]:
+    """Consecutive rows of a batch in slices of about SLICE bytes, so that memory doesn't follow the rows of a batch."""
+    if not len(sizes):
+        return
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
+        yield tuple(c.slice(a, b - a) for c in columns)
+
+
+def text_bytes(texts: pa.Array) -> np.ndarray:
+    """Size of each text, and a little for the row itself."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64") + 16
+
+
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+_ALNUM = np.full(0x110000, -1, dtype="int8")  # filled as characters occur
+
+
+def is_space(codes: np.ndarray) -> np.ndarray:
+    return _SPACE[np.minimum(codes, 0x3001)]
+
+
+def is_alnum(codes: np.ndarray) -> np.ndarray:
+    """Letters and numbers."""
+    found = _ALNUM[codes]
+    if (found < 0).any():
+        new = np.unique(codes[found < 0])
+        _ALNUM[new] = [unicodedata.category(chr(c))[0] in "LN" for c in new.tolist()]
+        found = _ALNUM[codes]
+    return found > 0
+
+
+class Points:
+    """Code points of a slice of texts, a line feed behind each; `at` has the place of every text and the end."""
+
+    def __init__(self, texts: pa.Array):
+        own = [t or "" for t in texts.to_pylist()]
+        self.n = np.array([len(t) for t in own], dtype="int64")
+        self.at = np.concatenate([[0], np.cumsum(self.n + 1)])
+        self.codes = np.frombuffer(("\n".join(own) + "\n" * bool(own)).encode("utf-32-le"), "<u4")
+
+    def places(self, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, given start, and the start and size of what `cut` takes, of every span of the lists (nulls count as empty)."""
+        flat = spans.flatten()
+        start, end = (pc.fill_null(flat.field(k), 0).to_numpy(zero_copy_only=False).astype("int64") for k in ("start", "end"))
+        row = np.repeat(np.arange(len(spans)), pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+        n = self.n[row]
+        a = np.where(start >= 0, start, np.where(start == -1, 0, n + start + 1))  # substring counts negative places from the end
+        b = np.clip(a + np.maximum(end - start, 0), 0, n)
+        a = np.clip(a, 0, n)
+        return row, start, self.at[row] + a, np.maximum(b - a, 0)
+
+
+def gathered(codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The pieces codes[start:start + size] one behind the other."""
+    ends = np.cumsum(size)
+    return codes[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
+
+
+def strings(codes: np.ndarray, size: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    """Strings of the given numbers of code points, one behind the other."""
+    width = 1 + (codes >= 0x80).astype("int64") + (codes >= 0x800) + (codes >= 0x10000)
+    ends = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], np.cumsum(size)])].astype("int32")
+    data = codes.tobytes().decode("utf-32-le").encode()
+    out = pa.StringArray.from_buffers(len(size), pa.py_buffer(ends.tobytes()), pa.py_buffer(data))
+    return out if null is None or not null.any() else pc.if_else(pa.array(null), pa.scalar(None, pa.string()), out)
+
+
+def lists(flat: pa.Array, like: pa.Array) -> pa.Array:
+    """The elements as lists of the lengths (and the nulls) of other lists."""
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(like), 0).to_numpy(zero_copy_only=False))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pc.is_null(like))
+
+
+@F.arrow_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
+def _unit_offsets(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for column, flags in batches:
+        for texts, single in slices(text_bytes(column), column, flags):
+            p = Points(texts)
+            solid = ~is_space(p.codes)
+            alone = np.repeat(single.to_numpy(zero_copy_only=False).astype(bool), p.n + 1)
+            start = np.flatnonzero(solid & (alone | ~np.concatenate([[False], solid[:-1]])))
+            end = np.flatnonzero(solid & (alone | ~np.concatenate([solid[1:], [False]]))) + 1
+            ends = np.searchsorted(start, p.at)
+            base = np.repeat(p.at[:-1], np.diff(ends))
+            units = pa.StructArray.from_arrays([pa.array(start - base, pa.int32()), pa.array(end - base, pa.int32())], ["start", "end"])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), units)
 
 
 def word_units(text: Column | str, lang: Column | str | None = None, nospace: tuple = NO_SPACE_LANGS) -> Column:
     """Spans of white-space words, or of single non-space characters for languages written without spaces.
 
-    Running offsets over all words of a long text would be quadratic with array expressions, so this is an Arrow batch
-    function; the spans themselves are handled in the JVM."""
+    Running offsets over all words of a long text would be quadratic with array expressions, so this is an Arrow function
+    over slices of a batch; the spans themselves are handled in the JVM."""
     single = F.lit(False) if lang is None else F.coalesce(_c(lang).isin(*nospace), F.lit(False))
-    o = _unit_offsets(_c(text), single)
-    return F.zip_with(o["starts"], o["ends"], lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    return _unit_offsets(_c(text), single)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _unit_texts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for column, spans in batches:
+        for texts, own in slices(text_bytes(column), column, spans):
+            p = Points(texts)
+            row, _, start, size = p.places(own)
+            flat = own.flatten()
+            lost = np.array(pc.is_null(texts))[row] | np.array(pc.is_null(flat.field("start"))) | np.array(pc.is_null(flat.field("end")))
+            yield lists(strings(gathered(p.codes, start, size), size, lost), own)
 
 
 def unit_texts(text: Column | str, units: Column | str) -> Column:
-    return F.transform(_c(units), lambda x: cut(_c(text), x["start"], x["end"]))
+    """What the units cover. A substring of a long text is found by counting from its beginning, once per unit; here the text
+    is read once."""
+    return _unit_texts(_c(text), F.transform(_c(units), lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"))))
 
 
 # ---- spans of a document cut at hashed places -------------------------------------------------------------------------
