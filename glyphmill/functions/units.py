@@ -177,28 +177,54 @@ def lists(flat: pa.Array, like: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pc.is_null(like))
 
 
-@F.arrow_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
+def _found(texts: pa.Array, single: pa.Array) -> tuple[Points, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of all units among the code points of a slice, the place of each text's first unit, and its first place."""
+    p = Points(texts)
+    solid = ~is_space(p.codes)
+    alone = np.repeat(single.to_numpy(zero_copy_only=False).astype(bool), p.n + 1)
+    start = np.flatnonzero(solid & (alone | ~np.concatenate([[False], solid[:-1]])))
+    end = np.flatnonzero(solid & (alone | ~np.concatenate([solid[1:], [False]]))) + 1
+    ends = np.searchsorted(start, p.at)
+    return p, start, end, ends, np.repeat(p.at[:-1], np.diff(ends))
+
+
+_PLACE = [StructField("start", IntegerType()), StructField("end", IntegerType())]
+
+
+@F.arrow_udf(ArrayType(StructType(_PLACE)))
 def _unit_offsets(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for column, flags in batches:
         for texts, single in slices(text_bytes(column), column, flags):
-            p = Points(texts)
-            solid = ~is_space(p.codes)
-            alone = np.repeat(single.to_numpy(zero_copy_only=False).astype(bool), p.n + 1)
-            start = np.flatnonzero(solid & (alone | ~np.concatenate([[False], solid[:-1]])))
-            end = np.flatnonzero(solid & (alone | ~np.concatenate([solid[1:], [False]]))) + 1
-            ends = np.searchsorted(start, p.at)
-            base = np.repeat(p.at[:-1], np.diff(ends))
+            _, start, end, ends, base = _found(texts, single)
             units = pa.StructArray.from_arrays([pa.array(start - base, pa.int32()), pa.array(end - base, pa.int32())], ["start", "end"])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), units)
 
 
+@F.arrow_udf(ArrayType(StructType([*_PLACE, StructField("word", StringType())])))
+def _unit_words(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for column, flags in batches:
+        for texts, single in slices(text_bytes(column), column, flags):
+            p, start, end, ends, base = _found(texts, single)
+            words = strings(gathered(p.codes, start, end - start), end - start)
+            units = pa.StructArray.from_arrays([pa.array(start - base, pa.int32()), pa.array(end - base, pa.int32()), words], ["start", "end", "word"])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), units)
+
+
+def _single(lang: Column | str | None, nospace: tuple) -> Column:
+    return F.lit(False) if lang is None else F.coalesce(_c(lang).isin(*nospace), F.lit(False))
+
+
 def word_units(text: Column | str, lang: Column | str | None = None, nospace: tuple = NO_SPACE_LANGS) -> Column:
     """Spans of white-space words, or of single non-space characters for languages written without spaces.
 
     Running offsets over all words of a long text would be quadratic with array expressions, so this is an Arrow function
     over slices of a batch; the spans themselves are handled in the JVM."""
-    single = F.lit(False) if lang is None else F.coalesce(_c(lang).isin(*nospace), F.lit(False))
-    return _unit_offsets(_c(text), single)
+    return _unit_offsets(_c(text), _single(lang, nospace))
+
+
+def word_unit_texts(text: Column | str, lang: Column | str | None = None, nospace: tuple = NO_SPACE_LANGS) -> Column:
+    """The spans of `word_units` with what they cover: struct(start, end, word)."""
+    return _unit_words(_c(text), _single(lang, nospace))
 
 
 @F.arrow_udf(ArrayType(StringType()))
