@@ -1,6 +1,9 @@
 """Normalised keys, sentence splitting and order-free randomness shared by every job."""
 
-import pandas as pd
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -37,10 +40,16 @@ def norm_500(c: Column | str) -> Column:
     return F.substring(norm_key(c), 1, 500)
 
 
-@F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode NFKC; the JVM functions have no normal forms, so this is an Arrow batch function."""
-    return s.str.normalize("NFKC")
+#: Own choice: rows that an Arrow function on texts holds as Python strings at once.
+ROWS = 64
+
+
+@F.arrow_udf(StringType())
+def nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Unicode NFKC; the JVM functions have no normal forms, so this is an Arrow function, over a few rows at a time."""
+    for texts in batches:
+        for at in range(0, len(texts), ROWS):
+            yield pa.array([t if t is None else unicodedata.normalize("NFKC", t) for t in texts.slice(at, ROWS).to_pylist()], pa.string())
 
 
 def answer_tokens(c: Column | str, lang: Column | str | None = None) -> Column:
