@@ -174,7 +174,8 @@ def payment_snippets(df: DataFrame, key: str, name: str, seed=0, eval_share: flo
     held = u(f"{seed}.e", key) < eval_share
     pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), F.pmod(h32(f"{seed}.t", key), F.lit(len(xs))).cast("int"))
     digits = lambda tag, n: F.lpad(F.concat(h32(f"{seed}.{tag}1", key).cast("string"), h32(f"{seed}.{tag}2", key).cast("string")), n, "7")
-    card = luhn_complete(F.concat(F.lit("4"), digits("c", 14)))
+    df = pin(df, "_card", luhn_complete(F.concat(F.lit("4"), digits("c", 14))))
+    card = F.col("_card")
     spaced = F.concat_ws(" ", *[F.substring(card, 1 + 4 * i, 4) for i in range(4)])
     month = F.lpad((1 + F.pmod(h32(f"{seed}.m", key), F.lit(12))).cast("string"), 2, "0")
     year = (25 + F.pmod(h32(f"{seed}.y", key), F.lit(10))).cast("string")
@@ -183,7 +184,9 @@ def payment_snippets(df: DataFrame, key: str, name: str, seed=0, eval_share: flo
         F.lit("CARD"), v(F.when(u(f"{seed}.sp", key) < 0.5, spaced).otherwise(card), "CREDIT_CARD"), F.lit("EXP"), v(F.concat(month, F.lit("/"), year), "DATE"),
         F.lit("CVV"), v(F.lpad(F.pmod(h32(f"{seed}.v", key), F.lit(1000)).cast("string"), 3, "0"), "CREDIT_CARD_CVV"),
         F.lit("IBAN"), v(iban_complete(F.lit("DE"), digits("i", 18)), "BANK_ACCOUNT"), F.lit("NAME"), v(F.col(name), "PERSON"))
-    f = df.select(key, F.when(held, "eval").otherwise("train").alias("split"), fill_spans(F.when(held, pick(PAYMENT_EVAL)).otherwise(pick(PAYMENT_TRAIN)), slots).alias("_f"))
+    # numbers, slots and texts are made once per row, not at every place of a template that asks for them
+    f = pin(pin(df, "_slots", slots), "_f", fill_spans(F.when(held, pick(PAYMENT_EVAL)).otherwise(pick(PAYMENT_TRAIN)), F.col("_slots")))
+    f = f.select(key, F.when(held, "eval").otherwise("train").alias("split"), "_f")
     return f.select(key, F.col("_f.text").alias("text"), F.col("_f.spans").alias("spans"), "split")
 
 
