@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
-from pyspark.ml.feature import HashingTF, IndexToString, Normalizer, StringIndexer
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ..functions.units import pin
+from ..functions.units import Points, pin, slices, text_bytes
 
 
 class _Features:
@@ -41,25 +42,118 @@ class _Features:
         return F.transform(pos, lambda i: F.array_join(F.slice("_u", i, n), sep))
 
 
+def _bucket(gram: str | None, features: int) -> int:
+    """Bucket that HashingTF gives a term: its 32-bit murmur3 (seed 42) modulo the number of features."""
+    data, h, full = (gram or "").encode(), 42, 0xFFFFFFFF
+    if gram is None:
+        return h % features
+
+    def mix(h: int, k: int) -> int:
+        k = k * 0xCC9E2D51 & full
+        k = ((k << 15 | k >> 17) & full) * 0x1B873593 & full
+        h ^= k
+        return ((h << 13 | h >> 19) & full) * 5 + 0xE6546B64 & full
+
+    whole = len(data) // 4 * 4
+    for at in range(0, whole, 4):
+        h = mix(h, int.from_bytes(data[at:at + 4], "little"))
+    tail = int.from_bytes(data[whole:], "little")
+    if len(data) > whole:
+        tail = tail * 0xCC9E2D51 & full
+        h ^= ((tail << 15 | tail >> 17) & full) * 0x1B873593 & full
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & full
+    h = (h ^ h >> 13) * 0xC2B2AE35 & full
+    h ^= h >> 16
+    return (h - (1 << 32) if h >> 31 else h) % features
+
+
+class CharGrams:
+    """Buckets of the 1-, 2- and 3-grams of characters of lower-cased texts; a text shorter than n has itself as its n-gram."""
+
+    def __init__(self, features: int):
+        self.features, self.known = features, {}
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row, bucket) of every n-gram of a slice of texts."""
+        p = Points(texts)
+        codes, rows, keys = p.codes.astype("int64") + 1, [], []
+        row = np.repeat(np.arange(len(texts)), p.n + 1)
+        left = p.at[1:][row] - 1 - np.arange(len(codes))  # characters from here to the end of the text
+        grams = np.zeros(len(codes), dtype="int64")
+        for n in (1, 2, 3):
+            grams[:len(codes) - n + 1] |= codes[n - 1:] << 21 * (n - 1)
+            whole = left >= n
+            rows.append(row[whole])
+            keys.append(grams[whole])
+        keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        found = np.array([self.known.get(k, -1) for k in keys.tolist()], dtype="int64")
+        for i in np.flatnonzero(found < 0).tolist():
+            k = int(keys[i])
+            found[i] = _bucket("".join(chr((k >> s & 0x1FFFFF) - 1) for s in (0, 21, 42) if k >> s), self.features)
+            if len(self.known) < 1 << 18:
+                self.known[k] = found[i]
+        short = [(i, _bucket(t, self.features)) for i, t in zip(np.flatnonzero(p.n < 3).tolist(), texts.filter(pa.array(p.n < 3)).to_pylist()) for _ in range(3 - len(t or ""))]
+        rows.append(np.array([i for i, _ in short], dtype="int64"))
+        return np.concatenate(rows), np.concatenate([found[inverse], np.array([b for _, b in short], dtype="int64")])
+
+
 class LanguageModel:
-    """Fitted language identifier."""
+    """Fitted language identifier: multinomial naive Bayes with one row of log probabilities per class."""
 
-    def __init__(self, features: _Features, model: PipelineModel):
-        self.features, self.model = features, model
+    def __init__(self, text: str, labels: list[str], prior: np.ndarray, theta: np.ndarray):
+        self.text, self.labels, self.prior, self.theta = text, labels, prior, theta
 
     def transform(self, df: DataFrame, name: str = "pred") -> DataFrame:
-        out = self.model.transform(self.features(df))
-        return out.select(*df.columns, F.col("_label").alias(name), F.array_max(vector_to_array("probability")).alias("confidence"))
+        labels, prior, theta = self.labels, self.prior, np.ascontiguousarray(self.theta.T)
+
+        @F.arrow_udf(StructType([StructField("label", StringType()), StructField("confidence", DoubleType())]))
+        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            grams = CharGrams(len(theta))
+            for column in batches:
+                for (texts,) in slices(text_bytes(column), column):
+                    row, bucket = grams(texts)
+                    raw = prior + np.stack([np.bincount(row, weights=theta[bucket, k], minlength=len(texts)) for k in range(len(labels))], 1)
+                    p = np.exp(raw - raw.max(1, keepdims=True))
+                    best = raw.argmax(1)
+                    yield pa.StructArray.from_arrays([pa.array([labels[k] for k in best.tolist()], pa.string()), pa.array(p.max(1) / p.sum(1))], ["label", "confidence"])
+
+        out = pin(df, "_score", score(F.lower(F.col(self.text))))
+        return out.select(*df.columns, F.col("_score.label").alias(name), F.col("_score.confidence").alias("confidence"))
 
 
 def train_lid(df: DataFrame, text: str, label: str, features: int = 1 << 16) -> LanguageModel:
-    """Language identifier on character 1-3-grams: naive Bayes needs one pass of counts per class."""
-    f = _Features(text, (1, 2, 3), features)
-    x = f(df)
-    index = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="skip").fit(x)
-    nb = NaiveBayes(featuresCol="features", labelCol="_y", predictionCol="_p").fit(index.transform(x))
-    back = IndexToString(inputCol="_p", outputCol="_label", labels=index.labels)
-    return LanguageModel(f, PipelineModel(stages=[nb, back]))
+    """Language identifier on character 1-3-grams: naive Bayes (smoothing 1) needs one pass of counts per class.
+
+    The buckets are those of Spark ML's HashingTF. Every task adds up the n-grams of its texts and returns a row per class and
+    block of buckets; the sums, as large as the model, go to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, total, rows = CharGrams(features), {}, {}
+        for batch in batches:
+            for names, texts in slices(text_bytes(batch.column(1)), batch.column(0), batch.column(1)):
+                at = {n: i for i, n in enumerate(dict.fromkeys(names.to_pylist()))}
+                own = np.array([at[n] for n in names.to_pylist()], dtype="int64")
+                row, bucket = grams(texts)
+                counts = np.bincount(own[row] * features + bucket, minlength=len(at) * features).reshape(len(at), features)
+                for n, i in at.items():
+                    total[n] = total[n] + counts[i] if n in total else counts[i]
+                    rows[n] = rows.get(n, 0) + int((own == i).sum())
+        for n in total:
+            used = np.flatnonzero(total[n])
+            yield pa.RecordBatch.from_arrays([pa.array([n] * (len(used) + 1), pa.string()), pa.array(np.append(used, -1).astype("int32")), pa.array(np.append(total[n][used], rows[n]).astype("int64"))], ["label", "bucket", "n"])
+
+    known = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), F.lower(F.col(text)).alias("text"))
+    sums = known.mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    name, bucket, n = (sums.column(c).to_numpy(zero_copy_only=False) if c != "label" else np.array(sums.column(c).to_pylist(), dtype=object) for c in ("label", "bucket", "n"))
+    docs = {a: float(c) for a, b, c in zip(name, bucket, n) if b < 0}
+    labels = sorted(docs, key=lambda x: (-docs[x], x))
+    count = np.zeros((len(labels), features))
+    for i, l in enumerate(labels):
+        own = (name == l) & (bucket >= 0)
+        count[i, bucket[own]] = n[own]
+    prior = np.log(np.array([docs[l] for l in labels]) + 1) - np.log(sum(docs.values()) + len(labels))
+    return LanguageModel(text, labels, prior, np.log(count + 1) - np.log(count.sum(1, keepdims=True) + features))
 
 
 class ScoreModel:
