@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import keys as K
 from glyphmill.functions import perturb as PT
-from glyphmill.functions.units import explode_rows
+from glyphmill.functions.units import explode_rows, pin
 from glyphmill.operators import augment as A
 from glyphmill.operators import profile as P
 from glyphmill.operators import seqlabel as Q
@@ -113,7 +113,7 @@ def _alphabet(spark, d):
 def _(spark, d):
     s = _sents(spark, d).join(_alphabet(spark, d), "lang").withColumn("k", F.concat_ws(".", "doc_id", "sid"))
     g = A.mild_gibberish(F.filter(F.split("s", r"\s+"), lambda x: x != ""), "k", 9, F.col("chars"))
-    return s.withColumn("g", g).where("g is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("g") / F.length("s")).alias("ratio"))
+    return pin(s, "g", g).where("g is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("g") / F.length("s")).alias("ratio"))
 
 
 SENTS = f"st as (select doc_id, lang, unnest(s) as s, unnest(range(0, len(s))) as sid from (select doc_id, lang, {q.sents('text', 10, 300)} as s from documents))"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import WS, _c, h32, sentences, u
-from ..functions.perturb import EVAL_OPS, OPS, draw, perturb, typos, weighted
+from ..functions.perturb import EVAL_OPS, OPS, draw, perturb, typo_hashes, weighted, word_typos
 from ..functions.text import english_like, fold, latin_share, script_frac
 from ..functions.units import NO_SPACE_LANGS, cut, explode_rows, pin, short_span
 from .dedup import dedup
@@ -100,14 +100,17 @@ MILD_SLIPS = 0.3
 
 def mild_gibberish(words: Column | str, key: Column | str, seed, chars: Column, lang: Column | str | None = None, fate: dict[str, float] = MILD) -> Column:
     """Every word meets a fate by hash: mistyped, lost, moved behind its right neighbour, or kept; NULL below four words."""
-    ws, k = _c(words), _c(key)
-    met = F.transform(ws, lambda w, i: F.struct(w.alias("w"), weighted(f"{seed}.fate", k, fate, i).alias("fate"), i.alias("i")))
-    left = F.filter(met, lambda x: x["fate"] != "lose")
-    left = F.when(F.size(left) > 0, left).otherwise(met)
-    kept = F.transform(left, lambda x: F.struct(
-        (x["i"] + F.when(x["fate"] == "move", 1.5).otherwise(0.0)).alias("place"), x["i"].alias("i"),
-        F.when(x["fate"] == "type", typos(x["w"], MILD_SLIPS, f"{seed}.slip", F.concat_ws(".", k, x["i"].cast("string")), letters=chars)).otherwise(x["w"]).alias("w")))
-    return F.when(F.size(ws) >= 4, join_words(F.transform(F.array_sort(kept), lambda x: x["w"]), lang))
+    k = _c(key)
+    # a value bound to a variable of an array function is computed once, however often it is asked for
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+
+    def hashed(ws: Column) -> Column:
+        met = F.transform(ws, lambda w, i: F.struct(w.alias("w"), weighted(f"{seed}.fate", k, fate, i).alias("fate"), i.alias("i")))
+        left = once(once(met, lambda m: F.struct(m.alias("all"), F.filter(m, lambda x: x["fate"] != "lose").alias("left"))), lambda m: F.when(F.size(m["left"]) > 0, m["left"]).otherwise(m["all"]))
+        placed = F.transform(left, lambda x: F.struct((x["i"] + F.when(x["fate"] == "move", 1.5).otherwise(0.0)).alias("place"), x["i"].alias("i"), x["fate"].alias("fate"), x["w"].alias("w")))
+        return F.transform(F.array_sort(placed), lambda x: F.struct(x["w"].alias("w"), F.when(x["fate"] == "type", typo_hashes(f"{seed}.slip", F.concat_ws(".", k, x["i"].cast("string")))).alias("hashes")))
+
+    return join_words(word_typos(once(_c(words), lambda ws: F.when(F.size(ws) >= 4, hashed(ws))), MILD_SLIPS, chars), lang)
 
 
 def word_salad(df: DataFrame, lang: str, sid: list[str], sentence: str, seed=0, size: int = 3, max_words: int = 16) -> DataFrame:
@@ -219,9 +222,10 @@ def gibberish_set(sents: DataFrame, alphabet: DataFrame, lang: str, sid: list[st
     s = sents.withColumn("_part", part).withColumn("_key", F.concat_ws(".", *sid))
     clean = s.where("_part = 0").select(lang, F.col(sentence).alias("text"), F.lit("clean").alias("label"))
     with_chars = s.where("_part in (1, 3)").join(alphabet, lang)
-    mild = with_chars.where("_part = 1").select(lang, mild_gibberish(split_words(sentence, lang), "_key", seed, F.col("chars"), lang).alias("text"), F.lit("mild gibberish").alias("label"))
+    # texts are pinned: the test on their length would make each of them a second time
+    mild = pin(with_chars.where("_part = 1"), "text", mild_gibberish(split_words(sentence, lang), "_key", seed, F.col("chars"), lang)).select(lang, "text", F.lit("mild gibberish").alias("label"))
     salad = word_salad(s.where("_part = 2"), lang, sid, sentence, seed).select(lang, "text", F.lit("word salad").alias("label"))
-    junk = with_chars.where("_part = 3").select(lang, noise("_key", F.col("chars"), seed).alias("text"), F.lit("noise").alias("label"))
+    junk = pin(with_chars.where("_part = 3"), "text", noise("_key", F.col("chars"), seed)).select(lang, "text", F.lit("noise").alias("label"))
     return clean.unionByName(mild).unionByName(salad).unionByName(junk).where(F.length(F.trim("text")) >= 2)
 
 
