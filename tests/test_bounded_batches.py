@@ -4,14 +4,17 @@ import random
 import re
 import time
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glyphmill.functions import dictionary as DI
 from glyphmill.functions import keys as K
+from glyphmill.functions import perturb as PT
 from glyphmill.functions import units as U
 from glyphmill.operators import augment as A
 from glyphmill.operators import compress as Z
+from glyphmill.operators import seqlabel as Q
 from glyphmill.operators import spans as S
 
 TEXTS = ["", None, " ", "a", "Zwei  Wörter\n", "你好 世界。再见", "😀 smile\x1c😀x", "x\u00a0y\u3000z \u200b q", " pad　", "12,5 %!"]
@@ -113,3 +116,26 @@ def test_payment_numbers_are_made_once(spark):
         for s in r.spans:
             value = r.text[s.start:s.end]
             assert value == "N" if s.label == "PERSON" else value
+
+
+def test_typo_draws_are_sparks_hashes(spark):
+    rows = spark.range(300).select("id", F.xxhash64(F.lit("s"), F.col("id").cast("string")).alias("h"), F.xxhash64(F.lit("s"), F.col("id").cast("string"), F.col("id").cast("int")).alias("i"),
+                                   F.xxhash64(F.lit("s"), F.col("id").cast("string"), F.col("id")).alias("l")).collect()
+    seed, x = np.array([r.h for r in rows]).view("uint64"), np.arange(300)
+    assert PT.hash_on(seed, x).view("int64").tolist() == [r.i for r in rows] and PT.hash_on(seed, x, True).view("int64").tolist() == [r.l for r in rows]
+
+
+def test_typos_are_no_array_expression(spark):
+    """A text's characters no longer pass through interpreted array functions, each with four hashes and two patterns."""
+    df = spark.createDataFrame([(1, "Hello there, Wörld"), (2, None), (3, "")], "id int, t string").select("id", "t", PT.typos("t", 0.9, 1, "id").alias("x"))
+    assert "transform(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: r.x for r in df.collect()}
+    assert got[2] is None and got[3] == "" and got[1] != "Hello there, Wörld"
+
+
+def test_boundary_window_moves_numbers_only(spark):
+    """The map of marks and the array of cases are not shuffled for rows that don't need them any more."""
+    marks = F.create_map(*[v for i, l in enumerate(Q.LABELS) for v in (F.lit(l), F.rand(i))])
+    df = spark.range(5).select(F.lit(1).alias("doc"), F.col("id").alias("pos"), marks.alias("marks"), F.array(*[F.rand(i) for i in range(3)]).alias("cases"))
+    plan = Q.decode_boundary(df.repartition(2), "doc", "pos", "marks", "cases", 0.5).select("pm", "pc")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lead(cases" not in plan and "lead(_c0" in plan
