@@ -28,10 +28,10 @@ QUOTAS = {"en": 40, "de": 20, "es": 15, "fr": 10}
 
 
 def pool_files(spark, d, n=8):
-    """Documents as n files, by id."""
+    """Documents as n Parquet folders, by id; no task writes a whole one."""
     path, t = scratch(spark), docs(spark, d, "doc_id", "lang", "text")
     for i in range(n):
-        t.where(F.col("doc_id") % n == i).coalesce(1).write.parquet(f"{path}/{i:03}")
+        t.where(F.col("doc_id") % n == i).write.parquet(f"{path}/{i:03}")
     return [f"{path}/{i:03}" for i in range(n)]
 
 

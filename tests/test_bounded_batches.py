@@ -139,3 +139,16 @@ def test_boundary_window_moves_numbers_only(spark):
     df = spark.range(5).select(F.lit(1).alias("doc"), F.col("id").alias("pos"), marks.alias("marks"), F.array(*[F.rand(i) for i in range(3)]).alias("cases"))
     plan = Q.decode_boundary(df.repartition(2), "doc", "pos", "marks", "cases", 0.5).select("pm", "pc")._jdf.queryExecution().optimizedPlan().toString()
     assert "lead(cases" not in plan and "lead(_c0" in plan
+
+
+def test_pool_files_are_written_by_all_tasks(spark, tmp_path):
+    from catalog.q_a_sources import pool_files
+
+    spark.range(400).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("t").alias("text")).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a split per file
+    try:
+        paths = pool_files(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    rows = [spark.read.parquet(p).select("doc_id", F.input_file_name().alias("f")).collect() for p in paths]
+    assert sorted(r.doc_id for rs in rows for r in rs) == list(range(400)) and all(len({r.f for r in rs}) > 1 for rs in rows)
