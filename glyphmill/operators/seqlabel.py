@@ -4,12 +4,19 @@ A unit is struct<word STRING, lab STRING>; `lab` is the mark that follows the wo
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.keys import _c, h32, u
 from ..functions.text import lower_keep_len
-from ..functions.units import cut, explode_rows, offsets_of, pin
+from ..functions.units import Points, cut, explode_rows, gathered, offsets_of, pin, slices, strings, text_bytes
 
 # Label set and the marks of the world's scripts that count as each label.
 LABELS = ["0", ".", ",", "?", "-", ":"]
@@ -18,7 +25,6 @@ COMMAS = ",，、،፣､"
 QUESTIONS = "?？؟፧"
 COLONS = ":："
 DROPPED = "¿¡"
-DASH = r"^(?:-{1,2}|–|—)$"
 CHAR_LANGS = ("zh", "ja")
 QUOTES = "\"'«»„“”‘’()[]{}*"
 CASES = ["lower", "Cap", "UPPER"]
@@ -32,63 +38,147 @@ _OTHER = _cls((STOPS + COMMAS + QUESTIONS + COLONS).replace(".", "").replace(","
 MARK = rf"(?:[{_OTHER}]|(?<!\p{{Nd}})[.,:]|[.,:](?!\p{{Nd}}))"  # marks between digits are text
 
 
-def _strongest(run: Column, greek: Column | None = None) -> Column:
-    """Label of the strongest mark in a run: question, stop, colon, then comma."""
-    question = run.rlike(f"[{_cls(QUESTIONS)}]")
-    if greek is not None:  # the Greek question mark looks like a semicolon
-        question = question | (greek & run.rlike("[;;]"))
-    return (F.when(question, "?").when(run.rlike(f"[{_cls(STOPS)}]"), ".").when(run.rlike(f"[{_cls(COLONS)}]"), ":")
-            .when(run.rlike(f"[{_cls(COMMAS)}]"), ",").otherwise("0"))
-
-
-def _rank(lab: Column) -> Column:
-    return F.when(lab == "?", 4).when(lab == ".", 3).when(lab == ":", 2).when(lab.isin("-", ","), 1).otherwise(0)
+# What the rules for marks ask of a character, as bits.
+_ALNUM, _DIGIT, _LOWER, _BLANK, _ASCII_BLANK, _GONE, _POINT, _QUESTION, _STOP, _COLON, _COMMA, _SEMICOLON, _QUOTE, _CLOSER, _DASH, _KNOWN = (1 << i for i in range(16))
+_BITS = np.zeros(0x110000, dtype="uint16")  # filled as characters occur
+# White space of Unicode, as (?U)\s has it.
+_WHITE = {*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
+_STRENGTH = [0, 3, 1, 4, 1, 2]  # of LABELS: question, stop, colon, then comma and dash
+
+
+def _bits_of(code: int) -> int:
+    c, kind = chr(code), unicodedata.category(chr(code))
+    has = {_ALNUM: kind[0] in "LN", _DIGIT: kind == "Nd", _LOWER: kind == "Ll", _BLANK: code in _WHITE, _ASCII_BLANK: c in "\t\n\x0b\f\r ",
+           _GONE: c in STOPS + COMMAS + QUESTIONS + COLONS + DROPPED and c not in ".,:", _POINT: c in ".,:", _QUESTION: c in QUESTIONS, _STOP: c in STOPS,
+           _COLON: c in COLONS, _COMMA: c in COMMAS, _SEMICOLON: c == ";", _QUOTE: c in QUOTES, _CLOSER: c in "\"'»”’)]", _DASH: c in "–—", _KNOWN: True}
+    return sum(bit for bit, holds in has.items() if holds)
+
+
+def _bits(codes: np.ndarray) -> np.ndarray:
+    found = _BITS[codes]
+    if not found.all():
+        new = np.unique(codes[found == 0])
+        _BITS[new] = [_bits_of(c) for c in new.tolist()]
+        found = _BITS[codes]
+    return found
+
+
+def _gone(bits: np.ndarray) -> np.ndarray:
+    """Marks, and what is dropped; marks between digits are text."""
+    digit = (bits & _DIGIT) > 0
+    inside = np.concatenate([[False], digit[:-1]]) & np.concatenate([digit[1:], [False]])
+    return ((bits & _GONE) > 0) | (((bits & _POINT) > 0) & ~inside)
+
+
+def _run_bits(bits: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Bits that occur in each of the runs bits[start:end], which ascend and end before the last character."""
+    return np.where(start < end, np.bitwise_or.reduceat(bits, np.stack([start, end], 1).ravel())[::2], 0)
+
+
+def _strongest(bits: np.ndarray, greek: np.ndarray | bool = False) -> np.ndarray:
+    """Label of the strongest mark in a run: question, stop, colon, then comma. The Greek question mark looks like a semicolon."""
+    question = ((bits & _QUESTION) > 0) | (greek & ((bits & _SEMICOLON) > 0))
+    return np.select([question, (bits & _STOP) > 0, (bits & _COLON) > 0, (bits & _COMMA) > 0], [LABELS.index(x) for x in "?.:,"], 0)
+
+
+def _spaced_units(p: Points, greek: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units between white space: code points of the words, their sizes, labels and rows."""
+    codes, bits = p.codes, _bits(p.codes)
+    solid, place = (bits & _BLANK) == 0, np.arange(len(bits))
+    start = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
+    end = np.flatnonzero(solid & ~np.concatenate([solid[1:], [False]])) + 1
+    if not len(start):
+        return codes[:0], start, start, start
+    left = solid & ~_gone(bits)
+    before = np.concatenate([[0], np.cumsum(left)])
+    size = before[end] - before[start]
+    strange = np.concatenate([[0], np.cumsum(left & ((bits & _QUOTE) == 0))])
+    last = np.maximum.reduceat(np.where((bits & _ALNUM) > 0, place, -1), start)
+    row = np.searchsorted(p.at, start, "right") - 1
+    lab = _strongest(_run_bits(bits, np.maximum(start, last + 1), end), greek[row])
+    closed = np.maximum.reduceat(np.where(solid & ((bits & _CLOSER) == 0), place, -1), start)
+    dot = (lab == LABELS.index(".")) & (closed >= start) & (codes[closed] == ord("."))
+    hyphen = codes[start] == ord("-")
+    dash = ((end - start == 1) & (hyphen | ((bits[start] & _DASH) > 0))) | ((end - start == 2) & hyphen & (codes[end - 1] == ord("-")))
+    quote = (last < start) & (strange[end] == strange[start])
+    word = ~dash & (size > 0) & ~quote
+
+    kept = np.flatnonzero(~dash & (size > 0))
+    stop = np.searchsorted(start, p.at)[row[kept] + 1]  # behind the last item of the row
+    after = np.minimum(np.concatenate([kept[1:], [len(start)]]), stop)
+    out = lab[kept]
+    # free marks and dashes up to and including the next kept item
+    for k in np.flatnonzero((kept + 1 < stop) & ~word[np.minimum(kept + 1, len(start) - 1)]).tolist():
+        own = int(out[k])
+        for i in range(int(kept[k]) + 1, min(int(after[k]) + 1, int(stop[k]))):
+            if dash[i]:
+                own = own or LABELS.index("-")
+            elif not word[i] and _STRENGTH[lab[i]] > _STRENGTH[own]:
+                own = int(lab[i])
+        out[k] = own
+    follows = np.flatnonzero(after < stop)
+    first = np.flatnonzero(left)[before[start[after[follows]]]]
+    out[follows[dot[kept[follows]] & ((bits[first] & _LOWER) > 0)]] = 0  # an abbreviation
+    return gathered(codes[left], before[start[kept]], size[kept]), size[kept], out, row[kept]
+
+
+def _glued_units(p: Points) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units of one character, with the marks, dashes and blanks behind each."""
+    codes, bits = p.codes, _bits(p.codes)
+    at = np.flatnonzero(~_gone(bits) & ((bits & (_ASCII_BLANK | _DASH)) == 0))
+    if not len(at):
+        return codes[:0], at, at, at
+    row = np.searchsorted(p.at, at, "right") - 1
+    end = np.minimum(np.concatenate([at[1:], [len(codes)]]), p.at[row + 1] - 1)
+    lab = _strongest(_run_bits(bits, at + 1, end))
+    weak = np.concatenate([np.flatnonzero((bits & (_COMMA | _DASH)) > 0), [len(codes)]])
+    near = weak[np.searchsorted(weak, at + 1)]  # the first comma or dash
+    dash = (near < end) & ((bits[np.minimum(near, len(codes) - 1)] & _DASH) > 0) & ~np.isin(codes[at], (0x85, 0x2028, 0x2029))
+    lab[dash & np.isin(lab, (0, LABELS.index(",")))] = LABELS.index("-")
+    return codes[at], np.ones(len(at), dtype="int64"), lab, row
+
+
+def _units_array(texts: pa.Array, found: tuple, spaced: bool) -> pa.Array:
+    codes, size, lab, row = found
+    n = np.bincount(row, minlength=len(texts)).astype("int64")
+    units = pa.StructArray.from_arrays([strings(codes, size), pa.array(LABELS).take(pa.array(lab))], ["word", "lab"])
+    if spaced and not n.all():  # a text without words has one unit of nulls
+        own = np.maximum(n, 1)
+        empty = np.repeat(n == 0, own)
+        take = pa.array(np.cumsum(~empty) - 1, mask=empty)
+        units, n = pa.StructArray.from_arrays([units.field(k).take(take) for k in range(2)], ["word", "lab"]), own
+    ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, units, mask=None if spaced else pc.is_null(texts))
+
+
+def _units_of(texts: pa.Array, kinds: np.ndarray) -> pa.Array:
+    """Units of a slice of texts; kind 1 has one unit per character, kind 2 is Greek."""
+    glued = kinds == 1
+    if not glued.any():
+        return _units_array(texts, _spaced_units(Points(texts), kinds == 2), True)
+    own, other = texts.filter(pa.array(glued)), texts.filter(pa.array(~glued))
+    parts = [_units_array(own, _glued_units(Points(own)), False), _units_array(other, _spaced_units(Points(other), kinds[~glued] == 2), True)]
+    place = np.empty(len(texts), dtype="int64")
+    place[np.concatenate([np.flatnonzero(glued), np.flatnonzero(~glued)])] = np.arange(len(texts))
+    return pa.concat_arrays(parts).take(pa.array(place))
+
+
+@F.arrow_udf(ArrayType(StructType([StructField("word", StringType()), StructField("lab", StringType())])))
+def _punct(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for column, flags in batches:
+        for texts, kinds in slices(text_bytes(column), column, flags):
+            yield _units_of(texts, kinds.to_numpy(zero_copy_only=False))
 
 
 def punct_units(df: DataFrame, text: str, lang: str | None = None, name: str = "units") -> DataFrame:
     """Column `units`: words without their marks, each with the label of the mark that follows.
 
     Every word is labelled on its own, then takes over marks and dashes that stand free before the next word; a full
-    stop before a lower-case word is an abbreviation. Languages written without spaces have one unit per character."""
-    t = F.col(text)
+    stop before a lower-case word is an abbreviation. Languages written without spaces have one unit per character.
+    An Arrow function over slices of a batch: as array expressions, ten patterns would be interpreted for every marked word."""
     code = F.col(lang) if lang else F.lit("")
-    greek = F.coalesce(code == "el", F.lit(False))
-    words = F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
-
-    def item(w):
-        core = F.regexp_replace(w, rf"{MARK}|[{DROPPED}]", "")
-        quote = ~core.rlike(r"[\p{L}\p{N}]") & (F.length(F.regexp_replace(core, f"[{_cls(QUOTES)}]", "")) == 0)
-        lab = _strongest(F.regexp_extract(w, r"([^\p{L}\p{N}]*)$", 1), greek)
-        kind = F.when(w.rlike(DASH), "dash").when(F.length(core) == 0, "mark").when(quote, "quote").otherwise("word")
-        dot = (lab == ".") & F.regexp_replace(w, "[\"'»”’)\\]]+$", "").endswith(".")
-        full = F.struct(core.alias("core"), lab.alias("lab"), kind.alias("kind"), dot.alias("dot"))
-        # most words hold nothing but letters and digits: one test instead of ten
-        plain = F.struct(w.alias("core"), F.lit("0").alias("lab"), F.lit("word").alias("kind"), F.lit(False).alias("dot"))
-        return F.when(w.rlike(r"^[\p{L}\p{N}]+$"), plain).otherwise(full)
-
-    d = pin(df, "_items", F.transform(words, item))
-    it = F.col("_items")
-    n = F.size(it)
-    kept = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: (i < n) & F.get(it, i)["kind"].isin("word", "quote"))
-    d = pin(d, "_kept", kept)
-    nexts = F.concat(F.slice("_kept", 2, F.greatest(F.size("_kept"), F.lit(1))), F.array(n))
-
-    def unit(a, b):
-        me, after = F.get(it, a), F.get(it, b)
-        take = lambda lab, x: F.when(x["kind"] == "dash", F.when(lab == "0", F.lit("-")).otherwise(lab)).when(
-            (x["kind"] != "word") & (_rank(x["lab"]) > _rank(lab)), x["lab"]).otherwise(lab)
-        lab = F.aggregate(F.slice(it, a + 2, b - a), me["lab"], take)  # free marks up to and including the next kept item
-        abbreviation = me["dot"] & F.coalesce(F.substring(after["core"], 1, 1).rlike(r"^\p{Ll}"), F.lit(False))
-        return F.struct(me["core"].alias("word"), F.when(abbreviation, "0").otherwise(lab).alias("lab"))
-
-    spaced = F.zip_with("_kept", nexts, unit)
-    token = rf"(?:(?!{MARK}|[\s{DROPPED}–—]).)(?:{MARK}|[\s{DROPPED}–—])*"
-    chars = F.transform(F.regexp_extract_all(t, F.lit(f"(?s)({token})"), F.lit(1)), lambda x: F.struct(
-        F.substring(x, 1, 1).alias("word"),
-        F.when((_strongest(x.substr(F.lit(2), F.length(x))).isin("0", ",")) & F.regexp_extract(x, f"^.[^{_cls(COMMAS)}–—]*([{_cls(COMMAS)}–—])", 1).isin("–", "—"), "-")
-        .otherwise(_strongest(x.substr(F.lit(2), F.length(x)))).alias("lab")))
-    out = F.when(code.isin(*CHAR_LANGS), chars).otherwise(spaced) if lang else spaced
-    return d.withColumn(name, out).drop("_items", "_kept")
+    kind = F.when(code.isin(*CHAR_LANGS), 1).when(code == "el", 2).otherwise(0)
+    return pin(df, name, _punct(F.col(text), kind))
 
 
 def units_text(units: Column | str, lang: Column | str | None = None) -> Column:
