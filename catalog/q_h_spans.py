@@ -178,7 +178,8 @@ WORDS = r"""wl as (select doc_id, regexp_split_to_array(text, '\S+') as p, regex
 def _tagged(spark, d):
     toks = F.filter(F.split(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " "), " "), lambda x: x != "")
     tag = lambda x: F.when(x.rlike(r"^\p{Lu}"), "I-PER").when(x.rlike("^[0-9]"), "I-NUM").otherwise("O")
-    return docs(spark, d, "doc_id", "lang", "text").select("doc_id", "lang", toks.alias("tokens")).withColumn("tags", F.transform("tokens", tag))
+    # pinned: a filter on the tokens would split the text a second time
+    return U.pin(docs(spark, d, "doc_id", "lang", "text"), "tokens", toks).select("doc_id", "lang", "tokens", F.transform("tokens", tag).alias("tags"))
 
 
 @query("h31_bio_to_spans", f"""with {TAGS}, fl as (select *, (lag(typ) over w is distinct from typ)::INT as chg from tg window w as (partition by doc_id order by i)),

@@ -59,8 +59,7 @@ def running_sum(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def offsets_of(parts: Column, gap: Column | int = 0) -> Column:
     """Start and end of each array element when the elements are laid out with `gap` characters in between."""
     g = (gap if isinstance(gap, Column) else F.lit(gap)).cast("int")
-    sums = running_sum(F.transform(parts, lambda x: F.length(x) + g))
-    return F.zip_with(sums, F.transform(parts, lambda x: F.length(x)), lambda e, n: F.struct((e - g - n).alias("start"), (e - g).alias("end")))
+    return _laid_out(F.transform(parts, lambda x: F.length(x)), g)
 
 
 def match_spans(text: Column | str, rx: str) -> Column:
@@ -218,6 +217,21 @@ def _unit_words(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arr
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), units)
 
 
+@F.arrow_udf(ArrayType(StructType(_PLACE)))
+def _laid_out(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Places of elements of the given sizes; a null has an end but no start and takes no room."""
+    for column, gaps in batches:
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        for own, gap in slices(sizes.astype("int64") * 16 + 16, column, gaps):
+            flat = own.flatten()
+            null, n = np.array(pc.is_null(flat), dtype=bool), pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)
+            size, g = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).astype("int64"), np.repeat(gap.to_numpy(zero_copy_only=False), n)
+            sums = np.concatenate([[0], np.cumsum(np.where(null, 0, size + g))])
+            first = np.concatenate([[0], np.cumsum(n)])[:-1]
+            end = sums[1:] - np.repeat(sums[first], n) - g
+            yield lists(pa.StructArray.from_arrays([pa.array(end - size, pa.int32(), mask=null), pa.array(end, pa.int32())], ["start", "end"]), own)
+
+
 def _single(lang: Column | str | None, nospace: tuple) -> Column:
     return F.lit(False) if lang is None else F.coalesce(_c(lang).isin(*nospace), F.lit(False))
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 
 from glyphmill.functions import units as U
 from glyphmill.operators import seqlabel as Q
+from glyphmill.operators import spans as S
 
 ODD = list("aBéß你好1２٣Ⅷ😀.,:;!?…。！．।；؛，、،？؟：¿¡-–—\"'«»“”‘’()[]{}*$= \t\n\x1c") + [chr(c) for c in (0x85, 0xA0, 0x1680, 0x2000, 0x2003, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x200B, 0x180E, 0x301, 0x1C5)]
 SPACE = "[" + "".join(chr(c) for c in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)) + "]"
@@ -90,3 +91,30 @@ def test_units_yield_slices_of_a_batch(monkeypatch):
     out = list(Q._punct.func(iter([(texts, kinds)])))
     assert sum(map(len, out)) == 300 and max(map(len, out)) <= 20
     assert out[0][0].as_py()[:3] == [{"word": "a", "lab": "0"}, {"word": "b", "lab": ","}, {"word": "ca", "lab": "0"}]
+
+
+def test_offsets_of_laid_out_tokens(spark):
+    tokens = [["你", "😀b", "c"], [], None, ["x"], ["", "a", ""]]
+    df = spark.createDataFrame([(t, lang) for t in tokens for lang in ("zh", "en")], "t array<string>, lang string").select("t", "lang", S.detokenize("t", "lang").alias("d"))
+    for r in df.collect():
+        gap, at, want = (0 if r.lang == "zh" else 1), 0, []
+        for w in r.t or []:
+            want.append((at, at + len(w)))
+            at += len(w) + gap
+        assert (r.d.text, r.d.units and [tuple(x) for x in r.d.units]) == ((None, None) if r.t is None else ((" " * gap).join(r.t), want)), r
+
+
+def test_offsets_yield_slices_of_a_batch(monkeypatch):
+    monkeypatch.setattr(U, "SLICE", 1 << 10)
+    sizes, gaps = pa.array([[1, 2, None] * 10] * 300, pa.list_(pa.int32())), pa.array([1] * 300, pa.int32())
+    out = list(U._laid_out.func(iter([(sizes, gaps)])))
+    assert sum(map(len, out)) == 300 and max(map(len, out)) <= 20
+    assert out[0][0].as_py()[:4] == [{"start": 0, "end": 1}, {"start": 2, "end": 4}, {"start": None, "end": 4}, {"start": 5, "end": 6}]
+
+
+def test_detokenized_texts_are_split_once(spark):
+    import catalog
+
+    catalog.load_all()
+    plan = catalog.QUERIES["h33_detokenize"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "zip_with(" not in plan.lower()
