@@ -225,7 +225,7 @@ def _unit_docs(spark, d):
 @query("h36_punct_units")
 def _(spark, d):
     t = _unit_docs(spark, d)
-    return t.select("doc_id", "sid", F.size("units").alias("n"), F.array_join(F.transform("units", lambda x: x["lab"]), "").alias("labs"), F.md5(F.array_join(F.transform("units", lambda x: x["word"]), " ")).alias("h"))
+    return t.select("doc_id", "sid", F.size("units").alias("n"), F.array_join("units.lab", "").alias("labs"), F.md5(F.array_join("units.word", " ")).alias("h"))
 
 
 @query("h36_label_counts", rf"""with s as (select doc_id, unnest({q.sents('text', 30)}) as s from documents), w as (select unnest([x for x in regexp_split_to_array(s, '{q.WS}+') if x <> '']) as w from s),

@@ -22,8 +22,13 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters of WS.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_c(c), rf"^{WS}+|{WS}+$", "")
+    """White space off both ends; a pattern would try every blank of the text as the beginning of its end."""
+    return F.btrim(_c(c), F.lit(BLANKS))
 
 
 def norm_key(c: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .keys import WS, _c, strip
+from .keys import BLANKS, _c, strip
 
 # Script code of a language label -> Unicode script class.
 SCRIPT_CLASS = {
@@ -70,14 +70,14 @@ def english_like(c: Column | str) -> Column:
 
 def letter_share(c: Column | str) -> Column:
     """Letters and marks over non-space characters."""
-    solid = F.length(F.regexp_replace(_c(c), rf"{WS}+", ""))
+    solid = F.length(F.translate(_c(c), BLANKS, ""))
     return F.when(solid == 0, 0.0).otherwise(count_class(c, r"\p{L}\p{M}") / solid)
 
 
 def ends_sentence(c: Column | str, min_len: int = 30) -> Column:
     """At least `min_len` characters and, closing quotes aside, a sentence-final mark at the end."""
     t = strip(c)
-    return (F.length(t) >= min_len) & t.rlike(rf"[.!?…。！？।؟።][{CLOSERS}]*$")
+    return (F.length(t) >= min_len) & F.substring(F.rtrim(t, F.lit(CLOSERS)), -1, 1).isin(*".!?…。！？।؟።")
 
 
 def has_trigger(c: Column | str, words: list[str]) -> Column:

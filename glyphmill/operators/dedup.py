@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import norm_key, norm_ws, sentences, text_hash
-from ..functions.units import explode_rows
+from ..functions.units import explode_rows, pin
 
 
 def _digest(cols: list[Column]) -> Column:
@@ -81,7 +81,8 @@ def sentence_hits(df: DataFrame, id_col: str, text: str, evals: DataFrame, eval_
     es = es.union(evals.select(F.col(eval_text).alias("s")))
     ek = long_(es, "s").select(_digest([key("s")]).alias("_k")).distinct()
     ds = explode_rows(df, [id_col], sentences(text), "s")
-    return long_(ds, "s").select(id_col, _digest([key("s")]).alias("_k")).join(ek, "_k", "left_semi").select(id_col).distinct()
+    # pinned: the join's test for nulls would make every key a second time
+    return pin(long_(ds, "s"), "_k", _digest([key("s")])).select(id_col, "_k").join(ek, "_k", "left_semi").select(id_col).distinct()
 
 
 def decontaminate_sentences(df: DataFrame, id_col: str, text: str, evals: DataFrame, eval_text: str = "text",

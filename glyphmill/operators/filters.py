@@ -67,13 +67,9 @@ def filter_report(df: DataFrame, flags: list[str], by: str) -> DataFrame:
 def mark_density(labels: Column, max_share: float = 0.35, max_gap: int = 60) -> Column:
     """At most `max_share` labelled units and no run of `max_gap` or more unlabelled units (0 = unlabelled)."""
     n = F.size(labels)
-    n_marks = F.size(F.filter(labels, lambda x: x != 0))
-    run = F.aggregate(
-        labels, F.struct(F.lit(0).alias("cur"), F.lit(0).alias("best")),
-        lambda acc, x: F.when(x != 0, F.struct(F.lit(0).alias("cur"), acc["best"].alias("best"))).otherwise(
-            F.struct((acc["cur"] + 1).alias("cur"), F.greatest(acc["best"], acc["cur"] + 1).alias("best"))),
-        lambda acc: acc["best"])
-    return (n > 0) & (n_marks > 0) & (n_marks <= n * max_share) & (run < max_gap)
+    flags = F.array_join(F.transform(labels, lambda x: F.when(x != 0, "1").otherwise("0")), "")
+    n_marks = F.length(F.replace(flags, F.lit("0"), F.lit("")))
+    return (n > 0) & (n_marks > 0) & (n_marks <= n * max_share) & ~F.contains(flags, F.lit("0" * max_gap))
 
 
 def decided(df: DataFrame, p: str, lo: float = 0.2, hi: float = 0.8, exempt: Column | None = None,

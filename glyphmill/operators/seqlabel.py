@@ -183,10 +183,10 @@ def punct_units(df: DataFrame, text: str, lang: str | None = None, name: str = "
 
 def units_text(units: Column | str, lang: Column | str | None = None) -> Column:
     """Clean text of units and the end offset of each: struct(text, ends)."""
-    words = F.transform(_c(units), lambda x: x["word"])
+    words = _c(units).getField("word")
     glued = F.lit(False) if lang is None else F.coalesce(_c(lang).isin(*CHAR_LANGS), F.lit(False))
     text = F.when(glued, F.array_join(words, "")).otherwise(F.array_join(words, " "))
-    ends = F.transform(offsets_of(words, F.when(glued, 0).otherwise(1)), lambda x: x["end"])
+    ends = offsets_of(words, F.when(glued, 0).otherwise(1)).getField("end")
     return F.struct(text.alias("text"), ends.alias("ends"))
 
 
@@ -201,9 +201,9 @@ def unit_windows(df: DataFrame, key: str, units: str, lang: str | None = None, c
     m = F.size("win")
     at = 8 + F.pmod(h32(f"{seed}.c", key, "window"), F.greatest(m - 8, F.lit(1)).cast("bigint"))
     short = (u(f"{seed}.u", key, "window") < cut_share) & (m > 12)
-    w = w.withColumn("win", F.slice("win", F.lit(1), F.when(short, at.cast("int")).otherwise(m))).where(F.size("win") >= min_units)
+    w = pin(w, "win", F.slice("win", F.lit(1), F.when(short, at.cast("int")).otherwise(m))).where(F.size("win") >= min_units)
     w = w.withColumn("_t", units_text("win", lang))
-    return w.select(*keep, "window", F.col("_t.text").alias("text_w"), F.col("_t.ends").alias("ends"), F.transform("win", lambda x: x["lab"]).alias("labs"))
+    return w.select(*keep, "window", F.col("_t.text").alias("text_w"), F.col("_t.ends").alias("ends"), F.col("win.lab").alias("labs"))
 
 
 # Marks per script, chosen by the character before the mark.

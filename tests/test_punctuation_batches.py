@@ -2,11 +2,17 @@
 
 import random
 import re
+import time
 import unicodedata
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from glyphmill.functions import keys as K
+from glyphmill.functions import text as X
 from glyphmill.functions import units as U
+from glyphmill.operators import dedup as D
+from glyphmill.operators import filters as B
 from glyphmill.operators import seqlabel as Q
 from glyphmill.operators import spans as S
 
@@ -118,3 +124,36 @@ def test_detokenized_texts_are_split_once(spark):
     catalog.load_all()
     plan = catalog.QUERIES["h33_detokenize"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1 and "zip_with(" not in plan.lower()
+
+
+def test_texts_end_in_time(spark):
+    """A pattern for the end of a text started anew at every blank and every mark."""
+    texts = ["He said " + "x" * 40 + end for end in (".", ".\"’)", ". 　\x1c\n", "\"", ".\"x", "؟»", "", "។ ", " .\n.\r\n")] + [None, "", ".", "a" * 100_000 + " " * 60_000 + "b."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    began = time.time()
+    for r in df.select("t", X.ends_sentence("t").alias("e"), K.strip("t").alias("s"), X.letter_share("t").alias("l")).collect():
+        if r.t is None:
+            assert r.e is None and r.s is None and r.l is None
+            continue
+        own = r.t.strip(K.BLANKS)
+        solid = [c for c in r.t if c not in K.BLANKS]
+        assert r.s == own and r.e == (len(own) >= 30 and own.rstrip(X.CLOSERS)[-1:] in set(".!?…。！？।؟።"))
+        assert abs(r.l - (sum(kind(c, "L", "M") for c in solid) / len(solid) if solid else 0)) < 1e-12
+    assert time.time() - began < 10
+
+
+def test_density_of_long_runs(spark):
+    rnd = random.Random(3)
+    rows = [[], [0], [1], [None, 1, 0, 0], [0] * 59 + [1], [0] * 60 + [1], [1] + [0] * 60, [0, 1] * 3] + [[int(rnd.random() < p) for _ in range(rnd.randint(1, 200))] for p in (0.02, 0.1, 0.3, 0.5) for _ in range(20)]
+    df = spark.createDataFrame([(r,) for r in [*rows, None]], "a array<int>").select("a", B.mark_density("a").alias("d"))
+    for r in df.collect():
+        runs = "".join("1" if x else "0" for x in r.a or ()).split("1")
+        n, k = len(r.a or ()), sum(bool(x) for x in r.a or ())
+        assert (r.d is None) if r.a is None else r.d == (0 < k <= n * 0.35 and max(map(len, runs)) < 60), r.a
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sentence_keys_are_made_once(spark):
+    df = spark.createDataFrame([(1, "a b c.")], "id int, t string")
+    plan = D.sentence_hits(df, "id", "t", df.select(F.col("t").alias("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 5  # one for the texts; two each for the two parts of the small evaluation set
