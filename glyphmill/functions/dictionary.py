@@ -8,6 +8,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .units import slices, text_bytes
+from .units import Points, is_alnum, slices, text_bytes
 
 SPANS = "array<struct<start:int,end:int,label:string>>"
 Span = tuple[int, int, "str | None"]
@@ -120,13 +121,91 @@ def locate(text: Column, entities: Column, least: int) -> Column:
     return run(text, entities)
 
 
+def _matches(texts: list[str | None], at: np.ndarray, entities: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and entity of all occurrences in the texts of a slice, by place of their ends; one entity per string, that
+    with the first label."""
+    import ahocorasick
+
+    flat = entities.flatten()
+    names, labels = [n.strip(" ") if n else "" for n in flat.field("text").to_pylist()], flat.field("label")
+    rank = lambda i: (not labels[i].is_valid, labels[i].as_py() or "")
+    size = np.array([len(n) for n in names], dtype="int64")
+    ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(entities), 0).to_pylist()]).tolist()
+    last, which = [np.zeros(0, "int64")], [np.zeros(0, "int64")]
+    for text, a, b, base in zip(texts, ends, ends[1:], at.tolist()):
+        own = dict(zip(names[a:b], range(a, b)))
+        if len(own) < b - a:
+            for i in range(a, b):
+                if rank(i) < rank(own[names[i]]):
+                    own[names[i]] = i
+        own.pop("", None)
+        if text and own:
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for name, i in own.items():
+                automaton.add_word(name, i)
+            automaton.make_automaton()
+            found = np.fromiter(chain.from_iterable(automaton.iter(text)), "int64")
+            last.append(found[::2] + base)
+            which.append(found[1::2])
+    end, entity = np.concatenate(last) + 1, np.concatenate(which)
+    return end - size[entity], end, entity
+
+
+def _without_own_overlaps(start: np.ndarray, end: np.ndarray, entity: np.ndarray) -> np.ndarray:
+    """Which occurrences stay if those of one entity must not overlap, from the left (given by place of their ends)."""
+    keep, order = np.ones(len(start), bool), np.argsort(entity, kind="stable")
+    e, a, b = entity[order], start[order], end[order]
+    close = (e[1:] == e[:-1]) & (a[1:] < b[:-1])
+    free, before = 0, -1
+    for k in np.flatnonzero(np.isin(e, e[1:][close])).tolist() if close.any() else ():
+        free, before = (0 if e[k] != before else free), e[k]
+        keep[order[k]] = a[k] >= free
+        free = b[k] if a[k] >= free else free
+    return keep
+
+
+def _disjoint(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of the spans, sorted by place, overlap nothing chosen before: the longest first, then the leftmost. Only spans that
+    touch another one are looked at one by one."""
+    reach = np.concatenate([[0], np.maximum.accumulate(end)[:-1]])
+    keep = (start >= reach) & (end <= np.concatenate([start[1:], [n]]))
+    rest = np.flatnonzero(~keep)
+    used = bytearray(n if len(rest) else 0)
+    for k in rest[np.lexsort((start[rest], (start - end)[rest]))].tolist():
+        a, b = int(start[k]), int(end[k])
+        if used.find(1, a, b) < 0:
+            used[a:b] = b"\x01" * (b - a)
+            keep[k] = True
+    return keep
+
+
+def _aligned(column: pa.Array, lists: pa.Array) -> Iterator[pa.Array]:
+    """Alignment of a batch, by slices of its texts; occurrences are numbers, never Python objects."""
+    given = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    for texts, entities in slices(text_bytes(column) + 16 * given, column, lists):
+        p = Points(texts)
+        start, end, entity = _matches(texts.to_pylist(), p.at, entities)
+        alnum, ascii_ = is_alnum(p.codes), p.codes < 128  # a line feed stands behind each text, and so before the next
+        inside = (start > 0) & ascii_[start] & alnum[start - 1] | ascii_[end - 1] & alnum[end]
+        keep = np.flatnonzero(_without_own_overlaps(start, end, entity) & ~inside)
+        keep = keep[np.lexsort((end[keep], start[keep]))]
+        if len(keep):
+            keep = keep[_disjoint(len(p.codes), start[keep], end[keep])]
+        start, end, entity = start[keep], end[keep], entity[keep]
+        ends = np.searchsorted(start, p.at)
+        base = np.repeat(p.at[:-1], np.diff(ends))
+        labels = entities.flatten().field("label").take(pa.array(entity)).cast(pa.string())
+        each = pa.StructArray.from_arrays([pa.array(start - base, pa.int32()), pa.array(end - base, pa.int32()), labels], ["start", "end", "label"])
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each, mask=pc.or_(pc.is_null(texts), pc.is_null(entities)))
+
+
 def align(text: Column, entities: Column) -> Column:
-    """Disjoint occurrences, longest first, that don't end inside an ASCII word."""
+    """Disjoint occurrences, longest first, that don't end inside an ASCII word; entities that come twice count once."""
 
     @F.arrow_udf(SPANS)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, ents in batches:
-            yield from _arrow(texts, ents, 1, lambda text, spans: longest_free(len(text), [s for s in spans if not_in_ascii_word(text, s)], []))
+            yield from _aligned(texts, ents)
 
     return run(text, entities)
 

@@ -170,7 +170,7 @@ def locate_all(text: Column | str, entities: Column | str, min_len: int = 2) ->
 
 def align_entities(text: Column | str, entities: Column | str) -> Column:
     """Entity strings to non-overlapping spans: longer strings first, never inside a longer ASCII word."""
-    return dictionary.align(_c(text), F.array_distinct(_c(entities)))
+    return dictionary.align(_c(text), _c(entities))
 
 
 def propagate(text: Column | str, spans: Column | str, name_types: tuple = ("PERSON",)) -> Column:
