@@ -1,11 +1,13 @@
 """Texts and arrays are dealt by document before they are exploded, so unit rows don't move."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
 import catalog
 from glyphmill.functions import units as U
+from glyphmill.operators import compress as Z
 
 
 def exchanges(df):
@@ -18,6 +20,29 @@ def exchanges(df):
     return re.findall(r"Exchange hashpartitioning\((.*?), \d+\), (\w+)", plan)
 
 
+def test_transfer_labels_equals_joins(spark):
+    """As the joins on key and position have it, also for what isn't aligned, repeated or null."""
+    rnd = random.Random(7)
+    words = [(d, s, p, f"w{p}") for d in (1, 2, None) for s in range(4) for p in range(rnd.randint(1, 9))] + [(1, 0, None, "x"), (1, 1, 0, "again")]
+    aligned = [(d, s, p, rnd.randint(0, 9)) for d in (1, 2, None) for s in range(5) for p in range(9) if rnd.random() < 0.6] + [(1, 0, 2, None), (2, 1, 0, 1), (2, 1, 0, 1)]
+    labels = [(d, s, p, rnd.choice([".", ",", None])) for d in (1, 2, 3, None) for s in range(4) for p in range(7)] + [(1, 2, None, "!"), (2, 1, 1, ";")]
+    w = spark.createDataFrame(words, "doc int, sid int, a_pos int, own string")
+    a = spark.createDataFrame(aligned, "doc int, sid int, a_pos int, b_pos int")
+    l = spark.createDataFrame(labels, "doc int, sid int, b_pos int, label string")
+    want = w.join(a, ["doc", "sid", "a_pos"], "left").join(l, ["doc", "sid", "b_pos"], "left").select("doc", "sid", "a_pos", "own", F.coalesce("label", F.lit("0")).alias("label"))
+    got = Z.transfer_labels(w, a, l, ["doc", "sid"])
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert sorted(map(repr, Z.transfer_labels(w, a.limit(0), l.limit(0), ["doc", "sid"]).select("label").distinct().collect())) == ["Row(label='0')"]
+
+
+def test_labels_are_transferred_without_moving_words(spark):
+    catalog.load_all()
+
+    found = exchanges(catalog.QUERIES["j16_transfer_labels"](spark, "/root/testdata/sf0.001"))
+    assert all(how == "REPARTITION_BY_COL" or by.startswith("own") for by, how in found), found
+
+
 def test_documents_are_dealt_before_they_are_exploded(spark):
     catalog.load_all()
 
