@@ -46,7 +46,7 @@ def test_labels_are_transferred_without_moving_words(spark):
 def test_documents_are_dealt_before_they_are_exploded(spark):
     catalog.load_all()
 
-    for name in ("j12_decode_words", "n13_boundary_words"):
+    for name in ("j12_decode_boundary", "j12_decode_words", "n13_boundary_events", "n13_boundary_words"):
         found = exchanges(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
         assert [how for by, how in found if by.startswith("doc_id")] == ["REPARTITION_BY_COL"], (name, found)
     df = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None), (1, ["c"])], "id int, w array<string>")
