@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import catalog
 from glyphmill.functions import units as U
 from glyphmill.operators import compress as Z
+from glyphmill.operators import seqlabel as Q
 
 
 def exchanges(df):
@@ -51,3 +52,12 @@ def test_documents_are_dealt_before_they_are_exploded(spark):
         assert [how for by, how in found if by.startswith("doc_id")] == ["REPARTITION_BY_COL"], (name, found)
     df = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None), (1, ["c"])], "id int, w array<string>")
     assert sorted(map(tuple, U.explode_rows(df, ["id"], "w", "x", by=["id"]).collect())) == [(1, 0, "a"), (1, 0, "c"), (1, 1, "b")]
+
+
+def test_dealt_units_are_the_same(spark):
+    texts = ["", None, " ", "...", "a", "Hello, you. Is it 3.5? – Yes: so", "你好，世界。 再见\u3000x", "x\u00a0y\u3000z \u200b q", "😀 smile 😀.", "-- 'a' --", "\x85\u2028"]
+    df = spark.createDataFrame([(i, lang, t) for i, t in enumerate(texts) for lang in ("en", "zh", "el", None)], "id int, lang string, text string")
+    units = Q.punct_units(df, "text", "lang")
+    moved = Q.deal_units(units.select("id", "lang", "units"), "units", ["id"])
+    assert [t for c, t in moved.dtypes if c == "units"] == [t for c, t in units.dtypes if c == "units"]
+    assert sorted(map(repr, moved.collect())) == sorted(map(repr, units.select("id", "lang", "units").collect()))
